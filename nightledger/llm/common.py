@@ -10,25 +10,30 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Spark's own xxhash64() uses this seed, so a hash made in SQL and one made in a task agree.
 SEED = 42
 U64 = np.uint64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given Parquet tables."""
+    """One of the given Parquet tables; the package goes to the executors along with it."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by checkpoint() in the folder that all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; a folder of our own is
-    set only where the session names none, as in local tests.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a folder of our own only where none is set, as in local tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by checkpoint() in the folder that all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -24,6 +24,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import page_texts
+
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bloom_lm import score_texts, seventh
 
@@ -38,6 +44,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import as_text, with_spans
+
+    found = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("__base", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(as_text(F.col("__base")).cast("binary"), 256).alias("base_sha256"), as_text(F.col("__all")).alias("spans"),
+    )
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import repeated_words
 
@@ -51,6 +68,15 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_text(F.col("doc_id")) % 5 == 0
+    model = fit(docs, ~held_out)
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -58,8 +84,14 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_lm_scoring, op4_simhash, op6_substring_dedup, op7_order_minhash, op9_sharding)}
+    return {f.__name__: f for f in (op1_packing, op2_html_text, op3_lm_scoring, op4_simhash, op5_secrets, op6_substring_dedup, op7_order_minhash, op8_language_id, op9_sharding, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
