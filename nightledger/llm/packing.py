@@ -151,7 +151,7 @@ class WordCoder:
         for stop in (b",", b"."):
             if stop not in self.known:
                 self._code([stop])
-        self._code(list({p for p, _ in plain.values()} - self.known.keys()))
+        self._code([p for p in {p for p, _ in plain.values()} if p not in self.known])
         for w, (p, stop) in plain.items():
             self.known[w] = self.known[p] + self.known[stop] if stop else self.known[p]
 
