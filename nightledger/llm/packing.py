@@ -19,6 +19,7 @@ cannot clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 from pyspark import TaskContext
@@ -27,6 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import raw_texts
 
+#: Byte-level vocabularies write a byte as a letter: printable Latin-1 as itself, all others from 256 on in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -144,6 +148,7 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.keep = Tokenizer.from_file(vocabulary), {}, keep
+        self.model = self.tokenizer.model
 
     def learn(self, words: list[bytes]) -> None:
         """Codes new words; those that differ only in ASCII case or in one final comma or stop share their code."""
@@ -163,6 +168,18 @@ class WordCoder:
         return (word[:-1] if stop else word).lower(), stop
 
     def _code(self, words: list[bytes]) -> None:
+        """Lower-case words of letters alone are one piece, which goes to the BPE model as it is; all others as one text."""
+        rest = []
+        for w in words:
+            t = w.decode()
+            if t.isalpha() and t.lower() == t and is_normalized("NFC", t):
+                self.known[w] = np.array([x.id for x in self.model.tokenize(w.decode("latin-1").translate(BYTE_LETTERS))], "<u4").tobytes()
+            else:
+                rest.append(w)
+        if rest:
+            self._code_text(rest)
+
+    def _code_text(self, words: list[bytes]) -> None:
         """Codes the words as one text and cuts the ids where the next word begins."""
         texts = [w.decode() for w in words]
         begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
