@@ -6,7 +6,7 @@ shift s < v with both (i + s) mod v and (j + s) mod v in D. So two equal runs of
 hashing only the ``window - v + 1`` words that follow a cover position keeps
 |D| / v of all positions and still meets every match. Anchors found in two or
 more documents mark the windows around them; only these are extended to the full
-length, hashed in 128 bits and compared. Every step is a partially aggregated
+length, hashed in 96 bits and compared. Every step is a partially aggregated
 minimum over hashes and a join, so a passage that thousands of documents share
 costs one row per occurrence and no pairs.
 
@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mixed, raw_texts, saved, word_hashes
+from .common import U64, mixed, raw_texts, word_hashes
 
 #: Perfect difference sets by period (Singer), each a difference cover.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
@@ -78,11 +78,11 @@ def _anchors(docs: DataFrame, window: int, period: int) -> DataFrame:
                 starts = starts[starts + width <= len(words)]
                 found.append(Windows(word_hashes(words)).at(starts, width).view(np.int64))
                 ids.append(np.full(len(starts), doc_id))
-                at.append(starts)
+                at.append(starts.astype(np.int32))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, ids, at)], names=["anchor", "doc_id", "at"])
 
-    return docs.mapInArrow(run, "anchor long, doc_id long, at long")
+    return docs.mapInArrow(run, "anchor long not null, doc_id long not null, at int not null")
 
 
 def _spread(marked: np.ndarray, before: int, after: int, n: int) -> np.ndarray:
@@ -98,14 +98,16 @@ def repeated_words(docs: DataFrame, window: int = 50, period: int = 31) -> DataF
 
     A word goes if some window of ``window`` consecutive words that covers it also
     starts in a document with a smaller doc_id; windows are judged on the input.
-    The texts are exchanged once by doc_id, and that exchange serves both joins.
+    Texts, anchors and windows are exchanged once each: one plan, in which both uses
+    of each share an exchange.
     """
     if period not in COVERS or period > window:
         raise ValueError(f"period must be one of {sorted(COVERS)} and at most the window")
     docs = _texts(docs)
-    anchors = _anchors(docs, window, period)
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    marks = saved(anchors.join(shared, "anchor").groupBy("doc_id").agg(F.array_distinct(F.collect_list(F.col("at").cast("int"))).alias("at")))
+    # the aggregates also look at the position (never negative): an exchange is shared only if both uses need the same columns
+    anchors = _anchors(docs, window, period).repartition("anchor")  # once, for the aggregate and for the join
+    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("at").alias("at")).where("lo < hi and at >= 0").select("anchor")
+    marks = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("at").alias("at"))
 
     def extend(batches):
         import pyarrow as pa
@@ -120,14 +122,14 @@ def repeated_words(docs: DataFrame, window: int = 50, period: int = 31) -> DataF
                 # windows that hold the anchor's words at a cover position less than a period behind their start
                 starts = np.flatnonzero(_spread(np.array(at), period - 1, 1, n))
                 hashes = Windows(word_hashes(words))
-                for c, v in zip(cols, (hashes.at(starts, window, 0).view(np.int64), hashes.at(starts, window, 1).view(np.int64), np.full(len(starts), doc_id), starts.astype(np.int32)), strict=True):
+                for c, v in zip(cols, (hashes.at(starts, window, 0).view(np.int64), (hashes.at(starts, window, 1) >> U64(32)).astype(np.uint32).view(np.int32), np.full(len(starts), doc_id), starts.astype(np.int32)), strict=True):
                     c.append(v)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["x", "y", "doc_id", "start"])
 
     whole = docs.join(marks, "doc_id")
-    windows = saved(whole.mapInArrow(extend, "x long, y long, doc_id long, start int"))
-    first = windows.groupBy("x", "y").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("x", "y", "lo")
+    windows = whole.mapInArrow(extend, "x long not null, y int not null, doc_id long not null, start int not null").repartition("x")
+    first = windows.groupBy("x", "y").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("start").alias("at")).where("lo < hi and at >= 0").select("x", "y", "lo")
     gone = windows.join(first, ["x", "y"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
 
     def cut(batches):
