@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.adapter import Model
 
-MODULES = ("layer", "kpis")
+MODULES = ("layer", "kpis", "dq")
 
 
 def _all() -> dict[str, tuple]:

@@ -128,3 +128,13 @@ class Model:
             d.alias("review_id"), (1 + d % 5).cast("int").alias("property_key"), F.date_add(F.lit(dt.date(2000, 1, 1)), (d % 365).cast("int")).alias("review_date"),
             (2 + (d * 7) % 9).cast("int").alias("half_stars"), F.col("text").alias("review_text"), F.col("lang").alias("language"),
         )
+
+    def inventory(self) -> DataFrame:
+        """Stock movements; the balance is off by one on every 211th order."""
+        k = F.col("l_orderkey")
+        i = self.raw("lineitem").select(
+            k.alias("movement_key"), (1 + F.col("l_suppkey") % 5).cast("int").alias("property_key"), F.col("l_shipdate").cast("date").alias("movement_date"), (F.col("l_partkey") % 20).cast("int").alias("item_code"),
+            (k % 50).cast("long").alias("opening"), F.col("l_quantity").cast("long").alias("received"), ((k * 7) % 60).cast("long").alias("consumed"), F.col("l_linenumber").cast("long").alias("wastage"),
+        )
+        off = (F.col("movement_key") % 211 == 0).cast("long")
+        return i.withColumn("closing", F.col("opening") + F.col("received") - F.col("consumed") - F.col("wastage") + off)
