@@ -144,7 +144,7 @@ class WordCoder:
     At most about ``keep`` words are remembered.
     """
 
-    def __init__(self, vocabulary: str, keep: int = 1_000_000):
+    def __init__(self, vocabulary: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.keep = Tokenizer.from_file(vocabulary), {}, keep
