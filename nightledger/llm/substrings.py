@@ -104,8 +104,15 @@ def repeated_words(docs: DataFrame, window: int = 50, period: int = 31) -> DataF
     if period not in COVERS or period > window:
         raise ValueError(f"period must be one of {sorted(COVERS)} and at most the window")
     docs = _texts(docs)
+    # a whole text that an earlier document has too loses every word and adds no window that is not there already
+    prints = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("print"))
+    first = prints.groupBy("print").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("print", "lo")
+    copies = prints.join(first, "print").where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
+    is_copy = F.coalesce(F.array_contains("prints", F.md5(F.coalesce("text", F.lit("")).cast("binary"))), F.lit(False))
+    docs = docs.join(copies, "doc_id", "left").select("doc_id", "text", is_copy.alias("is_copy"))
+    new = docs.where("not is_copy").select("doc_id", "text")
     # the aggregates also look at the position (never negative): an exchange is shared only if both uses need the same columns
-    anchors = _anchors(docs, window, period).repartition("anchor")  # once, for the aggregate and for the join
+    anchors = _anchors(new, window, period).repartition("anchor")  # once, for the aggregate and for the join
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("at").alias("at")).where("lo < hi and at >= 0").select("anchor")
     marks = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("at").alias("at"))
 
@@ -127,7 +134,7 @@ def repeated_words(docs: DataFrame, window: int = 50, period: int = 31) -> DataF
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["x", "y", "doc_id", "start"])
 
-    whole = docs.join(marks, "doc_id")
+    whole = new.join(marks, "doc_id")
     windows = whole.mapInArrow(extend, "x long not null, y int not null, doc_id long not null, start int not null").repartition("x")
     first = windows.groupBy("x", "y").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("start").alias("at")).where("lo < hi and at >= 0").select("x", "y", "lo")
     gone = windows.join(first, ["x", "y"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
@@ -137,8 +144,10 @@ def repeated_words(docs: DataFrame, window: int = 50, period: int = 31) -> DataF
 
         for batch in batches:
             total, removed, kept = [], [], []
-            for text, starts in zip(raw_texts(batch), batch.column("starts").to_pylist(), strict=True):
+            for text, starts, is_copy in zip(raw_texts(batch), batch.column("starts").to_pylist(), batch.column("is_copy").to_pylist(), strict=True):
                 words = text.split()
+                if is_copy:
+                    starts = range(max(0, len(words) - window + 1))
                 drop = _spread(np.array(starts), 0, window, len(words)) if starts else np.zeros(len(words), bool)
                 total.append(len(words))
                 removed.append(int(drop.sum()))
