@@ -58,7 +58,7 @@ def question_and_answer(text: bytes) -> tuple[list[bytes], list[bytes]]:
 class Index:
     """The inverted index of some items, in blocks of ``width``."""
 
-    def __init__(self, items: list[tuple[int, bytes]], width: int = 8):
+    def __init__(self, items: list[tuple[int, bytes]], width: int = 4):
         words = [(i, plain_words(t), t) for i, t in items]
         words = sorted((w for w in words if w[1]), key=lambda w: len(w[1]))
         self.ids = np.array([w[0] for w in words], np.int64)
@@ -67,8 +67,8 @@ class Index:
         self.terms = {t: i for i, t in enumerate(sorted(frequency))}
         n, mean = len(words), np.mean([len(w[1]) for w in words]) if words else 1
         idf = {t: np.log(1 + (n - f + 0.5) / (f + 0.5)) for t, f in frequency.items()}
-        self.largest = np.zeros(len(self.terms))
-        self.blocks = []  # (sorted term numbers, weights terms x items, largest weight of each term, first item)
+        self.largest = np.zeros((len(self.terms), -(-n // width)), np.float32)  # of a term in a block
+        self.blocks = []  # (sorted term numbers, weights terms x items, first item)
         for first in range(0, n, width):
             own = sorted({self.terms[t] for _, w, _ in words[first : first + width] for t in w})
             weights = np.zeros((len(own), min(width, n - first)))
@@ -78,8 +78,8 @@ class Index:
                     weights[at[self.terms[t]], j] = idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean))
             weights /= weights.sum(axis=0)
             own = np.array(own)
-            self.blocks.append((own, weights, weights.max(axis=1), first))
-            self.largest[own] = np.maximum(self.largest[own], weights.max(axis=1))
+            self.largest[own, len(self.blocks)] = weights.max(axis=1)
+            self.blocks.append((own, weights, first))
 
     def search(self, terms: np.ndarray, cells: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
         """(cell, item, score) of every passage, made of a cell and the one after it, that reaches the threshold.
@@ -93,31 +93,26 @@ class Index:
         at = np.searchsorted(key, key - size)
         # the term was in the cell before: it counts once in that passage
         again = key[np.minimum(at, len(key) - 1)] == key - size
-        top = int(cells[-1]) + 1
-
-        def sums(values):
-            own = np.bincount(cells, weights=values, minlength=top + 1)
-            shared = np.bincount(cells, weights=values * again, minlength=top + 1)
-            return own[:-1] + own[1:] - shared[1:]
-
-        hopeful = np.flatnonzero(sums(self.largest[terms]) >= threshold)
+        # every passage's bound for every block, from the blocks' largest weights
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(cells) != 0]))
+        bound = np.zeros((int(cells[-1]) + 2, len(self.blocks)), np.float32)
+        largest = self.largest[terms]
+        bound[cells[starts]] = np.add.reduceat(largest, starts)
+        passage = bound[:-1] + bound[1:]
+        largest[~again] = 0
+        passage[cells[starts][cells[starts] > 0] - 1] -= np.add.reduceat(largest, starts)[cells[starts] > 0]
         found = []
-        if not len(hopeful):
-            return found
-        starts = np.searchsorted(cells, np.arange(top + 2))
-        for cell in hopeful.tolist():
-            query = np.unique(terms[starts[cell] : starts[cell + 2]])
-            for own, weights, maxima, first in self.blocks:
-                at = np.minimum(np.searchsorted(own, query), len(own) - 1)
-                at = at[own[at] == query]
-                if maxima[at].sum() < threshold:
-                    continue
-                scores = weights[at].sum(axis=0)
-                found += [(cell, first + j, float(scores[j])) for j in np.flatnonzero(scores >= threshold).tolist()]
+        edges = np.searchsorted(cells, np.arange(len(bound) + 1))
+        for cell, block in np.argwhere(passage >= threshold - 1e-4).tolist():
+            own, weights, first = self.blocks[block]
+            query = np.unique(terms[edges[cell] : edges[cell + 2]])
+            at = np.minimum(np.searchsorted(own, query), len(own) - 1)
+            scores = weights[at[own[at] == query]].sum(axis=0)
+            found += [(cell, first + j, float(scores[j])) for j in np.flatnonzero(scores >= threshold).tolist()]
         return found
 
 
-def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.5, passage: int = 128, shard_items: int = 5000, shard_bytes: int = 16 << 20) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.5, passage: int = 128, shard_items: int = 1000, shard_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every verified pair; the score is the best passage's.
 
     ``docs`` has doc_id and text, ``items`` item_id and text.
