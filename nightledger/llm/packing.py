@@ -19,6 +19,7 @@ cannot clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from struct import pack
 from unicodedata import is_normalized
 
 import numpy as np
@@ -150,7 +151,7 @@ class WordCoder:
         self.tokenizer, self.known, self.keep = Tokenizer.from_file(vocabulary), {}, keep
         self.model = self.tokenizer.model
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, words: set[bytes]) -> None:
         """Codes new words; those that differ only in ASCII case or in one final comma or stop share their code."""
         plain = {w: self._plain(w) for w in words}
         for stop in (b",", b"."):
@@ -172,8 +173,9 @@ class WordCoder:
         rest = []
         for w in words:
             t = w.decode()
-            if t.isalpha() and t.lower() == t and is_normalized("NFC", t):
-                self.known[w] = np.array([x.id for x in self.model.tokenize(w.decode("latin-1").translate(BYTE_LETTERS))], "<u4").tobytes()
+            if t.isalpha() and t.lower() == t and (t.isascii() or is_normalized("NFC", t)):
+                letters = t if t.isascii() else w.decode("latin-1").translate(BYTE_LETTERS)
+                self.known[w] = pack(f"<{len(found := self.model.tokenize(letters))}I", *[x.id for x in found])
             else:
                 rest.append(w)
         if rest:
@@ -193,13 +195,12 @@ class WordCoder:
         """Little-endian 32-bit ids of each text, with the end id."""
         for text in texts:
             words = text.split()
-            try:
-                out = b"".join(map(self.known.__getitem__, words))
-            except KeyError:
+            new = set(words).difference(self.known)
+            if new:
                 if len(self.known) > self.keep:
-                    self.known = {}
-                self.learn([w for w in set(words) if w not in self.known])
-                out = b"".join(map(self.known.__getitem__, words))
+                    self.known, new = {}, set(words)
+                self.learn(new)
+            out = b"".join(map(self.known.__getitem__, words))
             yield out + end
 
 
