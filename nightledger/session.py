@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -20,3 +21,9 @@ def ship(spark: SparkSession) -> None:
         shutil.copytree(here, root / "src" / here.name, ignore=shutil.ignore_patterns("__pycache__"))
         spark.sparkContext.addPyFile(shutil.make_archive(str(root / here.name), "zip", root / "src"))
         _shipped.add(app)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share: below the session's checkpoint folder, or a local one where none is set."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{base}/scratch-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-")
