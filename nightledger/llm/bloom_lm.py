@@ -74,12 +74,13 @@ def unigram_key(tokens: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """Segments (some or all) of a log-frequency Bloom filter."""
+    """Segments of a log-frequency Bloom filter, from ``first`` on, as one run of bytes."""
 
-    def __init__(self, segments: int, parts: dict[int, bytes]):
+    def __init__(self, segments: int, first: int, bits: bytes | bytearray):
         self.segments, self.base = segments, np.full(segments, -1)
-        self.base[sorted(parts)] = np.arange(len(parts)) * SEGMENT_BITS
-        self.bits = np.frombuffer(b"".join(parts[s] for s in sorted(parts)), np.uint8)
+        here = len(bits) * 8 // SEGMENT_BITS
+        self.base[first : first + here] = np.arange(here) * SEGMENT_BITS
+        self.bits = np.frombuffer(bits, np.uint8)
 
     def read(self, keys: np.ndarray, known: np.ndarray) -> None:
         """Sets ``known`` to the levels of the keys whose segment is here: one membership probe after another."""
@@ -256,9 +257,9 @@ def score_texts(docs: DataFrame, training, filter_bytes: int = 256 << 20, bits_p
         def run(batches):
             import pyarrow as pa
 
-            filters = Filter(segments, part.value)
+            filters = Filter(segments, *part.value)
             begin = np.zeros(1, np.uint8)
-            for rows in _chunks(batches, ["doc_id", "mark", "one", "two", "begin"]):
+            for rows in _chunks(batches, ["doc_id", "mark", "one", "two", "begin"], 1 << 22):
                 lists = [tokens_of(r[-1]) for r in rows]
                 tokens, pairs = state(lists), state([bigrams(t) for t in lists])
                 cuts = np.cumsum([0, *map(len, lists)])
@@ -289,8 +290,11 @@ def score_texts(docs: DataFrame, training, filter_bytes: int = 256 << 20, bits_p
     carried = "doc_id long, mark long, one binary, two binary, begin int, text string"
     for lo in range(0, segments, group):
         rows = bits.where(F.col("segment").between(lo, lo + group - 1)).toLocalIterator() if segments > group else bits.toLocalIterator()
-        part = {r["segment"]: bytes(r["bits"]) for r in rows}
-        part = sc.broadcast({s: part.get(s, bytes(SEGMENT_BITS // 8)) for s in range(lo, min(segments, lo + group))})
+        size = SEGMENT_BITS // 8
+        held = bytearray(size * (min(segments, lo + group) - lo))
+        for r in rows:
+            held[size * (r["segment"] - lo) : size * (r["segment"] - lo + 1)] = r["bits"]
+        part = sc.broadcast((lo, held))
         last = lo + group >= segments
         now = now.mapInArrow(reader(part, last), "doc_id long, mark long, n_tokens long, score double, head_base double, head_known long" if last else carried)
         if not last:
