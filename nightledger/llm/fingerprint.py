@@ -65,12 +65,12 @@ def order_minhash(words: list[bytes], k: int, depth: int, multipliers: np.ndarra
     return (out >> U64(32)).astype(">u4")
 
 
-def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """doc_id, text and next_text, the text of the next row in ascending doc_id (after the last, the first).
+def _ranges(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """part, tail, doc_id and text in ascending order within ranges of ids, each range followed by the row after it.
 
     The texts are exchanged once. Ranges of ids are cut at quantiles; each range's
     least key is found by an aggregate of at most ``parts`` rows, so that the one
-    row whose predecessor lies in an earlier range is sent to both.
+    row whose predecessor lies in an earlier range is sent to both (as a tail).
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -82,8 +82,6 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
         part = part + (F.col("key") >= F.lit(c)).cast("int")
     docs = docs.withColumn("part", part)
     heads = sorted((r["part"], r["head"]) for r in docs.groupBy("part").agg(F.min(F.struct("key", "tie")).alias("head")).collect())
-    if not heads:
-        return docs.select("doc_id", "text", F.col("text").alias("next_text"))
     is_head, before = F.lit(False), F.lit(0)
     for i, (p, head) in enumerate(heads):
         mine = (F.col("part") == p) & (F.col("key") == F.lit(head["key"])) & (F.col("tie") == F.lit(head["tie"]))
@@ -92,22 +90,34 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     spread = docs.select("doc_id", "text", "key", "tie", F.explode(F.when(is_head, copies).otherwise(F.slice(copies, 1, 1))).alias("to"))
     # a tail row only lends its text to the last row of the range before
     spread = spread.select("doc_id", "text", "key", "tie", F.col("to.part").alias("part"), F.col("to.tail").alias("tail"))
-    spread = spread.repartition(parts, "part").sortWithinPartitions("part", "tail", "key", "tie")
+    return spread.repartition(parts, "part").sortWithinPartitions("part", "tail", "key", "tie").select("part", "tail", "doc_id", "text")
 
-    def pair(batches):
-        import pyarrow as pa
 
-        held = None
-        for batch in batches:
-            rows = []
-            for now in zip(*(batch.column(c).to_pylist() for c in ("part", "tail", "doc_id", "text")), strict=True):
+def _pairs(batches, most: int = 256):
+    """Lists of (doc_id, text, next text), a few rows at a time; a tail row only lends its text."""
+    held, rows = None, []
+    for batch in batches:
+        for lo in range(0, batch.num_rows, most):
+            part = batch.slice(lo, most)
+            for now in zip(*(part.column(c).to_pylist() for c in ("part", "tail", "doc_id", "text")), strict=True):
                 if held is not None and held[0] == now[0] and not held[1]:
                     rows.append((held[2], held[3], now[3]))
                 held = now
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "text", "next_text"])
+                yield rows
+                rows = []
+
+
+def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """doc_id, text and next_text, the text of the next row in ascending doc_id (after the last, the first)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for rows in _pairs(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "text", "next_text"])
 
-    return spread.mapInArrow(pair, "doc_id long, text string, next_text string")
+    return _ranges(docs, parts).mapInArrow(run, "doc_id long, text string, next_text string")
 
 
 def edited_text(text: str, following: str) -> str:
@@ -132,17 +142,17 @@ def edit_fingerprints(docs: DataFrame, k: int = 2, depth: int = 2, tuples: int =
         import pyarrow as pa
 
         last, last_sign = None, None  # a row's next text is mostly the following row's own
-        for batch in batches:
+        for rows in _pairs(batches):
             cols = [[] for _ in range(5)]
-            for text, following in zip(batch.column("text").to_pylist(), batch.column("next_text").to_pylist(), strict=True):
+            for _, text, following in rows:
                 own = last_sign if text == last else sign(text)
                 last, last_sign = following, sign(following)
                 edited = edited_text(text, following)
                 other = sign(edited)
                 for c, v in zip(cols, (edited, own.tobytes().hex(), other.tobytes().hex(), float((own == other).mean()), float((own == last_sign).mean())), strict=True):
                     c.append(v)
-            kinds = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-            arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *arrays], names=["doc_id", "text", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+            arrays = [pa.array(c, t) for c, t in zip(([r[0] for r in rows], [r[1] for r in rows], *cols), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return with_next(docs).mapInArrow(run, "doc_id long, text string, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return _ranges(docs).mapInArrow(run, "doc_id long, text string, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
