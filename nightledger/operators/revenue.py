@@ -130,6 +130,12 @@ def pace_calls(scored: DataFrame, finals: DataFrame, bench: DataFrame) -> DataFr
     return s.withColumn("finished_below", F.col("final_nights") < F.col("expected_final")).drop("dow")
 
 
+def replay_coverage(calls: DataFrame, horizon: DataFrame) -> DataFrame:
+    """By as_of: calls whose stay date the data reaches, so that they can be resolved; ``horizon`` is one row of data_horizon."""
+    c = calls.crossJoin(F.broadcast(horizon.select("horizon")))
+    return c.groupBy("as_of").agg(F.count("*").alias("calls"), F.count_if(F.col("stay_date") <= F.col("horizon")).alias("resolvable"))
+
+
 def pace_evaluation(calls: DataFrame) -> DataFrame:
     """Precision, recall and lift of "behind" over all calls, with the sign of the gap as a naive comparator."""
     behind, below, naive = F.col("status") == "behind", F.col("finished_below"), F.col("gap_nights") < 0

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import anomaly, calendar_fx, forecast, kpi, rootcause, views
+from ..operators.revenue import band_of
 from .base import bp, rdiv, sql
 from .layer import RATES, books_sql, context, daily, demand, unit_nights
 from .revenue import calendar
@@ -144,6 +145,10 @@ QUERIES = {
         lambda m: forecast.slices(rows(m)),
         _bt("SELECT slice, value, model, count(*) AS n, round(avg(abs(error)), 4) AS mae, round(avg(error), 4) AS bias FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS slice, CAST({c} AS VARCHAR) AS value, model, error FROM bt" for s, c in (("horizon", "horizon"), ("month", "month(target)"), ("weekday", "isodow(target)"), ("holiday", "holiday_adjacent"))) + ") GROUP BY ALL HAVING count(*) >= 30"),
     ),
+    "p3_forecast_accuracy": (
+        lambda m: forecast.score(rows(m).where("model = 'pickup'").withColumn("band", band_of(F.col("horizon"))), ("band",)),
+        _bt(f"SELECT CASE WHEN horizon <= 3 THEN '1-3' WHEN horizon <= 7 THEN '4-7' WHEN horizon <= 14 THEN '8-14' ELSE '15-30' END AS band, {_SCORE} FROM bt WHERE model = 'pickup' GROUP BY 1"),
+    ),
     "f14_forward": (
         lambda m: forecast.forward(actuals(m), otb(m), m.spark.createDataFrame([(LAST - dt.timedelta(30),)], "origin date"), "dow_moving_average").select("property_key", "target", "prediction", "occupancy_pct"),
         sql(f"""SELECT a.property_key, t.target, round(p, 6) AS prediction, round(100 * round(p, 6) / nullif(cap, 0), 4) AS occupancy_pct FROM (SELECT DATE '{LAST}' - 30 + CAST(h AS INT) AS target FROM range(1, 31) x(h)) t JOIN (SELECT property_key, isodow(stay_date) AS dow, CAST(sum(y) AS BIGINT) / count(*) AS p, CAST(sum(c) AS BIGINT) / count(*) AS cap

@@ -128,6 +128,13 @@ def exported(m):
     return files.read_table(m.spark, f"{out}/guest", "guest_key long, guest_segment string, has_phone boolean, has_email boolean")
 
 
+def _auc_sql(label: str, where: str) -> str:
+    """The rank-sum form, with average ranks from rank() and the size of each tie."""
+    ranked = f"SELECT {label} AS y, rank() OVER (ORDER BY lead_days) + (count(*) OVER (PARTITION BY lead_days) - 1) / 2.0::DOUBLE AS r FROM booking WHERE {where}"
+    sums = f"SELECT sum(r) FILTER (y) AS s, count(*) FILTER (y) AS positives, count(*) FILTER (NOT y) AS negatives FROM ({ranked})"
+    return sql(f"SELECT *, abs(auc - 0.5) < 0.1 AS unlearnable FROM (SELECT round((s - positives * (positives + 1) / 2.0::DOUBLE) / nullif(positives * negatives, 0), 6) AS auc, positives, negatives FROM ({sums}))", "booking")
+
+
 QUERIES = {
     "x1_features": (lambda m: risk.risk_features(m.bookings()).select("booking_key", "label", "nights", "adults", "price", "has_discount", "weekend"), sql("SELECT booking_key, CASE WHEN status = 'cancelled' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label, nights::DOUBLE AS nights, adults::DOUBLE AS adults, (net_paise // greatest(nights, 1)) / 100000.0::DOUBLE AS price, (discount_paise > 0)::INT::DOUBLE AS has_discount, (isodow(check_in_date) >= 6)::INT::DOUBLE AS weekend FROM booking", "booking")),
     "x2_temporal_split": (
@@ -135,15 +142,15 @@ QUERIES = {
         sql("SELECT split_date, booking_date < split_date AS is_train, count(*) AS bookings FROM booking, (SELECT booking_date AS split_date FROM (SELECT booking_date, row_number() OVER (ORDER BY booking_date, booking_key) AS r, count(*) OVER () AS n FROM booking) WHERE r = CAST(floor(n * 0.75) AS BIGINT) + 1) GROUP BY ALL", "booking"),
     ),
     "x3_cancellation_fit": (lambda m: scored_risk(m).select("booking_key", "is_train", F.round("score", 4).alias("score")), None),
-    "x4_auc": (
-        lambda m: risk.lead_rule_auc(m.bookings()),
-        sql("SELECT *, abs(auc - 0.5) < 0.1 AS unlearnable FROM (SELECT round((sum(r) FILTER (y) - p * (p + 1) / 2.0::DOUBLE) / (p * q), 6) AS auc, p AS positives, q AS negatives FROM (SELECT *, sum(CAST(y AS INT)) OVER () AS p, sum(CAST(NOT y AS INT)) OVER () AS q FROM (SELECT status = 'cancelled' AS y, (rank() OVER (ORDER BY lead_days) + (count(*) OVER (PARTITION BY lead_days) - 1) / 2.0::DOUBLE) AS r FROM booking)) GROUP BY p, q)".replace("p AS positives, q AS negatives", "CAST(p AS BIGINT) AS positives, CAST(q AS BIGINT) AS negatives"), "booking"),
-    ),
+    "x4_auc": (lambda m: risk.lead_rule_auc(m.bookings()), _auc_sql("status = 'cancelled'", "true")),
     "x5_calibration": (lambda m: risk.calibration(scored_risk(m).where("not is_train")), None),
     "x6_evaluation": (lambda m: risk.evaluate_risk(scored_risk(m)), None),
     "x7_cancellation_by_quarter": (lambda m: risk.cancellation_by_quarter(m.bookings()), sql(f"SELECT CAST(date_trunc('quarter', booking_date) AS DATE) AS quarter, count(*) AS bookings, count(*) FILTER (status = 'cancelled') AS cancelled, {bp(chr(99) + 'ount(*) FILTER (status = ' + chr(39) + 'cancelled' + chr(39) + ')', 'count(*)')} AS cancel_bp FROM booking GROUP BY 1 HAVING count(*) >= 50", "booking")),
-    "x7_temporal_drift": (lambda m: risk.temporal_drift(m.bookings()), None),
-    "x8_noshow_check": (lambda m: risk.lead_rule_auc(m.bookings(), True), None),
+    "x7_temporal_drift": (
+        lambda m: risk.temporal_drift(m.bookings()),
+        sql(f"SELECT *, last_bp - first_bp AS change_bp FROM (SELECT arg_min(c, q) AS first_bp, arg_max(c, q) AS last_bp FROM (SELECT date_trunc('quarter', booking_date) AS q, {bp('count(*) FILTER (gone)', 'count(*)')} AS c FROM (SELECT *, status = 'cancelled' AS gone FROM booking) GROUP BY 1 HAVING count(*) >= 50))", "booking"),
+    ),
+    "x8_noshow_check": (lambda m: risk.lead_rule_auc(m.bookings(), True), _auc_sql("status = 'no_show'", "status <> 'cancelled'")),
     "x9_spearman": (
         lambda m: risk.spearman(m.bookings(), "lead_days", "net_paise"),
         sql("SELECT round(corr(a, b), 6) AS spearman FROM (SELECT rank() OVER (ORDER BY lead_days) + (count(*) OVER (PARTITION BY lead_days) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY net_paise) + (count(*) OVER (PARTITION BY net_paise) - 1) / 2.0::DOUBLE AS b FROM booking)", "booking"),

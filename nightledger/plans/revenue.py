@@ -112,6 +112,10 @@ QUERIES = {
     "p1_reconstruct_many": (_calls, _sql("SELECT * FROM calls", True)),
     "p2_fingerprint": (lambda m: revenue.fingerprint(pace(m, _many(m))), None),
     "p4_pace_evaluation": (lambda m: revenue.pace_evaluation(_calls(m)), _sql(_EVAL, True)),
+    "p5_replay_coverage": (
+        lambda m: revenue.replay_coverage(pace(m, _many(m)), revenue.data_horizon(unit_nights(m).where("is_occupied"))),
+        _sql("SELECT as_of, count(*) AS calls, count(*) FILTER (stay_date <= (SELECT max(stay_date) FROM unit_night WHERE is_occupied)) AS resolvable FROM pace GROUP BY 1", True, ("unit_night",)),
+    ),
     "l1_alert_queue": (_queue, _queue_sql("SELECT * FROM queue")),
     "l2_with_calendar": (
         lambda m: alerts.with_calendar(_queue(m), context(m)),
