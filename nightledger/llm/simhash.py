@@ -16,14 +16,15 @@ rows are one class; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import combinations, repeat
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SEED, U64, mixed, raw_texts, saved
+from .common import SEED, U64, raw_texts, saved
 from .components import components
 
 
@@ -109,79 +110,123 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFr
 
 
 
-#: A long fingerprint has so many 64-bit words.
-WORDS = 24
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """The sorted distinct hashes of a word list's shingles; a list of at most ``size`` words is one shingle."""
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], U64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), U64, len(words) - size + 1))
 
 
-def long_simhash(words: list[bytes], size: int) -> np.ndarray:
-    """64 * WORDS SimHash bits (0 or 1), from as many independent mixes of each distinct shingle's hash."""
-    n = max(1, len(words) - size + 1)
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)) if len(words) > size else iter([b" ".join(words)])
-    hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), U64, n))
-    ones = np.zeros((WORDS, 64), np.int64)
-    for at in range(0, len(hashes), 1 << 12):
-        part = hashes[at : at + (1 << 12)]
-        for j in range(WORDS):
-            bits = np.unpackbits(mixed(part + U64((j * 0x9E3779B97F4A7C15) & (2**64 - 1))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[j] += bits.sum(axis=0, dtype=np.uint32)
-    return (ones.reshape(-1) * 2 > len(hashes)).astype(np.uint8)
+def _hash_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, hashes): the distinct shingle hashes of every text."""
 
+    def run(batches):
+        import pyarrow as pa
 
-def _long_prints(docs: DataFrame, size: int, block: int) -> DataFrame:
-    """(doc_id, words, blocks): the long fingerprint as longs and as the values of its blocks of ``block`` bits."""
-    blocks_of = 64 * WORDS // block
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                sets = [shingle_hashes(t.lower().split(), size).view("<i8") for t in raw_texts(part)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "hashes"])
+
+    return docs.mapInArrow(run, "doc_id long, hashes array<long>")
+
+
+def _frequent(docs: DataFrame, size: int, share: int = 16, at_most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes, sorted, that several documents have, with how many of every ``share`` have them.
+
+    Only the order of the prefixes follows from this; any order gives the same result.
+    """
+    some = _hash_sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0), size)
+    counts = some.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).where("n > 2")
+    top = counts.orderBy(F.desc("n"), "hash").limit(at_most).toArrow()
+    hashes, n = top.column("hash").to_numpy().view(U64), top.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def _prefixes(docs: DataFrame, size: int, part: Fraction, frequent) -> DataFrame:
+    """(doc_id, class, size, prefix): a digest of the shingle set, its size, and its first hashes, rarest first.
+
+    Two sets of a Jaccard similarity of at least ``part`` have a common hash in their prefixes.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        weight = (1 << np.arange(block)).astype(np.int64)
+        known, counts = frequent.value
         for batch in batches:
-            words, blocks = [], []
+            digests, sizes, prefixes = [], [], []
             for text in raw_texts(batch):
-                bits = long_simhash(text.lower().split(), size)
-                words.append(np.packbits(bits, bitorder="little").view("<i8"))
-                blocks.append((bits[: block * blocks_of].reshape(-1, block) * weight).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words, pa.list_(pa.int64())), pa.array(blocks, pa.list_(pa.int64()))], names=["doc_id", "words", "blocks"])
+                hashes = shingle_hashes(text.lower().split(), size)
+                digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                sizes.append(len(hashes))
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                    hashes = hashes[np.argsort(np.where(known[at] == hashes, counts[at], 0), kind="stable")]
+                prefixes.append(hashes[: len(hashes) - -(-len(hashes) * part.numerator // part.denominator) + 1].view("<i8"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "class", "size", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, words array<long>, blocks array<long>")
+    return docs.mapInArrow(run, "doc_id long, class binary, size int, prefix array<long>")
 
 
-def bits_apart(similarity: float) -> int:
-    """Bits of a long fingerprint that differ, on average, between shingle sets of this Jaccard similarity (equal sizes)."""
-    return int(64 * WORDS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, part: Fraction) -> DataFrame:
+    """The pairs (a, b) whose distinct shingles have a Jaccard similarity of at least ``part``."""
+    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= 1 << 21 else ids  # few: the texts need no shuffle
+    sets = _hash_sets(docs.join(ids, "doc_id", "left_semi"), size).repartition("doc_id").dropDuplicates()
+    left, right = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"))
+    both, total = F.size(F.array_intersect("ha", "hb")), F.size("ha") + F.size("hb")
+    return pairs.join(left, "a").join(right, "b").where(both * (part.numerator + part.denominator) >= total * part.numerator).select("a", "b").distinct()
 
 
 def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, most: int = 8, hubs: int = 2) -> DataFrame:
-    """(doc_id, component_id) over links of estimated word-shingle similarity.
-
-    For a threshold on shingle sets a 64-bit fingerprint is too noisy (a
-    similarity of 0.8 is 10 +- 3 bits), so each text gets 1536 bits, cut into
-    blocks of log2(documents) + 3 bits, which keeps the number of texts that share
-    a block by chance in proportion to the input at every size. Texts that share a
-    block are compared over all bits and linked at the number of differing bits
-    that the similarity implies. Keys that more than ``most`` classes share
-    compare every class with ``hubs`` of their members instead of with each other,
-    so work stays linear in a group; copies are one class first. With 200,000
-    documents a pair at 0.8 shares some block with a probability of 0.87, at 0.85
-    of 0.98, at 0.9 of 0.9999; what one key misses in a group its other members
-    link.
+    """(doc_id, component_id) over all links of a Jaccard similarity of at least ``similarity``.
+
+    Texts are compared by the hashes of their distinct word shingles, exactly:
+    candidates come from a prefix filter and each is verified on the whole sets.
+    Copies are one class first. A hash in the prefixes of at most ``most``
+    classes joins all of them. Where more share one, they are compared with
+    ``hubs`` members first, which makes one component of a group of near copies;
+    then all pairs of a key that are in different components still are compared,
+    so no link that matters is left out and a group gives no square of pairs.
+    Shares of sizes and positions in the prefix rule pairs out beforehand.
     """
-    block = min(32, max(16, docs.count().bit_length() + 3))
-    prints = saved(_long_prints(docs, size, block))
-    classes = saved(prints.groupBy("words").agg(F.min("doc_id").alias("rep"), F.first("blocks").alias("blocks")).where("rep is not null"))
-    keyed = classes.select("rep", F.posexplode("blocks").alias("at", "value")).select("rep", (F.col("at").cast("long") * (1 << block) + F.col("value")).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = keyed.join(sizes, "key")
+    part = Fraction(similarity).limit_denominator(1000)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = saved(_prefixes(docs, size, part, docs.sparkSession.sparkContext.broadcast(_frequent(docs, size))))
+    classes = prints.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("prefix").alias("prefix")).where("rep is not null")
+    keyed = classes.select("rep", "size", F.posexplode("prefix").alias("at", "key")).withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    keyed = saved(keyed.where("n > 1"))
     small, large = keyed.where(F.col("n") <= most), keyed.where(F.col("n") > most)
-    left, right = small.select("key", F.col("rep").alias("a")), small.select("key", F.col("rep").alias("b"))
-    pairs = left.join(right, (left["key"] == right["key"]) & (left["a"] < right["b"])).select("a", "b")
-    chosen = large.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(hubs)).alias("part")).agg(F.min("rep").alias("a")).select("key", "a")
-    starred = large.select("key", F.col("rep").alias("b")).join(chosen, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = pairs.unionByName(starred).distinct()
-    wa, wb = classes.select(F.col("rep").alias("a"), F.col("words").alias("wa")), classes.select(F.col("rep").alias("b"), F.col("words").alias("wb"))
-    apart = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(WORDS)), F.lit(0))
-    links = found.join(wa, "a").join(wb, "b").where(apart <= bits_apart(similarity)).select("a", "b")
-    members = prints.join(classes.select("words", "rep"), "words").join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
+
+    def sides(x, y):
+        return tuple(d.select(*(F.col(c).alias(c if c in ("key", "salt") else c + end) for c in d.columns)) for d, end in ((x, "_a"), (y, "_b")))
+
+    def may_be():
+        # no more is in common than this hash and what follows it in the shorter rest, at the first common hash
+        rest = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+        return rest * (part.numerator + part.denominator) >= (F.col("size_a") + F.col("size_b")) * part.numerator
+
+    ends = [F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")]
+    left, right = sides(small, small)
+    pairs = left.join(right, "key").where((F.col("rep_a") < F.col("rep_b")) & may_be()).select(*ends)
+    chosen = large.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(hubs)).alias("of")).agg(F.min(F.struct("rep", "size", "at")).alias("hub")).select("key", "hub.*")
+    left, right = sides(chosen, large)
+    starred = left.join(right, "key").where((F.col("rep_a") != F.col("rep_b")) & may_be()).select(*ends)
+    found = components(_verified(saved(pairs.unionByName(starred).distinct()), docs, size, part))
+    found = saved(found)
+
+    # what is left of the crowded keys: pairs across components, the larger keys dealt over several tasks
+    held = large.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    by_key = Window.partitionBy("key")
+    held = saved(held.withColumn("lo", F.min("component").over(by_key)).withColumn("hi", F.max("component").over(by_key)).where("lo < hi").drop("lo", "hi"))
+    salts = F.ceil(F.col("n") / 512).cast("int")
+    left, right = sides(held.withColumn("salt", F.pmod(F.hash("rep"), salts)), held.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))))
+    across = saved(left.join(right, ["key", "salt"]).where((F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & may_be()).select(*ends).distinct())
+    links = _verified(across, docs, size, part).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    members = prints.join(classes.select("class", "rep"), "class").join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
     return members.select("doc_id", F.coalesce("component", "rep").alias("component_id"))
 
 
