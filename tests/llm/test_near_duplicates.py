@@ -43,6 +43,16 @@ def near(rnd, words, similarity):
     return words[:n] + fresh(rnd, len(words) - n)
 
 
+def test_pairs_on_both_sides_of_the_threshold(spark):
+    rnd, data = random.Random(5), []
+    for i in range(200):
+        words = fresh(rnd, rnd.randrange(60, 300))
+        data += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near(rnd, words, rnd.uniform(0.75, 0.85))))]
+    want = brute(data)
+    assert 40 < sum(d != c for d, c in want.items()) < 160
+    assert components(spark, data) == want
+
+
 @pytest.mark.parametrize("most", [2, 8])
 def test_crowded_keys_lose_no_link(spark, most):
     """Many texts share a long passage; some are alike to each other and to no other of the crowd."""
