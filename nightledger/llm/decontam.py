@@ -9,11 +9,15 @@ weights anywhere cannot reach the threshold it is left; else the blocks whose
 own sum of maxima reaches it are scored in full. Retrieved items are verified:
 the shares of the item's question (all but its last sentence) and of its answer
 (the last sentence; halves, if there is one sentence) found in the document as
-word 5-grams must both reach ``overlap``.
+word 5-grams must both reach ``overlap``. An item of more words than half a
+passage is indexed in pieces of at most so many, each of which lies whole in some
+passage of a document that holds the item; one retrieved piece has the whole item
+verified.
 
 The index goes to the workers in shards of at most ``shard_items`` items and
 ``shard_bytes`` of text, one pass over the documents for each, so what is
-broadcast is bounded; test sets are one shard.
+broadcast is bounded; test sets are one shard. Number, mean length and document
+frequencies are those of all items in every shard.
 
 Defined results: null or blank texts and items match nothing; an item_id that
 repeats is several items; repeated documents match each; an empty table on either
@@ -25,12 +29,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts
+from .common import raw_texts, saved
 
 _PLAIN = bytes(32 if i < 48 or 57 < i < 65 or 90 < i < 97 or 122 < i < 128 else i for i in range(256)).lower()
 GRAM = 5
@@ -55,25 +60,43 @@ def question_and_answer(text: bytes) -> tuple[list[bytes], list[bytes]]:
     return words[: (len(words) + 1) // 2], words[(len(words) + 1) // 2 :]
 
 
+def pieces(text: bytes, longest: int) -> list[list[bytes]]:
+    """The words of an item in the fewest runs of at most ``longest``, of about equal length."""
+    words = plain_words(text)
+    n = -(-len(words) // longest)
+    return [words[len(words) * i // n : len(words) * (i + 1) // n] for i in range(n)]
+
+
+class Statistics(NamedTuple):
+    """Number and mean length of all pieces, and how many have each term."""
+
+    n: int
+    mean: float
+    frequency: dict[bytes, int]
+
+
 class Index:
-    """The inverted index of some items, in blocks of ``width``."""
-
-    def __init__(self, items: list[tuple[int, bytes]], width: int = 4):
-        words = [(i, plain_words(t), t) for i, t in items]
-        words = sorted((w for w in words if w[1]), key=lambda w: len(w[1]))
-        self.ids = np.array([w[0] for w in words], np.int64)
-        self.parts = [question_and_answer(w[2]) for w in words]
-        frequency = Counter(t for _, w, _ in words for t in set(w))
+    """The inverted index of some items, their pieces in blocks of ``width``."""
+
+    def __init__(self, items: list[tuple[int, bytes]], width: int = 4, longest: int = 64, statistics: Statistics | None = None):
+        words = [(k, w) for k, (_, t) in enumerate(items) for w in pieces(t, longest)]
+        words = sorted(words, key=lambda w: len(w[1]))
+        self.ids = np.array([i for i, _ in items], np.int64)
+        self.parts = [question_and_answer(t) for _, t in items]
+        self.item_of = [k for k, _ in words]  # of a piece
+        if statistics is None:
+            statistics = Statistics(len(words), np.mean([len(w) for _, w in words]) if words else 1, Counter(t for _, w in words for t in set(w)))
+        total, mean, frequency = statistics
+        n = len(words)
         self.terms = {t: i for i, t in enumerate(sorted(frequency))}
-        n, mean = len(words), np.mean([len(w[1]) for w in words]) if words else 1
-        idf = {t: np.log(1 + (n - f + 0.5) / (f + 0.5)) for t, f in frequency.items()}
+        idf = {t: np.log(1 + (total - f + 0.5) / (f + 0.5)) for t, f in frequency.items()}
         self.largest = np.zeros((len(self.terms), -(-n // width)), np.float32)  # of a term in a block
         self.blocks = []  # (sorted term numbers, weights terms x items, first item)
         for first in range(0, n, width):
-            own = sorted({self.terms[t] for _, w, _ in words[first : first + width] for t in w})
+            own = sorted({self.terms[t] for _, w in words[first : first + width] for t in w})
             weights = np.zeros((len(own), min(width, n - first)))
             at = {t: i for i, t in enumerate(own)}
-            for j, (_, w, _) in enumerate(words[first : first + width]):
+            for j, (_, w) in enumerate(words[first : first + width]):
                 for t, f in Counter(w).items():
                     weights[at[self.terms[t]], j] = idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean))
             weights /= weights.sum(axis=0)
@@ -82,7 +105,7 @@ class Index:
             self.blocks.append((own, weights, first))
 
     def search(self, terms: np.ndarray, cells: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-        """(cell, item, score) of every passage, made of a cell and the one after it, that reaches the threshold.
+        """(cell, item, score) of every passage, made of a cell and the one after it, that reaches the threshold for a piece.
 
         ``terms`` with ``cells`` are the distinct (cell, term) pairs, sorted by cell and term.
         """
@@ -108,10 +131,25 @@ class Index:
             query = np.unique(terms[edges[cell] : edges[cell + 2]])
             at = np.minimum(np.searchsorted(own, query), len(own) - 1)
             scores = weights[at[own[at] == query]].sum(axis=0)
-            found += [(cell, first + j, float(scores[j])) for j in np.flatnonzero(scores >= threshold).tolist()]
+            found += [(cell, self.item_of[first + j], float(scores[j])) for j in np.flatnonzero(scores >= threshold).tolist()]
         return found
 
 
+def _statistics(items: DataFrame, longest: int) -> tuple[int, float, DataFrame]:
+    """Number and mean length of the pieces of all items, and (term, frequency)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [w for t in raw_texts(batch) for w in pieces(t, longest)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(len, found), pa.int64()), pa.array([list(set(w)) for w in found], pa.list_(pa.binary()))], names=["length", "terms"])
+
+    cut = saved(items.select("text").mapInArrow(run, "length long, terms array<binary>"))
+    n, words = cut.agg(F.count("*"), F.sum("length")).first()
+    return n, words / n if n else 1, saved(cut.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("frequency")))
+
+
 def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.5, passage: int = 128, shard_items: int = 1000, shard_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every verified pair; the score is the best passage's.
 
@@ -164,10 +202,14 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap:
     sized = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     n, size = sized.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     shards = max(1, -(-n // shard_items), -(-size // shard_bytes))
-    out = None
+    out, whole = None, _statistics(sized, half) if shards > 1 else None
     for s in range(shards):
         part = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s) if shards > 1 else sized
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"].encode()) for r in part.orderBy("item_id", "text").collect()]))
+        rows, known = [(r["item_id"], r["text"].encode()) for r in part.orderBy("item_id", "text").collect()], None
+        if whole:
+            own = spark.createDataFrame([(t,) for t in {t for _, text in rows for t in plain_words(text)}], "term binary")
+            known = Statistics(*whole[:2], {bytes(r["term"]): r["frequency"] for r in whole[2].join(own, "term").collect()})
+        index = spark.sparkContext.broadcast(Index(rows, longest=half, statistics=known))
         found = docs.mapInArrow(searcher(index), schema)
         out = found if out is None else out.unionByName(found)
     return out
