@@ -2,7 +2,9 @@
 
 A tag scanner feeds a small tree builder: end tags that HTML implies (of p, li,
 table cells and rows, options, definition items) are closed before the tag that
-implies them, void elements have no content, and stray end tags are ignored. The
+implies them, the first matter that is none of the head closes it, cells without
+a row get one, what a table cannot hold goes before it, void elements have no
+content, and stray end tags are ignored. The
 tree is rendered as a browser would show it: hidden elements, scripts, styles and
 head matter are left out; white space collapses but for preformatted text; blocks
 start on lines of their own, paragraphs and headings with a blank line around
@@ -34,25 +36,53 @@ IMPLIED = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), **{x: ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}, {"table"}) for x in ("thead", "tbody", "tfoot")}, "body": ({"head"}, {"html"}),
 }
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>])*+)(?:>|$)", re.S)
-_HIDE = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
-_LIST_TYPE = re.compile(r"""start\s*=\s*["']?(\d{1,9})""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/=>][^\s/=>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: What a head holds; anything else closes it.
+HEAD = frozenset("head html base basefont bgsound link meta noframes noscript script style template title".split())
+#: Parts of a table that hold no text of their own, and what they may hold.
+PARTS = frozenset("table thead tbody tfoot tr colgroup".split())
+IN_PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th script style template form".split())
+#: A part goes into the nearest open element of its set.
+INTO = {"td": {"tr", "thead", "tbody", "tfoot", "table"}, "tr": {"thead", "tbody", "tfoot", "table"}, **{x: {"table"} for x in ("caption", "colgroup", "thead", "tbody", "tfoot")}}
+INTO["th"] = INTO["td"]
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "home")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.home = tag, attrs, [], []
+
+    def attributes(self) -> dict[str, str]:
+        """Values by lower-cased name; of a repeated name the first."""
+        out: dict[str, str] = {}
+        for name, *values in _ATTRIBUTE.findall(self.attrs):
+            out.setdefault(name.lower(), html.unescape("".join(values)))
+        return out
 
 
 def parse(source: str) -> Node:
     """The tree of a page; text children are plain strings, entities decoded."""
     root = Node("html")
-    stack, at = [root], 0
+    stack, at, headed = [root], 0, False
+
+    def add(child: Node | str) -> None:
+        home = stack[-1].children
+        spare = child.tag not in IN_PARTS if isinstance(child, Node) else not child.isspace()
+        table = next((n for n in reversed(stack) if n.tag == "table"), None) if spare and stack[-1].tag in PARTS else None
+        if table:
+            home = table.home
+            home.insert(next(i for i in range(len(home) - 1, -1, -1) if home[i] is table), child)
+        else:
+            home.append(child)
+        if isinstance(child, Node):
+            child.home = home
 
     def text(s: str) -> None:
         if s:
-            stack[-1].children.append(html.unescape(s))
+            if stack[-1].tag == "head" and not s.isspace():
+                stack.pop()
+            add(html.unescape(s))
 
     while m := _TAG.search(source, at):
         text(source[at : m.start()])
@@ -64,8 +94,14 @@ def parse(source: str) -> Node:
             if depth:
                 del stack[depth:]
             elif tag == "p":
-                stack[-1].children.append(Node("p"))
+                add(Node("p"))
             continue
+        if tag == "head":
+            if headed or len(stack) > 1:
+                continue
+            headed = True
+        elif stack[-1].tag == "head" and tag not in HEAD:
+            stack.pop()
         if tag in BLOCK and any(n.tag == "p" for n in stack[-3:]) and tag not in ("html", "body", "option", "tr", "caption"):
             depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == "p")
             del stack[depth:]
@@ -77,14 +113,21 @@ def parse(source: str) -> Node:
                 del stack[i:]
         if tag in ("html", "body") and any(n.tag == tag for n in stack):
             continue
-        node = Node(tag, m[3])
-        stack[-1].children.append(node)
+        depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in INTO[tag]), 0) if tag in INTO else 0
+        if depth:
+            del stack[depth + 1 :]
+            if tag in ("td", "th") and stack[-1].tag != "tr":
+                row = Node("tr")
+                add(row)
+                stack.append(row)
+        node, loose = Node(tag, m[3]), tag == "form" and stack[-1].tag in PARTS
+        add(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at)
             content = source[at : end.start() if end else len(source)]
             node.children.append(content if tag in ("script", "style") else html.unescape(content))
             at = end.end() if end else len(source)
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not loose and not m[3].endswith("/"):
             stack.append(node)
     text(source[at:])
     return root
@@ -137,7 +180,21 @@ def _table(node: Node) -> list[str]:
 
 
 def _hidden(node: Node) -> bool:
-    return node.tag in HIDDEN or bool(node.attrs and _HIDE.search(node.attrs))
+    if node.tag in HIDDEN or not node.attrs:
+        return node.tag in HIDDEN
+    given = node.attributes()
+    return "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or _unshown(given.get("style", ""))
+
+
+def _unshown(style: str) -> bool:
+    """Whether a style hides its element: the last declaration of a property counts, important ones before others."""
+    last: dict[str, tuple[bool, str]] = {}
+    for declaration in re.sub(r"/\*.*?\*/", "", style, flags=re.S).lower().split(";"):
+        name, _, value = declaration.partition(":")
+        value, mark, _ = value.partition("!")
+        if bool(mark) >= last.get(name.strip(), (False, ""))[0]:
+            last[name.strip()] = bool(mark), value.strip()
+    return last.get("display", (0, ""))[1] == "none" or last.get("visibility", (0, ""))[1] == "hidden"
 
 
 def render(node: Node, children: list | None = None) -> str:
@@ -159,12 +216,11 @@ def render(node: Node, children: list | None = None) -> str:
         elif x.tag == "br":
             lines.line()
         elif x.tag == "img":
-            alt = re.search(r"""alt\s*=\s*(?:"([^"]*)"|'([^']*)')""", x.attrs, re.I)
-            lines.text(html.unescape(alt[1] or alt[2] or "") if alt else "")
+            lines.text(x.attributes().get("alt", ""))
         elif x.tag == "table":
             lines.line(True)
             for c in x.children:
-                if isinstance(c, Node) and c.tag == "caption":
+                if isinstance(c, Node) and c.tag == "caption" and not _hidden(c):
                     lines.text(render(Node("div"), c.children))
             lines.line()
             lines.raw(_table(x))
@@ -178,7 +234,7 @@ def render(node: Node, children: list | None = None) -> str:
                 lines.line(x.tag in SPACED and not (x.tag in ("ul", "ol", "menu") and lists))
                 todo.append(("close", x))
             if x.tag in ("ul", "ol", "menu"):
-                start = _LIST_TYPE.search(x.attrs)
+                start = re.match(r"\s*(-?\d{1,9})", x.attributes().get("start", ""))
                 lists.append([x.tag, int(start[1]) if start else 1])
             elif x.tag == "li":
                 depth, own = max(0, len(lists) - 1), lists[-1] if lists else ["ul", 1]
