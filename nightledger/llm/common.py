@@ -15,6 +15,10 @@ from ..session import ship
 #: Spark's own xxhash64() uses this seed, so a hash made in SQL and one made in a task agree.
 SEED = 42
 U64 = np.uint64
+#: No table is dealt into more ranges than this; at 100 TB a range has 3 GB, which a task sorts with spilling.
+MOST_PARTS = 1 << 15
+#: Tables of at most so many ids are broadcast; larger ones are joined by an exchange.
+FEW = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +41,43 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` but for the rows whose doc_id is in ``ids`` (counted first: few are broadcast, so that no text is exchanged)."""
+    ids = saved(ids.distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", "left_anti")
+
+
+def join_labels(rows: DataFrame, labels: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` (``total`` of them) joined on ``key`` to ``labels``, one row a key with ``n``, the rows it meets.
+
+    Keys of more than one row in a thousand, of which there are fewer than a
+    thousand, are broadcast; the rest are joined by an exchange, so no group
+    meets in one task however large it is.
+    """
+    columns = [c for c in labels.columns if c not in (key, "n")]
+    many = F.col("n") > max(500, total // 1000)
+    marked = rows.join(F.broadcast(labels.where(many).withColumn("hot", F.lit(True)).drop("n")), key, "left")
+    hot, rest = marked.where("hot"), marked.where("hot is null").drop(*columns, "hot").join(labels.where(~many).drop("n"), key)
+    return hot.drop("hot").unionByName(rest)
+
+
+def longs(values) -> Column:
+    """A constant array of longs (one literal in the plan, whatever its length)."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def part_of(a: Column, b: Column, bounds: list[tuple[int, int]]) -> Column:
+    """The number of the sorted ``bounds`` at or below (a, b), by binary search in a constant array."""
+    xs, ys = longs(x for x, _ in bounds), longs(y for _, y in bounds)
+
+    def step(at, jump):
+        x, y = F.get(xs, at + jump - 1), F.get(ys, at + jump - 1)
+        return F.when((x < a) | ((x == a) & (y <= b)), at + jump).otherwise(at)
+
+    jumps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, jumps)), F.lit(0), step) if bounds else F.lit(0)
+
+
 def crc_text(doc_id: Column) -> Column:
     """Unsigned CRC-32 of an id written as text (a null id counts as empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import join_labels, saved
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """Each node's neighbours, the larger (or the smaller ones and itself) linked to the least of all of them."""
+def _star(edges: DataFrame, small: bool, total: int) -> DataFrame:
+    """Each node's neighbours, the larger (or the smaller ones and itself) linked to the least of all of them.
+
+    ``total`` is the number of edges about: nodes with a large part of them are joined by broadcast.
+    """
     both = edges if small else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = both.join(least, "a")
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    joined = join_labels(both, least, "a", total)
     if small:  # a is the larger end of each edge
         out = joined.select(F.col("b").alias("x"), "m").unionByName(least.select(F.col("a").alias("x"), "m"))
     else:
@@ -20,7 +23,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return out.where(F.col("x") != F.col("m")).select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is the least node it reaches.
 
     Nodes are longs; self links and repeats are ignored. Every round is a
@@ -32,14 +35,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return row["n"], row["x"]
 
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = mark(now)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        now = saved(_star(_star(now, False), True))
+    was, seen = None, mark(now)
+    while seen[0] and was != seen:  # every round lowers a label, so this ends
+        now = saved(_star(saved(_star(now, False, 2 * seen[0])), True, seen[0]))
         was, seen = seen, mark(now)
-        if was == seen:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

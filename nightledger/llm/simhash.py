@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SEED, U64, raw_texts, saved
+from .common import FEW, SEED, U64, join_labels, raw_texts, saved, without
 from .components import components
 
 
@@ -104,9 +104,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFr
     prints = saved(fingerprints(docs, size))
     classes = prints.select("fp").distinct()
     linked = components(close_pairs(classes, distance))
-    labelled = prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", F.coalesce("component", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(least, "root").select("doc_id", "fp", "component_id")
+    counted = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    rooted = counted.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "least", F.coalesce("component", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    roots = join_labels(rooted.withColumnRenamed("n", "rows"), least, "root", classes.count()).select("fp", F.col("rows").alias("n"), "component_id")
+    return join_labels(prints, roots, "fp", prints.count()).select("doc_id", "fp", "component_id")
 
 
 
@@ -146,8 +148,21 @@ def _frequent(docs: DataFrame, size: int, share: int = 16, at_most: int = 500_00
     return hashes[order], n[order]
 
 
+#: Ranges of a sketch, and from how many filled ranges on it may rule a pair out.
+RANGES, ENOUGH = 128, 96
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """A byte for each of ``RANGES`` equal ranges of hashes: of the least hash there, 0 where there is none."""
+    edges = np.searchsorted(hashes, np.arange(RANGES, dtype=U64) << U64(57))
+    filled = edges < np.append(edges[1:], len(hashes))
+    out = np.zeros(RANGES, np.uint8)
+    out[filled] = (hashes[edges[filled]] & U64(127)).astype(np.uint8) | 128
+    return out.tobytes()
+
+
 def _prefixes(docs: DataFrame, size: int, part: Fraction, frequent) -> DataFrame:
-    """(doc_id, class, size, prefix): a digest of the shingle set, its size, and its first hashes, rarest first.
+    """(doc_id, class, size, sketch, prefix): a digest of the shingle set, its size, and its first hashes, rarest first.
 
     Two sets of a Jaccard similarity of at least ``part`` have a common hash in their prefixes.
     """
@@ -157,28 +172,73 @@ def _prefixes(docs: DataFrame, size: int, part: Fraction, frequent) -> DataFrame
 
         known, counts = frequent.value
         for batch in batches:
-            digests, sizes, prefixes = [], [], []
+            digests, sizes, sketches, prefixes = [], [], [], []
             for text in raw_texts(batch):
                 hashes = shingle_hashes(text.lower().split(), size)
                 digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                 sizes.append(len(hashes))
+                sketches.append(sketch(hashes))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
                     hashes = hashes[np.argsort(np.where(known[at] == hashes, counts[at], 0), kind="stable")]
                 prefixes.append(hashes[: len(hashes) - -(-len(hashes) * part.numerator // part.denominator) + 1].view("<i8"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "class", "size", "prefix"])
+            arrays = [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "class", "size", "sketch", "prefix"])
+
+    return docs.mapInArrow(run, "doc_id long, class binary, size int, sketch binary, prefix array<long>")
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, part: Fraction) -> DataFrame:
+    """The pairs (a, b) that their sketches do not rule out.
+
+    Equal bytes in the filled ranges estimate the similarity; with ``ENOUGH``
+    ranges, a pair whose estimate is 0.3 below ``part`` is over seven standard
+    deviations away from it. Pairs with fewer filled ranges all stay.
+    """
+    least = float(part) - 0.3
+
+    def run(batches):
+        import pyarrow as pa
 
-    return docs.mapInArrow(run, "doc_id long, class binary, size int, prefix array<long>")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES) for c in ("x", "y"))
+            filled, equal = ((x | y) > 0).sum(axis=1), ((x == y) & (x > 0)).sum(axis=1)
+            keep = pa.array((filled < ENOUGH) | (equal >= least * filled))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    left, right = (classes.select(F.col("rep").alias(end), F.col("sketch").alias(s)) for end, s in (("a", "x"), ("b", "y")))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, part: Fraction) -> DataFrame:
-    """The pairs (a, b) whose distinct shingles have a Jaccard similarity of at least ``part``."""
+    """The pairs (a, b) whose distinct shingles have a Jaccard similarity of at least ``part``, on whole texts."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep, known = [], {}
+            for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), raw_texts(batch, "x"), raw_texts(batch, "y"), strict=True):
+                sets = []
+                for end, text in ((a, x), (b, y)):
+                    if (end, len(text)) not in known:
+                        if len(known) > 64:
+                            known.clear()
+                        known[end, len(text)] = text, shingle_hashes(text.lower().split(), size)
+                    held = known[end, len(text)]
+                    sets.append(held[1] if held[0] == text else shingle_hashes(text.lower().split(), size))
+                both = len(np.intersect1d(*sets, assume_unique=True))
+                keep.append(both * (part.numerator + part.denominator) >= sum(map(len, sets)) * part.numerator)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
     ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    ids = F.broadcast(ids) if ids.count() <= 1 << 21 else ids  # few: the texts need no shuffle
-    sets = _hash_sets(docs.join(ids, "doc_id", "left_semi"), size).repartition("doc_id").dropDuplicates()
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"))
-    both, total = F.size(F.array_intersect("ha", "hb")), F.size("ha") + F.size("hb")
-    return pairs.join(left, "a").join(right, "b").where(both * (part.numerator + part.denominator) >= total * part.numerator).select("a", "b").distinct()
+    ids = F.broadcast(ids) if ids.count() <= FEW else ids  # few: only their texts are exchanged
+    texts = docs.join(ids, "doc_id", "left_semi").repartition("doc_id").dropDuplicates()
+    left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, most: int = 8, hubs: int = 2) -> DataFrame:
@@ -196,7 +256,8 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, m
     part = Fraction(similarity).limit_denominator(1000)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = saved(_prefixes(docs, size, part, docs.sparkSession.sparkContext.broadcast(_frequent(docs, size))))
-    classes = prints.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("prefix").alias("prefix")).where("rep is not null")
+    everything = prints.count()
+    classes = prints.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")).where("rep is not null")
     keyed = classes.select("rep", "size", F.posexplode("prefix").alias("at", "key")).withColumn("n", F.count("*").over(Window.partitionBy("key")))
     keyed = saved(keyed.where("n > 1"))
     small, large = keyed.where(F.col("n") <= most), keyed.where(F.col("n") > most)
@@ -215,8 +276,7 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, m
     chosen = large.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(hubs)).alias("of")).agg(F.min(F.struct("rep", "size", "at")).alias("hub")).select("key", "hub.*")
     left, right = sides(chosen, large)
     starred = left.join(right, "key").where((F.col("rep_a") != F.col("rep_b")) & may_be()).select(*ends)
-    found = components(_verified(saved(pairs.unionByName(starred).distinct()), docs, size, part))
-    found = saved(found)
+    found = saved(components(_verified(saved(_likely(pairs.unionByName(starred).distinct(), classes, part)), docs, size, part)))
 
     # what is left of the crowded keys: pairs across components, the larger keys dealt over several tasks
     held = large.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -224,10 +284,12 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, m
     held = saved(held.withColumn("lo", F.min("component").over(by_key)).withColumn("hi", F.max("component").over(by_key)).where("lo < hi").drop("lo", "hi"))
     salts = F.ceil(F.col("n") / 512).cast("int")
     left, right = sides(held.withColumn("salt", F.pmod(F.hash("rep"), salts)), held.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))))
-    across = saved(left.join(right, ["key", "salt"]).where((F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & may_be()).select(*ends).distinct())
+    across = left.join(right, ["key", "salt"]).where((F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & may_be()).select(*ends).distinct()
+    across = saved(_likely(across, classes, part))
     links = _verified(across, docs, size, part).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    members = prints.join(classes.select("class", "rep"), "class").join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
-    return members.select("doc_id", F.coalesce("component", "rep").alias("component_id"))
+    reps = prints.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("rep is not null")
+    reps = reps.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("class", "n", F.coalesce("component", "rep").alias("component_id"))
+    return join_labels(prints.select("doc_id", "class"), reps, "class", everything).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -235,5 +297,4 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
 
     Rows that share a doc_id are one document and stay or go together.
     """
-    gone = similar_documents(docs, size, similarity).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return without(docs, similar_documents(docs, size, similarity).where("doc_id <> component_id").select("doc_id"))
