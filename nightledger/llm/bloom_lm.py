@@ -1,37 +1,45 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Unigram and bigram counts are quantised on a logarithmic scale; an n-gram at
-level q is stored as the q keys (n-gram, 1) ... (n-gram, q). A worker reads a
-count by probing levels 1, 2, ... until one is missing. Probabilities interpolate
-the bigram's relative frequency with the add-one unigram probability.
-
-The filter is built in segments: n-gram keys are partitioned by segment, counted
-and quantised there, and each segment is one bit array. Segments are broadcast in
-groups of at most ``filter_bytes``; while all fit in one group the texts are read
-once, beyond that the probed levels are carried (one byte per token and order) in
-a checkpointed table from group to group, so the memory of a worker has the same
-bound at every size. The exact counts that the base score needs come from a
-broadcast of the tokens that make up at least 1 / ``head`` of the corpus (so at
-most ``head`` of them) and from a join for all others.
+level q is stored as the q keys (n-gram, 1) ... (n-gram, q). A count is read by
+probing levels 1, 2, ... until one is missing. Probabilities interpolate the
+bigram's relative frequency with the add-one unigram probability.
+
+The filter grows with the corpus, so it is never held whole: it consists of
+segments of a fixed size, an n-gram's segment follows from its hash, and each
+segment is built and probed in one task, which is sent the n-grams that the texts
+ask for. Texts are dealt into blocks of about ``block_bytes`` by a hash. Every
+block sends its distinct n-grams, with their counts in its training texts, to
+the segments; a segment sums the counts, sets its bits, and answers each block
+with the levels that it reads back (and with the words' exact counts, which the
+base score needs). N-grams and answers are in the order of the hash, so a block
+finds them by position. There is one way at every size: two exchanges of packed
+bytes, one of texts that both uses share, and nothing that grows on the driver
+or in a broadcast.
 
 Defined results: null or blank text is the end token alone; a null doc_id is
-hashed as empty text; rows that share a doc_id and text score alike, once each;
-with no training row every count is 0 and N and V are 0; an empty table gives no
-rows; other columns are not read.
+hashed as empty text; repeated rows score alike, once each; with no training row
+every count is 0 and N and V are 0; an empty table gives no rows; other columns
+are not read. Token counts are keyed by 64-bit hashes of the words.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, crc_text, mixed, raw_texts, saved, word_hashes
+from .common import U64, crc_text, mixed, raw_texts, word_hashes
 
 #: Keys of the end token (no word is empty) and of the start of a text (a history only).
 END, START = (int(x) for x in word_hashes([b"", b" "]))
 SEGMENT_BITS = 1 << 23
 PROBES = 6
+#: More tasks than this do not help; each then holds several blocks or segments, one after another.
+MOST_TASKS = 1 << 15
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def levels(step: float = 1.15, top: float = 1e16) -> np.ndarray:
@@ -47,9 +55,15 @@ LEVELS = levels()
 VALUES = np.concatenate([[0.0], np.sqrt(LEVELS[:-1] * (LEVELS[1:] - 1.0))])
 
 
-def tokens_of(text: bytes) -> np.ndarray:
-    """Hashes of the lower-cased words and the end."""
-    return np.append(word_hashes(text.lower().split()), U64(END))
+def tokens_of(text: bytes, most: int = 1 << 20) -> np.ndarray:
+    """Hashes of the lower-cased words and the end; long texts are split a part at a time."""
+    parts, at = [], 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + most)
+        end = cut.start() if cut else len(text)
+        parts.append(word_hashes(text[at:end].lower().split()))
+        at = end + 1
+    return np.concatenate([*parts, np.array([END], U64)])
 
 
 def bigrams(tokens: np.ndarray) -> np.ndarray:
@@ -58,9 +72,15 @@ def bigrams(tokens: np.ndarray) -> np.ndarray:
     return mixed(before * U64(0xD6E8FEB86659FD93) + tokens)
 
 
+def unigram_key(tokens: np.ndarray) -> np.ndarray:
+    """One to one."""
+    return mixed(tokens ^ U64(0xA0761D6478BD642F))
+
+
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    """By the upper 24 bits, in order of the key."""
-    return ((keys >> U64(40)) * U64(segments) >> U64(24)).astype(np.int64)
+    """By the upper 24 bits (32, where there are more segments), in order of the key."""
+    bits = 24 if segments <= 1 << 24 else 32
+    return ((keys >> U64(64 - bits)) * U64(segments) >> U64(bits)).astype(np.int64)
 
 
 def probe_pair(keys: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,45 +89,73 @@ def probe_pair(keys: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, n
     return x & U64(SEGMENT_BITS - 1), (x >> U64(23)) | U64(1)
 
 
-def unigram_key(tokens: np.ndarray) -> np.ndarray:
-    return mixed(tokens ^ U64(0xA0761D6478BD642F))
-
+class Segment:
+    """One segment of the filter."""
 
-class Filter:
-    """Segments of a log-frequency Bloom filter, from ``first`` on, as one run of bytes."""
+    def __init__(self):
+        self.bits = np.zeros(SEGMENT_BITS, bool)
 
-    def __init__(self, segments: int, first: int, bits: bytes | bytearray):
-        self.segments, self.base = segments, np.full(segments, -1)
-        here = len(bits) * 8 // SEGMENT_BITS
-        self.base[first : first + here] = np.arange(here) * SEGMENT_BITS
-        self.bits = np.frombuffer(bits, np.uint8)
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Stores distinct keys at the levels of their counts."""
+        top = np.searchsorted(LEVELS, counts, side="right")
+        for level in range(1, int(top.max(initial=0)) + 1):
+            start, stride = probe_pair(keys[top >= level], level)
+            for i in range(PROBES):
+                self.bits[((start + U64(i) * stride) & U64(SEGMENT_BITS - 1)).astype(np.int64)] = True
 
-    def read(self, keys: np.ndarray, known: np.ndarray) -> None:
-        """Sets ``known`` to the levels of the keys whose segment is here: one membership probe after another."""
-        base = self.base[segment_of(keys, self.segments)]
-        alive, level = np.flatnonzero(base >= 0), 0
+    def read(self, keys: np.ndarray) -> np.ndarray:
+        """The levels of the keys, by one membership probe after another."""
+        known, alive, level = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 0
         while len(alive):
             level += 1
             start, stride = probe_pair(keys[alive], level)
             for i in range(PROBES):
-                at = ((start + U64(i) * stride) & U64(SEGMENT_BITS - 1)).astype(np.int64) + base[alive]
-                hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                hit = self.bits[((start + U64(i) * stride) & U64(SEGMENT_BITS - 1)).astype(np.int64)]
                 alive, start, stride = alive[hit], start[hit], stride[hit]
             known[alive] = level
+        return known
+
+
+class Keys:
+    """Distinct keys with counts, gathered a part at a time."""
+
+    def __init__(self):
+        self.keys, self.counts, self.parts, self.waiting = np.zeros(0, U64), np.zeros(0, np.int64), [], 0
+
+    def add(self, keys: np.ndarray, learn: bool) -> None:
+        self.parts.append((keys, learn))
+        self.waiting += len(keys)
+        if self.waiting > 1 << 20:
+            self.settle()
+
+    def settle(self) -> None:
+        weights = [self.counts, *(np.full(len(k), int(learn)) for k, learn in self.parts)]
+        self.keys, at = np.unique(np.concatenate([self.keys, *(k for k, _ in self.parts)]), return_inverse=True)
+        self.counts = np.bincount(at, np.concatenate(weights), len(self.keys)).astype(np.int64)
+        self.parts, self.waiting = [], 0
+
+    def by_segment(self, segments: int) -> np.ndarray:
+        """Where each segment's keys begin."""
+        self.settle()
+        return np.searchsorted(segment_of(self.keys, segments), np.arange(segments + 1))
+
 
+def low_bytes(keys: np.ndarray) -> bytes:
+    """The lower 40 bits of each key."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
-def _chunks(batches, columns, most: int = 1 << 21):
-    """Lists of rows of about ``most`` bytes of text (the last column) each."""
-    rows, size = [], 0
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in columns), raw_texts(batch), strict=True):
-            rows.append(row)
-            size += len(row[-1]) + 1
-            if size >= most:
-                yield rows
-                rows, size = [], 0
-    if rows:
-        yield rows
+
+def from_low_bytes(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view(U64).reshape(-1)
+
+
+def _binary(names: str, columns: list[list], first: int):
+    """A batch whose first ``first`` columns are longs and all others binary."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < first else pa.binary()) for i, c in enumerate(columns)], names=names.split())
 
 
 def _unigrams(docs: DataFrame) -> DataFrame:
@@ -116,197 +164,136 @@ def _unigrams(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for rows in _chunks(batches, [], 1 << 23):
-            keys, n = np.unique(np.concatenate([tokens_of(t) for (t,) in rows]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["token", "n"])
+        for batch in batches:
+            found = Keys()
+            for text in raw_texts(batch):
+                found.add(tokens_of(text), True)
+            found.settle()
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys.view(np.int64)), pa.array(found.counts)], names=["token", "n"])
 
     return docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _packed(keys: np.ndarray, n: np.ndarray, segments: int):
-    """Rows (segment, keys, counts) of sorted distinct keys; a key's lower 40 bits are 5 bytes."""
-    import pyarrow as pa
-
-    cuts = np.searchsorted(segment_of(keys, segments), np.arange(segments + 1))
-    some = np.flatnonzero(np.diff(cuts))
-    low, n = keys.view(np.uint8).reshape(-1, 8)[:, :5], n.astype("<u4")
-    parts = [(low[cuts[s] : cuts[s + 1]].tobytes(), n[cuts[s] : cuts[s + 1]].tobytes()) for s in some]
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], names=["segment", "keys", "counts"])
+def _asked(blocks: DataFrame, segments: int) -> DataFrame:
+    """For every block and segment: the block's distinct words and bigrams there, with their training counts."""
+    names = "segment block words word_counts pairs pair_counts"
 
+    def run(batches):
+        now, words, pairs = None, Keys(), Keys()
+
+        def rows():
+            a, b = words.by_segment(segments), pairs.by_segment(segments)
+            some = np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0))
+            for lo in range(0, len(some), 4096):
+                cols = [[] for _ in range(6)]
+                for s in some[lo : lo + 4096].tolist():
+                    w, p = slice(a[s], a[s + 1]), slice(b[s], b[s + 1])
+                    row = s, now, words.keys[w].tobytes(), words.counts[w].astype("<u4").tobytes(), low_bytes(pairs.keys[p]), pairs.counts[p].astype("<u4").tobytes()
+                    for c, v in zip(cols, row, strict=True):
+                        c.append(v)
+                yield _binary(names, cols, 2)
 
-def _filter_segments(docs: DataFrame, unigrams: DataFrame, segments: int) -> DataFrame:
-    """(segment, bits) over all bigrams of ``docs`` and all ``unigrams``."""
+        for batch in batches:
+            for block, learn, text in zip(batch.column("block").to_pylist(), batch.column("learn").to_pylist(), raw_texts(batch), strict=True):
+                if block != now and now is not None:
+                    yield from rows()
+                    words, pairs = Keys(), Keys()
+                now, tokens = block, tokens_of(text)
+                words.add(unigram_key(tokens), learn)
+                pairs.add(bigrams(tokens), learn)
+        if now is not None:
+            yield from rows()
 
-    def pairs(batches):
-        for rows in _chunks(batches, [], 1 << 23):
-            yield _packed(*np.unique(np.concatenate([bigrams(tokens_of(t)) for (t,) in rows]), return_counts=True), segments)
+    return blocks.sortWithinPartitions("block").mapInArrow(run, "segment long, block long, words binary, word_counts binary, pairs binary, pair_counts binary")
 
-    def singles(batches):
-        for batch in batches:
-            keys, n = unigram_key(batch.column("token").to_numpy().view(U64)), batch.column("n").to_numpy()
-            order = np.argsort(keys)
-            yield _packed(keys[order], np.minimum(n[order], 2**32 - 1), segments)
 
-    def build(batches):
-        import pyarrow as pa
+def _answered(asked: DataFrame, segments: int) -> DataFrame:
+    """For every block and segment: exact counts of its words, and the levels of its words and bigrams in the filter."""
+    names = "segment block counts word_levels pair_levels"
 
-        def bits(segment, keys, counts):
-            raw = np.zeros((sum(map(len, keys)) // 5, 8), np.uint8)
-            raw[:, :5] = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 5)
-            distinct, at = np.unique(raw.view("<u8").reshape(-1), return_inverse=True)
-            total = np.bincount(at, weights=np.frombuffer(b"".join(counts), "<u4")).astype(np.int64)
-            top = np.searchsorted(LEVELS, total, side="right")
-            out = np.zeros(SEGMENT_BITS, bool)
-            for level in range(1, int(top.max()) + 1):
-                start, stride = probe_pair(distinct[top >= level], level)
-                for i in range(PROBES):
-                    out[((start + U64(i) * stride) & U64(SEGMENT_BITS - 1)).astype(np.int64)] = True
-            return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
-
-        now, keys, counts = None, [], []
+    def run(batches):
+        def rows(segment, held):
+            blocks, words, word_counts, pairs, pair_counts = zip(*held, strict=True)
+            filled = Segment()
+            answers = []
+            for keys, raw in ((np.frombuffer(b"".join(words), U64), word_counts), (from_low_bytes(b"".join(pairs)), pair_counts)):
+                keys, at = np.unique(keys, return_inverse=True)
+                total = np.bincount(at, np.frombuffer(b"".join(raw), "<u4"), len(keys)).astype(np.int64)
+                filled.add(keys[total > 0], total[total > 0])
+                answers.append((keys, at, total))
+            (w, w_at, w_total), (p, p_at, _) = answers
+            counts, w_level, p_level = w_total[w_at], filled.read(w)[w_at], filled.read(p)[p_at]
+            w_cut, p_cut = np.cumsum([0, *(len(x) // 8 for x in words)]), np.cumsum([0, *(len(x) // 5 for x in pairs)])
+            for lo in range(0, len(blocks), 4096):
+                here = range(lo, min(lo + 4096, len(blocks)))
+                word, pair = [slice(w_cut[i], w_cut[i + 1]) for i in here], [slice(p_cut[i], p_cut[i + 1]) for i in here]
+                yield _binary(names, [[segment] * len(here), list(blocks[lo : lo + 4096]), [counts[s].astype("<i8").tobytes() for s in word], [w_level[s].tobytes() for s in word], [p_level[s].tobytes() for s in pair]], 2)
+
+        now, held = None, []
         for batch in batches:
-            for segment, k, n in zip(*(batch.column(c).to_pylist() for c in ("segment", "keys", "counts")), strict=True):
-                if segment != now and keys:
-                    yield bits(now, keys, counts)
-                    keys, counts = [], []
+            for segment, *row in zip(*(batch.column(c).to_pylist() for c in ("segment", "block", "words", "word_counts", "pairs", "pair_counts")), strict=True):
+                if segment != now and held:
+                    yield from rows(now, held)
+                    held = []
                 now = segment
-                keys.append(k)
-                counts.append(n)
-        if keys:
-            yield bits(now, keys, counts)
+                held.append(row)
+        if held:
+            yield from rows(now, held)
 
-    schema = "segment int, keys binary, counts binary"
-    rows = docs.select("text").mapInArrow(pairs, schema).unionByName(unigrams.select("token", "n").mapInArrow(singles, schema))
-    # a row is a block of keys, and segments are equal in keys: each task holds one segment at a time
-    return rows.repartition(segments, "segment").sortWithinPartitions("segment").mapInArrow(build, "segment int, bits binary")
+    dealt = asked.repartition(min(segments, MOST_TASKS), "segment").sortWithinPartitions("segment")
+    return dealt.mapInArrow(run, "segment long, block long, counts binary, word_levels binary, pair_levels binary")
 
 
-def score_texts(docs: DataFrame, training, filter_bytes: int = 256 << 20, bits_per_token: int = 8, head: int = 1_000_000, weight: float = 0.2) -> DataFrame:
+def score_texts(docs: DataFrame, training, block_bytes: int = 4 << 20, bits_per_token: int = 8, weight: float = 0.2) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every text.
 
     ``training`` is a condition on the rows of ``docs`` (doc_id, text) from which
     counts are learned. ``weight`` is the bigram's share in the interpolation.
     The score is the log10 probability of the text's words and its end.
     """
-    sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), training.alias("learn"))
-    train = docs.where("learn")
-    unigrams = saved(_unigrams(train))
-    total = unigrams.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("token") == int(np.int64(U64(END).view(np.int64))), F.col("n"))).alias("texts")).first()
-    n_all, distinct = total["n"] or 0, total["v"]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), training.alias("learn"))
+    size, learned = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)), F.count(F.when(F.col("learn"), 1))).first()
+    n_all, distinct = _unigrams(docs.where("learn")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     floor = n_all + distinct + 1.0
+    start = VALUES[np.searchsorted(LEVELS, learned, side="right")]  # of the history of a text's first word
+    segments, parts = max(1, -(-bits_per_token * n_all // SEGMENT_BITS)), max(1, -(-size // block_bytes))
+    names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+    schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
-    # at most `head` tokens can have this count, whatever the corpus
-    common = unigrams.where(F.col("n") >= max(1, -(-n_all // head))).toArrow()
-    order = np.argsort(common.column("token").to_numpy().view(U64))
-    head_table = sc.broadcast((common.column("token").to_numpy().view(U64)[order], common.column("n").to_numpy()[order]))
-
-    def in_head(tokens):
-        keys, n = head_table.value
-        if not len(keys):
-            return np.zeros(len(tokens), np.int64)
-        at = np.minimum(np.searchsorted(keys, tokens), len(keys) - 1)
-        return np.where(keys[at] == tokens, n[at], 0)
-
-    def rare(batches):
-        """Each text's tokens outside the head; `one` marks the first row of a text."""
+    def score(texts, answers):
         import pyarrow as pa
 
-        for rows in _chunks(batches, ["doc_id", "mark"]):
-            cols = [[] for _ in range(5)]
-            for doc_id, mark, text in rows:
-                tokens = tokens_of(text)
-                keys, n = np.unique(tokens[in_head(tokens) == 0], return_counts=True)
-                one = np.zeros(len(keys), np.int32)
-                one[:1] = 1
-                for c, v in zip(cols, ([doc_id] * len(keys), np.full(len(keys), mark), keys.view(np.int64), n.astype(np.int32), one), strict=True):
-                    c.extend(v) if isinstance(v, list) else c.append(v)
-            arrays = [pa.array(cols[0], pa.int64()), *(pa.array(np.concatenate(c)) for c in cols[1:])]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "mark", "token", "k", "one"])
-
-    marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    tail = marked.mapInArrow(rare, "doc_id long, mark long, token long, k int, one int")
-    # a left join keeps each text's first row, which counts the copies of a row
-    tail = tail.join(unigrams.where(F.col("n") < max(1, -(-n_all // head))), "token", "left")
-    tail = tail.groupBy("doc_id", "mark").agg(
-        (F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)) / F.sum("one")).cast("long").alias("tail_known"),
-        (F.sum(F.when(F.col("n").isNotNull(), F.col("k") * F.log10((F.col("n") + 1) / F.lit(floor))).otherwise(0.0)) / F.sum("one")).alias("tail_base"),
-    )
-
-    segments = max(1, -(-bits_per_token * n_all // SEGMENT_BITS))
-    start = docs.sparkSession.createDataFrame([(int(np.int64(U64(START).view(np.int64))), total["texts"] or 0)], "token long, n long").where("n > 0")
-    bits = _filter_segments(train, unigrams.unionByName(start), segments)
-    group = max(1, 8 * filter_bytes // SEGMENT_BITS)
-    if segments > group:
-        bits = saved(bits)
-
-    def state(tokens_list):
-        return np.concatenate(tokens_list) if tokens_list else np.zeros(0, U64)
-
-    def probe(filters, tokens, pairs, one, two):
-        keys, at = np.unique(unigram_key(tokens), return_inverse=True)
-        found = np.zeros(len(keys), np.uint8)
-        filters.read(keys, found)
-        np.maximum(one, found[at], out=one)
-        keys, at = np.unique(pairs, return_inverse=True)
-        found = np.zeros(len(keys), np.uint8)
-        filters.read(keys, found)
-        np.maximum(two, found[at], out=two)
-
-    def reader(part, last):
-        def run(batches):
-            import pyarrow as pa
-
-            filters = Filter(segments, *part.value)
-            begin = np.zeros(1, np.uint8)
-            for rows in _chunks(batches, ["doc_id", "mark", "one", "two", "begin"], 1 << 22):
-                lists = [tokens_of(r[-1]) for r in rows]
-                tokens, pairs = state(lists), state([bigrams(t) for t in lists])
-                cuts = np.cumsum([0, *map(len, lists)])
-                one = np.frombuffer(b"".join(r[2] or bytes(len(t)) for r, t in zip(rows, lists, strict=True)), np.uint8).copy()
-                two = np.frombuffer(b"".join(r[3] or bytes(len(t)) for r, t in zip(rows, lists, strict=True)), np.uint8).copy()
-                begin[0] = rows[0][4] or 0
-                probe(filters, tokens, pairs, one, two)
-                filters.read(unigram_key(np.array([START], U64)), begin)
-                if not last:
-                    parts = [(r[0], r[1], one[a:b].tobytes(), two[a:b].tobytes(), int(begin[0]), r[5]) for r, a, b in zip(rows, cuts, cuts[1:], strict=False)]
-                    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in parts], k) for i, k in enumerate(kinds)], names=["doc_id", "mark", "one", "two", "begin", "text"]).cast(pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("one", pa.binary()), ("two", pa.binary()), ("begin", pa.int32()), ("text", pa.string())]))
-                    continue
-                before = np.concatenate([begin, one[:-1]])
-                before[cuts[:-1]] = begin[0]
-                single = (VALUES[one] + 1) / floor
-                history = VALUES[before]
-                joint = np.minimum(VALUES[two], np.minimum(history, np.where(one > 0, VALUES[one], 0)))
-                p = np.where(history > 0, weight * joint / np.maximum(history, 1) + (1 - weight) * single, single)
-                counts = in_head(tokens)
-                sums = [np.add.reduceat(x, cuts[:-1]) for x in (np.log10(p), np.where(counts > 0, np.log10((counts + 1) / floor), 0.0), (counts > 0).astype(np.int64))]
-                arrays = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(np.diff(cuts)), *map(pa.array, sums)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "mark", "n_tokens", "score", "head_base", "head_known"])
-
-        return run
-
-    now = marked.select("doc_id", "mark", F.lit(None).cast("binary").alias("one"), F.lit(None).cast("binary").alias("two"), F.lit(0).alias("begin"), "text")
-    carried = "doc_id long, mark long, one binary, two binary, begin int, text string"
-    for lo in range(0, segments, group):
-        rows = bits.where(F.col("segment").between(lo, lo + group - 1)).toLocalIterator() if segments > group else bits.toLocalIterator()
-        size = SEGMENT_BITS // 8
-        held = bytearray(size * (min(segments, lo + group) - lo))
-        for r in rows:
-            held[size * (r["segment"] - lo) : size * (r["segment"] - lo + 1)] = r["bits"]
-        part = sc.broadcast((lo, held))
-        last = lo + group >= segments
-        now = now.mapInArrow(reader(part, last), "doc_id long, mark long, n_tokens long, score double, head_base double, head_known long" if last else carried)
-        if not last:
-            now = saved(now)
-
-    scored = now.join(tail, (now["doc_id"].eqNullSafe(tail["doc_id"])) & (now["mark"].eqNullSafe(tail["mark"])), "left")
-    unknown = F.col("n_tokens") - F.col("n_known")
-    return (
-        scored.select(now["doc_id"], "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), (F.col("head_base") + F.coalesce("tail_base", F.lit(0.0))).alias("known_base"), "score")
-        .withColumn("base_score", F.col("known_base") - unknown * F.lit(float(np.log10(floor))))
-        .select("doc_id", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
-    )
+        answers = answers.sort_by("segment")
+        joined = lambda c, kind: np.frombuffer(b"".join(answers.column(c).to_pylist()), kind)
+        counts, word_level, pair_level = joined("counts", "<i8"), joined("word_levels", np.uint8), joined("pair_levels", np.uint8)
+        lists = [tokens_of(t) for t in raw_texts(texts)]
+        cuts = np.cumsum([0, *map(len, lists)])
+        words, pairs = unigram_key(np.concatenate(lists)), np.concatenate([bigrams(t) for t in lists])
+        del lists
+        own, own_pairs = np.unique(words), np.unique(pairs)
+        first = np.zeros(len(words), bool)
+        first[cuts[:-1]] = True
+        logs, base, known = np.empty(len(words)), np.empty(len(words)), np.empty(len(words), np.int64)
+        history = 0.0
+        for lo in range(0, len(words), 1 << 18):
+            at = np.searchsorted(own, words[lo : lo + (1 << 18)])
+            here = slice(lo, lo + len(at))
+            one, two = VALUES[word_level[at]], VALUES[pair_level[np.searchsorted(own_pairs, pairs[here])]]
+            before = np.where(first[here], start, np.concatenate([[history], one[:-1]]))
+            history = one[-1]
+            joint = np.minimum(two, np.minimum(before, one))
+            single = (one + 1) / floor
+            logs[here] = np.log10(np.where(before > 0, weight * joint / np.maximum(before, 1) + (1 - weight) * single, single))
+            base[here] = np.log10((counts[at] + 1) / floor)
+            known[here] = counts[at] > 0
+        sums = [np.add.reduceat(x, cuts[:-1]) for x in (known, base, logs)]
+        return pa.Table.from_arrays([texts.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(np.diff(cuts)), *map(pa.array, sums)], names=names)
+
+    # two uses of one exchange of the texts
+    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))).repartition(min(parts, MOST_TASKS), "block")
+    answers = _answered(_asked(blocks, segments), segments)
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def seventh(doc_id, remainder: int = 2):
