@@ -6,9 +6,12 @@ shift s < v with both (i + s) mod v and (j + s) mod v in D. So two equal runs of
 hashing only the ``window - v + 1`` words that follow a cover position keeps
 |D| / v of all positions and still meets every match. Anchors found in two or
 more documents mark the windows around them; only these are extended to the full
-length, hashed in 96 bits and compared. Every step is a partially aggregated
-minimum over hashes and a join, so a passage that thousands of documents share
-costs one row per occurrence and no pairs.
+length, hashed in 96 bits and compared. Every step is a minimum over hashes and a
+join, so a passage that thousands of documents share costs one row per occurrence
+and no pairs. Repeats within one batch of documents are settled there: only the
+occurrence in the smallest document of the batch goes to the other batches under
+its hash, all others travel under keys of their own, so that a passage that a third
+of all documents share does not meet in one task.
 
 Defined results: null or blank text has no words; texts shorter than a window
 lose nothing; rows that share a doc_id are judged alike against smaller ids; a
@@ -24,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mixed, raw_texts, word_hashes
+from .common import U64, join_labels, mixed, raw_texts, word_hashes
 
 #: Perfect difference sets by period (Singer), each a difference cover.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
@@ -61,8 +64,27 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _runs(keys: np.ndarray, other: np.ndarray, doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, the least and the greatest doc_id among the rows of its key (keys and other)."""
+    order = np.argsort(keys, kind="stable")
+    k, o, d = keys[order], other[order], doc_ids[order]
+    new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])]))
+    sizes = np.diff(np.append(new, len(k)))
+    lo, hi = np.empty_like(doc_ids), np.empty_like(doc_ids)
+    lo[order], hi[order] = np.repeat(np.minimum.reduceat(d, new), sizes), np.repeat(np.maximum.reduceat(d, new), sizes)
+    return lo, hi
+
+
+def _own_key(doc_ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mixed(mixed(doc_ids.view(U64)) + at.astype(U64)).view(np.int64)
+
+
 def _anchors(docs: DataFrame, window: int, period: int) -> DataFrame:
-    """(anchor, doc_id, at) for every cover position that a whole window reaches."""
+    """(anchor, doc_id, at, known) for every cover position that a whole window reaches.
+
+    ``known`` is 0, or 1 where the batch has the anchor in two documents: then
+    one that does not stand in the smallest of them is 2 and has a key of its own.
+    """
     cover, width = np.array(COVERS[period]), window - period + 1
 
     def run(batches):
@@ -80,9 +102,13 @@ def _anchors(docs: DataFrame, window: int, period: int) -> DataFrame:
                 ids.append(np.full(len(starts), doc_id))
                 at.append(starts.astype(np.int32))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, ids, at)], names=["anchor", "doc_id", "at"])
+                anchor, doc, pos = (np.concatenate(x) for x in (found, ids, at))
+                lo, hi = _runs(anchor, anchor, doc)
+                known = (lo < hi).astype(np.int8) + (doc > lo)
+                anchor = np.where(known == 2, _own_key(doc, pos), anchor)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, doc, pos, known)], names=["anchor", "doc_id", "at", "known"])
 
-    return docs.mapInArrow(run, "anchor long not null, doc_id long not null, at int not null")
+    return docs.mapInArrow(run, "anchor long not null, doc_id long not null, at int not null, known tinyint not null")
 
 
 def _spread(marked: np.ndarray, before: int, after: int, n: int) -> np.ndarray:
@@ -106,15 +132,16 @@ def repeated_words(docs: DataFrame, window: int = 50, period: int = 31) -> DataF
     docs = _texts(docs)
     # a whole text that an earlier document has too loses every word and adds no window that is not there already
     prints = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("print"))
-    first = prints.groupBy("print").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("print", "lo")
-    copies = prints.join(first, "print").where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
+    first = prints.groupBy("print").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("print", "lo", "n")
+    copies = join_labels(prints, first, "print", docs.count()).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
     is_copy = F.coalesce(F.array_contains("prints", F.md5(F.coalesce("text", F.lit("")).cast("binary"))), F.lit(False))
     docs = docs.join(copies, "doc_id", "left").select("doc_id", "text", is_copy.alias("is_copy"))
     new = docs.where("not is_copy").select("doc_id", "text")
     # the aggregates also look at the position (never negative): an exchange is shared only if both uses need the same columns
     anchors = _anchors(new, window, period).repartition("anchor")  # once, for the aggregate and for the join
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("at").alias("at")).where("lo < hi and at >= 0").select("anchor")
-    marks = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("at").alias("at"))
+    open_id = F.when(F.col("known") < 2, F.col("doc_id"))
+    shared = anchors.groupBy("anchor").agg(F.min(open_id).alias("lo"), F.max(open_id).alias("hi"), F.max("at").alias("last")).where("lo < hi and last >= 0").select("anchor", F.lit(True).alias("hit"))
+    marks = anchors.join(shared, "anchor", "left").where("known > 0 or hit").groupBy("doc_id").agg(F.collect_set("at").alias("at"))
 
     def extend(batches):
         import pyarrow as pa
@@ -132,12 +159,16 @@ def repeated_words(docs: DataFrame, window: int = 50, period: int = 31) -> DataF
                 for c, v in zip(cols, (hashes.at(starts, window, 0).view(np.int64), (hashes.at(starts, window, 1) >> U64(32)).astype(np.uint32).view(np.int32), np.full(len(starts), doc_id), starts.astype(np.int32)), strict=True):
                     c.append(v)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["x", "y", "doc_id", "start"])
+                x, y, doc, start = (np.concatenate(c) for c in cols)
+                settled = doc > _runs(x, y, doc)[0]  # a smaller document of this batch has the window
+                x = np.where(settled, _own_key(doc, start), x)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x, y, doc, start, settled.astype(np.int8))], names=["x", "y", "doc_id", "start", "settled"])
 
     whole = new.join(marks, "doc_id")
-    windows = whole.mapInArrow(extend, "x long not null, y int not null, doc_id long not null, start int not null").repartition("x")
-    first = windows.groupBy("x", "y").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("start").alias("at")).where("lo < hi and at >= 0").select("x", "y", "lo")
-    gone = windows.join(first, ["x", "y"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    windows = whole.mapInArrow(extend, "x long not null, y int not null, doc_id long not null, start int not null, settled tinyint not null").repartition("x", "y")
+    open_id = F.when(F.col("settled") == 0, F.col("doc_id"))
+    first = windows.groupBy("x", "y").agg(F.min(open_id).alias("lo"), F.max(open_id).alias("hi"), F.max("start").alias("last")).where("lo < hi and last >= 0").select("x", "y", "lo")
+    gone = windows.join(first, ["x", "y"], "left").where("settled = 1 or doc_id > lo").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
 
     def cut(batches):
         import pyarrow as pa
