@@ -155,20 +155,21 @@ def bounds(prediction: Column, lo: Column, hi: Column, scale: Column | None = No
 def coverage(residuals: DataFrame, levels: tuple[float, ...] = (0.5, 0.8, 0.95), skip: int = 20, least: int = 20, by: tuple[str, ...] = ("model", "horizon")) -> DataFrame:
     """Out-of-sample coverage: at each origin the interval comes from residuals whose target was known by then.
 
-    Groups are pooled over keys; calibration sets are arrays of a group's past
-    errors, so their size is the number of origins.
+    Groups are pooled over keys: a calibration set has a group's past errors, one
+    for each key and origin, sorted in the task that takes its quantiles.
     """
     order = residuals.groupBy(*by, "origin").agg(F.count("*").alias("rows")).withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("origin")))
     now = order.where(F.col("nth") > skip).select(*by, F.col("origin").alias("at"))
     past = now.join(residuals.select(*by, "target", "error", "relative_error"), list(by)).where(F.col("target") <= F.col("at"))
     sets = past.groupBy(*by, "at").agg(F.sort_array(F.collect_list("error")).alias("e"), F.sort_array(F.collect_list("relative_error")).alias("r")).where(F.size("e") >= least)
-    rows = residuals.withColumnRenamed("origin", "at").join(sets, [*by, "at"])
+    kinds = [(m, c, conformal, scaled, level) for m, c, conformal, scaled in (("plain", "e", False, False), ("conformal", "e", True, False), ("scaled", "r", False, True), ("scaled_conformal", "r", True, True)) for level in levels]
+    # a dozen pairs of quantiles meet the rows, not the arrays; there is a row per origin and group
+    pairs = sets.select(*by, "at", *[quantile_pair(F.col(c), level, conformal).alias(f"q{i}") for i, (_, c, conformal, _, level) in enumerate(kinds)])
+    rows = residuals.withColumnRenamed("origin", "at").join(F.broadcast(pairs), [*by, "at"])
     cases = []
-    for method, col, conformal, scaled in (("plain", "e", False, False), ("conformal", "e", True, False), ("scaled", "r", False, True), ("scaled_conformal", "r", True, True)):
-        for level in levels:
-            q = quantile_pair(F.col(col), level, conformal)
-            lo, hi = bounds(F.col("prediction"), q["lo"], q["hi"], F.col("level") if scaled else None)
-            cases.append(F.struct(F.lit(method).alias("method"), F.lit(level).alias("nominal"), ((F.col("actual") >= lo - 1e-9) & (F.col("actual") <= hi + 1e-9)).alias("inside"), (hi - lo).alias("width")))
+    for i, (method, _, _, scaled, level) in enumerate(kinds):
+        lo, hi = bounds(F.col("prediction"), F.col(f"q{i}.lo"), F.col(f"q{i}.hi"), F.col("level") if scaled else None)
+        cases.append(F.struct(F.lit(method).alias("method"), F.lit(level).alias("nominal"), ((F.col("actual") >= lo - 1e-9) & (F.col("actual") <= hi + 1e-9)).alias("inside"), (hi - lo).alias("width")))
     long = rows.select(*by, F.explode(F.array(*cases)).alias("c")).select(*by, "c.*")
     return long.groupBy("model", "method", "nominal").agg(F.count("*").alias("n"), F.count_if("inside").alias("inside"), F.round(F.percentile("width", 0.5), 4).alias("median_width"))
 

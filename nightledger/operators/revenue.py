@@ -39,9 +39,10 @@ def pickup(nights: DataFrame, as_of: dt.date, lookback: int = 14) -> DataFrame:
 
 def comparables(calendar: DataFrame, as_ofs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The last ``window`` same-weekday dates before each as_of, by property; ``calendar`` is (property_key, stay_date)."""
-    c = calendar.join(F.broadcast(as_ofs), F.col("stay_date") < F.col("as_of")).where(F.datediff("as_of", "stay_date") <= 7 * window * 4)  # gaps of up to three quarters
-    w = Window.partitionBy("as_of", "property_key", iso_dow(F.col("stay_date"))).orderBy(F.desc("stay_date"))
-    return c.withColumn("dow", iso_dow(F.col("stay_date"))).withColumn("recency", F.row_number().over(w)).where(F.col("recency") <= window).drop("recency")
+    # a date is among the last ones until the window-th later one has passed, so each as_of meets ``window`` rows a weekday
+    w = Window.partitionBy("property_key", iso_dow(F.col("stay_date"))).orderBy("stay_date")
+    c = calendar.withColumn("dow", iso_dow(F.col("stay_date"))).withColumn("until", F.lead("stay_date", window).over(w))
+    return c.join(F.broadcast(as_ofs), (F.col("stay_date") < F.col("as_of")) & (F.col("until").isNull() | (F.col("until") >= F.col("as_of")))).drop("until")
 
 
 def pace_benchmark(nights: DataFrame, calendar: DataFrame, as_ofs: DataFrame, max_horizon: int = MAX_HORIZON) -> DataFrame:
@@ -52,20 +53,20 @@ def pace_benchmark(nights: DataFrame, calendar: DataFrame, as_ofs: DataFrame, ma
     return recent.join(books, ["property_key", "stay_date"]).groupBy("as_of", "property_key", "dow", "days_out").agg(q(0.5).alias("median_nights"), q(0.25).alias("p25_nights"), q(0.75).alias("p75_nights"), F.count("*").alias("support"))
 
 
-def status_of(gap: Column, nights: Column, p25: Column, p75: Column) -> Column:
-    return F.when(F.abs(gap) < MATERIAL, "on_track").when(nights < p25, "behind").when(nights > p75, "ahead").otherwise("on_track")
+def status_of(gap: Column, nights: Column, p25: Column, p75: Column, material: int = MATERIAL) -> Column:
+    return F.when(F.abs(gap) < material, "on_track").when(nights < p25, "behind").when(nights > p75, "ahead").otherwise("on_track")
 
 
-def pace(nights: DataFrame, calendar: DataFrame, as_ofs: DataFrame, horizon: int = MAX_HORIZON) -> DataFrame:
-    """Every future stay date that can be judged against its benchmark."""
+def pace(nights: DataFrame, calendar: DataFrame, as_ofs: DataFrame, horizon: int = MAX_HORIZON, least: int = MIN_NIGHTS, material: int = MATERIAL) -> DataFrame:
+    """Every future stay date that can be judged against its benchmark: ``least`` nights on the books; gaps from ``material`` on count."""
     rows = book(nights, as_ofs, horizon).withColumn("dow", iso_dow(F.col("stay_date")))
     bench = pace_benchmark(nights, calendar, as_ofs, horizon)
-    p = rows.join(bench, ["as_of", "property_key", "dow", "days_out"]).where((F.col("support") >= MIN_SUPPORT) & (F.col("median_nights") > 0) & (F.col("nights_on_books") >= MIN_NIGHTS))
+    p = rows.join(bench, ["as_of", "property_key", "dow", "days_out"]).where((F.col("support") >= MIN_SUPPORT) & (F.col("median_nights") > 0) & (F.col("nights_on_books") >= least))
     n, gap = F.col("nights_on_books"), F.col("nights_on_books") - F.col("median_nights")
     sure = F.when((F.col("days_out") > 21) | (F.col("support") < WINDOW - 1), "low").when((F.col("days_out") > 10) | (F.col("support") < WINDOW), "medium").otherwise("high")
     return p.select(
         "as_of", "property_key", "stay_date", "days_out", "nights_on_books", "median_nights", "p25_nights", "p75_nights", "support", "revenue_paise", gap.alias("gap_nights"),
-        rounded_div(n * 2000, (F.col("median_nights") * 2).cast("long")).alias("pace_tenth_pct"), status_of(gap, n, F.col("p25_nights"), F.col("p75_nights")).alias("status"), sure.alias("confidence"),
+        rounded_div(n * 2000, (F.col("median_nights") * 2).cast("long")).alias("pace_tenth_pct"), status_of(gap, n, F.col("p25_nights"), F.col("p75_nights"), material).alias("status"), sure.alias("confidence"),
     )
 
 
@@ -130,6 +131,15 @@ def pace_calls(scored: DataFrame, finals: DataFrame, bench: DataFrame) -> DataFr
     return s.withColumn("finished_below", F.col("final_nights") < F.col("expected_final")).drop("dow")
 
 
+def pooled_replay(calls: DataFrame) -> DataFrame:
+    """Calls of all as-of dates pooled by days out: how many finished below, and the errors of the expected final book and of the book as it stood."""
+    off = F.col("expected_final") - F.col("final_nights")
+    return calls.groupBy(band_of(F.col("days_out")).alias("band")).agg(
+        F.count("*").alias("calls"), F.count_if(F.col("status") == "behind").alias("behind"), F.count_if("finished_below").alias("below"),
+        F.round(F.avg(F.abs(off)), 6).alias("mae"), F.round(F.avg(off), 6).alias("bias"), F.round(F.avg(F.abs(F.col("nights_on_books") - F.col("final_nights"))), 6).alias("naive_mae"),
+    )
+
+
 def replay_coverage(calls: DataFrame, horizon: DataFrame) -> DataFrame:
     """By as_of: calls whose stay date the data reaches, so that they can be resolved; ``horizon`` is one row of data_horizon."""
     c = calls.crossJoin(F.broadcast(horizon.select("horizon")))
@@ -147,6 +157,10 @@ def pace_evaluation(calls: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """A hash of the rows in any order: equal for equal multisets of rows."""
-    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
-    return df.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("fingerprint"))
+    """A hash of the rows in any order, equal for equal multisets of rows: the sum of each row's first 60 bits of MD5.
+
+    A row's text is its columns in order of their names, joined by "|", null as an empty field.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(df.columns)])
+    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
+    return df.agg(F.count("*").alias("n"), F.sum(h).cast("string").alias("fingerprint"))

@@ -48,12 +48,27 @@ def fit_cancellation(features: DataFrame, lam: float = 1.0) -> DataFrame:
     return model.transform(rows).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def with_below(g: DataFrame, by: str, n: str, range_rows: int = 500_000) -> DataFrame:
+    """``g``, one row per value of ``by``, with ``below``: the sum of ``n`` over all smaller values.
+
+    Values are cut into ranges of about ``range_rows`` at quantiles; a running sum
+    within each range is added to what the ranges before it hold, a row a range.
+    """
+    ranges = min(4096, max(1, -(-g.count() // range_rows)))
+    cuts = sorted(set(g.approxQuantile(by, [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
+    at = F.size(F.filter(F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>"), lambda c: c <= F.col(by))) if cuts else F.lit(0)
+    g = g.withColumn("range", at)
+    totals = g.groupBy("range").agg(F.sum(n).alias("held"))
+    offsets = totals.select("range", F.coalesce(F.sum("held").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    inside = F.coalesce(F.sum(n).over(Window.partitionBy("range").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return g.join(F.broadcast(offsets), "range").withColumn("below", inside + F.col("offset")).drop("range", "offset")
+
+
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """AUC by rank sum with average ranks for ties: one aggregate by distinct score and a running count."""
     g = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("p"))
-    below = F.sum(F.col("n") - F.col("p")).over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    w = g.withColumn("below", F.coalesce(below, F.lit(0.0)))
-    t = w.agg(F.sum(F.col("p") * (F.col("below") + (F.col("n") - F.col("p")) / 2)).alias("won"), F.sum("p").alias("pos"), F.sum(F.col("n") - F.col("p")).alias("neg"))
+    w = with_below(g.withColumn("q", F.col("n") - F.col("p")), "s", "q")
+    t = w.agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("won"), F.sum("p").alias("pos"), F.sum("q").alias("neg"))
     return t.select(F.round(F.col("won") / F.nullif(F.col("pos") * F.col("neg"), F.lit(0.0)), 6).alias("auc"), F.col("pos").cast("long").alias("positives"), F.col("neg").cast("long").alias("negatives"))
 
 
@@ -100,9 +115,8 @@ def lead_rule_auc(bookings: DataFrame, surviving: bool = False) -> DataFrame:
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation of two columns, ties at their average rank; ranks come from counts by distinct value."""
     def ranks(c):
-        g = df.groupBy(c).agg(F.count("*").alias("n"))
-        below = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return g.select(F.col(c), (below + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
+        g = with_below(df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")), c, "n")
+        return g.select(F.col(c), (F.col("below") + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
 
     r = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).join(ranks(a), a).join(ranks(b), b)
     return r.agg(F.round(F.corr(f"rank_{a}", f"rank_{b}"), 6).alias("spearman"))

@@ -9,11 +9,20 @@ from pyspark.sql import functions as F
 from ..functions.money import int_div, rounded_div
 
 
-def arrivals(survival: np.ndarray) -> np.ndarray:
-    """The distribution of how many of independent bookings arrive (Poisson binomial), by convolution."""
+def arrivals(survival: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The distribution of how many of independent bookings arrive (Poisson binomial), ``counts`` of them at each chance.
+
+    Bookings of one chance are binomial: the power of [1 - p, p] under convolution, by squaring.
+    """
     pmf = np.ones(1)
-    for p in survival:
-        pmf = np.convolve(pmf, [1 - p, p])
+    for p, n in zip(survival, counts, strict=True):
+        power = np.array([1 - p, p])
+        while n:
+            if n & 1:
+                pmf = np.convolve(pmf, power)
+            n >>= 1
+            if n:
+                power = np.convolve(power, power)
     return pmf
 
 
@@ -21,26 +30,34 @@ def overbook_outcomes(books: DataFrame, most: int = 10) -> DataFrame:
     """For each stay date and property: outcomes of accepting k = 0..most bookings beyond the book.
 
     ``books`` has stay_date, property_key, capacity and survival (one row per
-    booking, 0 to 1). A group is one night's book of one property, so it is small.
+    booking, 0 to 1). Bookings are counted by survival first, so what a task
+    holds of a night is a row per distinct chance, however large its book.
     """
-
-    def one(pdf):
-        import pandas as pd
-
-        p, room = pdf["survival"].to_numpy(float), int(pdf["capacity"].iloc[0])
-        pmf, mean, out = arrivals(p), float(p.mean()), []
-        for k in range(most + 1):
-            n = np.arange(len(pmf))
-            over = np.maximum(n - room, 0)
-            out.append((pdf["stay_date"].iloc[0], int(pdf["property_key"].iloc[0]), k, len(p), room, float(pmf @ n), float(pmf[n > room].sum()), float(pmf @ over), float(pmf @ np.maximum(room - n, 0))))
-            pmf = np.convolve(pmf, [1 - mean, mean])
-        rows = pd.DataFrame(out, columns=["stay_date", "property_key", "extra", "book", "capacity", "expected_arrivals", "p_walk", "expected_walks", "expected_empty"])
-        walks, empty = rows["expected_walks"].diff(), -rows["expected_empty"].diff()
-        rows["breakeven_ratio"] = (empty / walks.where(walks > 1e-12)).round(6)
-        return rows
+    counted = books.groupBy("stay_date", "property_key", "capacity", "survival").agg(F.count("*").alias("n"))
+    nights = counted.groupBy("stay_date", "property_key", "capacity").agg(F.sort_array(F.collect_list(F.struct("survival", "n"))).alias("chances"))
+    names = ["stay_date", "property_key", "extra", "book", "capacity", "expected_arrivals", "p_walk", "expected_walks", "expected_empty", "breakeven_ratio"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for date, key, room, chances in zip(*(batch.column(c).to_pylist() for c in ("stay_date", "property_key", "capacity", "chances")), strict=True):
+                p, n_p = [c["survival"] for c in chances], [c["n"] for c in chances]
+                total = sum(n_p)
+                pmf, mean, before = arrivals(p, n_p), sum(x * n for x, n in zip(p, n_p, strict=True)) / total, None
+                for k in range(most + 1):
+                    n = np.arange(len(pmf))
+                    walks, empty = float(pmf @ np.maximum(n - room, 0)), float(pmf @ np.maximum(room - n, 0))
+                    more = walks - before[0] if before else 0.0
+                    rows.append((date, key, k, total, room, float(pmf @ n), float(pmf[room + 1 :].sum()), walks, empty, round((before[1] - empty) / more, 6) if more > 1e-12 else None))
+                    before = walks, empty
+                    pmf = np.convolve(pmf, [1 - mean, mean])
+            kinds = [pa.date32(), *[pa.int32()] * 4, *[pa.float64()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
     schema = "stay_date date, property_key int, extra int, book int, capacity int, expected_arrivals double, p_walk double, expected_walks double, expected_empty double, breakeven_ratio double"
-    return books.groupBy("stay_date", "property_key").applyInPandas(one, schema)
+    return nights.mapInArrow(run, schema)
 
 
 def overbook_sensitivity(outcomes: DataFrame, ratios: tuple[float, ...] = (1, 2, 5, 10, 20, 50)) -> DataFrame:

@@ -9,33 +9,38 @@ from pyspark.sql import functions as F
 from ..operators import anomaly, calendar_fx, forecast, kpi, rootcause, views
 from ..operators.revenue import band_of
 from .base import bp, rdiv, sql
+from ..sources.adapter import END
 from .layer import RATES, books_sql, context, daily, demand, unit_nights
 from .revenue import calendar
 
-LAST = dt.date(1999, 12, 31)
 CUR, BASE = (dt.date(1998, 3, 1), dt.date(1998, 3, 31)), (dt.date(1998, 1, 29), dt.date(1998, 2, 28))
-SPAN = "DATE '1998-06-01'"  # the series that the backtest reads starts here
+#: The last night of a live booking within the calendar, to which the backtest runs.
+LAST = f"(SELECT least(max(stay_date), DATE '{END}') FROM booking_night WHERE status NOT IN ('cancelled', 'no_show'))"
+
+
+def last_date(m) -> dt.date:
+    return min(END, demand(m).where("status not in ('cancelled', 'no_show')").agg(F.max("stay_date")).first()[0])
 
 
 def actuals(m):
-    return forecast.daily_actuals(unit_nights(m)).where((F.col("stay_date") >= F.lit(dt.date(1998, 6, 1))) & (F.col("stay_date") <= F.lit(LAST)))
+    return forecast.daily_actuals(unit_nights(m))
 
 
 def otb(m):
-    return forecast.otb_matrix(demand(m), calendar(m), 30, dt.date(1998, 6, 1), LAST)
+    return forecast.otb_matrix(demand(m), calendar(m), 30)
 
 
 def pairs(m, as_of=None):
     return calendar_fx.paired_observations(views.daily_kpi_calendar(daily(m), context(m)), as_of)
 
 
-def predictions(m):
-    first = LAST - dt.timedelta(120)
-    return forecast.forecasts(actuals(m), otb(m), forecast.origin_dates(m.spark, LAST), 30, calendar_fx.holiday_multiplier(pairs(m, first)), context(m))
+def predictions(m, days: int = 120):
+    last = last_date(m)
+    return forecast.forecasts(actuals(m), otb(m), forecast.origin_dates(m.spark, last, days), 30, calendar_fx.holiday_multiplier(pairs(m, last - dt.timedelta(days))), context(m))
 
 
-def rows(m):
-    return forecast.backtest(predictions(m), actuals(m), context(m))
+def rows(m, days: int = 120):
+    return forecast.backtest(predictions(m, days), actuals(m), context(m))
 
 
 def residuals(m):
@@ -59,14 +64,14 @@ _PAIRS = """SELECT t.property_key, t.stay_date, t.days_to_holiday AS "offset", t
  WHERE t.is_holiday_adjacent AND t.occupancy_bp IS NOT NULL AND k.occupancy_bp IS NOT NULL GROUP BY ALL HAVING count(*) >= 4"""
 _KPI = f"SELECT d.property_key, d.stay_date, {bp('sold', 'available')} AS occupancy_bp, days_to_holiday, nearest_holiday, is_holiday_adjacent FROM daily d JOIN day_context ON full_date = stay_date"
 _PAIR_CTES = {"kpi": _KPI, "pairs": _PAIRS}
-_FIRST = f"DATE '{LAST - dt.timedelta(120)}'"
+_FIRST = f"({LAST} - 120)"
 _SURE = f"SELECT holiday FROM ({_effects('holiday', source='early_pairs')}) WHERE n >= 3 AND (ci_low_bp > 0 OR ci_high_bp < 0)"
 _MULT = f"""SELECT holiday, "offset", round(avg(occupancy_bp / baseline_bp), 6) AS multiplier FROM early_pairs WHERE baseline_bp > 0 AND holiday IN ({_SURE}) GROUP BY ALL"""
 #: The backtest as its definition reads: every origin looks at the history up to it.
 _BACKTEST_CTES = {
     "kpi": _KPI, "early_kpi": f"SELECT * FROM kpi WHERE stay_date < {_FIRST}", "early_pairs": _PAIRS.replace("kpi t", "early_kpi t").replace("kpi k", "early_kpi k"), "mult": _MULT,
-    "act": f"SELECT property_key, stay_date, count(*) FILTER (is_occupied) AS occupied, count(*) FILTER (is_sellable) AS sellable FROM unit_night WHERE stay_date BETWEEN {SPAN} AND DATE '{LAST}' GROUP BY ALL",
-    "days": f"SELECT p.property_key, c.stay_date FROM (SELECT DISTINCT property_key FROM unit) p, calendar c WHERE stay_date BETWEEN {SPAN} AND DATE '{LAST}'", "books": books_sql("days", 30),
+    "act": f"SELECT property_key, stay_date, count(*) FILTER (is_occupied) AS occupied, count(*) FILTER (is_sellable) AS sellable FROM unit_night GROUP BY ALL",
+    "days": f"SELECT p.property_key, c.stay_date FROM (SELECT DISTINCT property_key FROM unit) p, calendar c", "books": books_sql("days", 30),
     "steps": f"SELECT property_key, o AS origin, h AS horizon, o + h AS target FROM (SELECT DISTINCT property_key FROM act), (SELECT {_FIRST} + CAST(i AS INT) AS o FROM range(0, 120, 3) t(i)), (SELECT CAST(x AS INT) AS h FROM range(1, 31) t(x))",
     "hist": "SELECT o.property_key, o.origin, list(a.occupied ORDER BY a.stay_date DESC) AS y FROM (SELECT DISTINCT property_key, origin FROM steps) o JOIN act a ON a.property_key = o.property_key AND a.stay_date <= o.origin GROUP BY ALL HAVING count(*) >= 29",
     "same": "SELECT s.property_key, s.origin, s.horizon, list(a.occupied ORDER BY a.stay_date DESC) AS y, list(a.occupied - b.on_books ORDER BY a.stay_date DESC) AS r FROM steps s JOIN act a ON a.property_key = s.property_key AND a.stay_date <= s.origin AND isodow(a.stay_date) = isodow(s.target) JOIN books b ON b.property_key = a.property_key AND b.stay_date = a.stay_date AND b.days_out = s.horizon GROUP BY ALL",
@@ -79,8 +84,9 @@ _BACKTEST_CTES = {
 }
 
 
-def _bt(query: str, **more) -> str:
-    return sql(query, "daily", "day_context", "unit", "calendar", "booking_night", **_BACKTEST_CTES, **more)
+def _bt(query: str, days: int = 120, **more) -> str:
+    out = sql(query, "daily", "day_context", "unit", "calendar", "booking_night", **_BACKTEST_CTES, **more)
+    return out.replace(f"({LAST} - 120)", f"({LAST} - {days})").replace("range(0, 120, 3)", f"range(0, {days}, 3)")
 
 
 _SCORE = "count(*) AS n, round(avg(abs(error)), 4) AS mae, round(sqrt(avg(error * error)), 4) AS rmse, round(avg(error), 4) AS bias, CASE WHEN count(*) FILTER (actual > 0) * 10 >= count(*) * 9 THEN round(100 * avg(abs(error) / actual) FILTER (actual > 0), 4) END AS mape"
@@ -140,7 +146,7 @@ QUERIES = {
     "f9_backtest": (rows, _bt("SELECT * FROM bt")),
     "f10_scores": (lambda m: forecast.score(rows(m)), _bt(f"SELECT model, horizon, {_SCORE} FROM bt GROUP BY ALL")),
     "f11_winners": (lambda m: forecast.winners(forecast.score(rows(m))), _bt(f"SELECT horizon, arg_min(model, (mae, {_ORDER})) AS model, min(mae) AS mae FROM (SELECT model, horizon, {_SCORE} FROM bt GROUP BY ALL) GROUP BY 1")),
-    "f12_holiday_evaluation": (lambda m: forecast.score(rows(m), ("model", "holiday_adjacent")), _bt(f"SELECT model, holiday_adjacent, {_SCORE} FROM bt GROUP BY ALL")),
+    "f12_holiday_evaluation": (lambda m: forecast.score(rows(m, 260), ("model", "holiday_adjacent")), _bt(f"SELECT model, holiday_adjacent, {_SCORE} FROM bt GROUP BY ALL", 260)),
     "f13_slices": (
         lambda m: forecast.slices(rows(m)),
         _bt("SELECT slice, value, model, count(*) AS n, round(avg(abs(error)), 4) AS mae, round(avg(error), 4) AS bias FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS slice, CAST({c} AS VARCHAR) AS value, model, error FROM bt" for s, c in (("horizon", "horizon"), ("month", "month(target)"), ("weekday", "isodow(target)"), ("holiday", "holiday_adjacent"))) + ") GROUP BY ALL HAVING count(*) >= 30"),
@@ -150,9 +156,9 @@ QUERIES = {
         _bt(f"SELECT CASE WHEN horizon <= 3 THEN '1-3' WHEN horizon <= 7 THEN '4-7' WHEN horizon <= 14 THEN '8-14' ELSE '15-30' END AS band, {_SCORE} FROM bt WHERE model = 'pickup' GROUP BY 1"),
     ),
     "f14_forward": (
-        lambda m: forecast.forward(actuals(m), otb(m), m.spark.createDataFrame([(LAST - dt.timedelta(30),)], "origin date"), "dow_moving_average").select("property_key", "target", "prediction", "occupancy_pct"),
-        sql(f"""SELECT a.property_key, t.target, round(p, 6) AS prediction, round(100 * round(p, 6) / nullif(cap, 0), 4) AS occupancy_pct FROM (SELECT DATE '{LAST}' - 30 + CAST(h AS INT) AS target FROM range(1, 31) x(h)) t JOIN (SELECT property_key, isodow(stay_date) AS dow, CAST(sum(y) AS BIGINT) / count(*) AS p, CAST(sum(c) AS BIGINT) / count(*) AS cap
-        FROM (SELECT *, row_number() OVER (PARTITION BY property_key, isodow(stay_date) ORDER BY stay_date DESC) AS r FROM (SELECT property_key, stay_date, count(*) FILTER (is_occupied) AS y, count(*) FILTER (is_sellable) AS c FROM unit_night WHERE stay_date <= DATE '{LAST}' - 30 GROUP BY ALL)) WHERE r <= 4 GROUP BY ALL) a ON a.dow = isodow(t.target)""", "unit_night"),
+        lambda m: forecast.forward(actuals(m), otb(m), m.spark.createDataFrame([(last_date(m) - dt.timedelta(30),)], "origin date"), "dow_moving_average").select("property_key", "target", "prediction", "occupancy_pct"),
+        sql(f"""SELECT a.property_key, t.target, round(p, 6) AS prediction, round(100 * round(p, 6) / nullif(cap, 0), 4) AS occupancy_pct FROM (SELECT {LAST} - 30 + CAST(h AS INT) AS target FROM range(1, 31) x(h)) t JOIN (SELECT property_key, isodow(stay_date) AS dow, CAST(sum(y) AS BIGINT) / count(*) AS p, CAST(sum(c) AS BIGINT) / count(*) AS cap
+        FROM (SELECT *, row_number() OVER (PARTITION BY property_key, isodow(stay_date) ORDER BY stay_date DESC) AS r FROM (SELECT property_key, stay_date, count(*) FILTER (is_occupied) AS y, count(*) FILTER (is_sellable) AS c FROM unit_night WHERE stay_date <= {LAST} - 30 GROUP BY ALL)) WHERE r <= 4 GROUP BY ALL) a ON a.dow = isodow(t.target)""", "unit_night"),
     ),
     "i1_residuals": (residuals, _bt("SELECT * FROM res")),
     "i2_residual_interval": (
@@ -161,8 +167,8 @@ QUERIES = {
     ),
     "i4_coverage": (lambda m: forecast.coverage(residuals(m).where("horizon in (1, 7, 14)")), _coverage_sql()),
     "i5_forward_intervals": (
-        lambda m: forecast.forward_intervals(predictions(m).where((F.col("origin") == F.lit(LAST - dt.timedelta(30))) & (F.col("model") == "pickup")), forecast.residual_interval(residuals(m), 0.8)).drop("origin"),
-        _bt(f"SELECT p.property_key, p.target, p.horizon, p.model, p.prediction, round(greatest(0, p.prediction - q.hi), 6) AS lower, round(greatest(0, p.prediction - q.lo), 6) AS upper FROM preds p LEFT JOIN (SELECT model, horizon, {_LO} AS lo, {_HI} AS hi FROM (SELECT model, horizon, list(error ORDER BY error) AS e FROM res GROUP BY ALL HAVING count(*) >= 20)) q USING (model, horizon) WHERE p.model = 'pickup' AND p.origin = DATE '{LAST}' - 30"),
+        lambda m: forecast.forward_intervals(predictions(m).where((F.col("origin") == F.lit(last_date(m) - dt.timedelta(30))) & (F.col("model") == "pickup")), forecast.residual_interval(residuals(m), 0.8)).drop("origin"),
+        _bt(f"SELECT p.property_key, p.target, p.horizon, p.model, p.prediction, round(greatest(0, p.prediction - q.hi), 6) AS lower, round(greatest(0, p.prediction - q.lo), 6) AS upper FROM preds p LEFT JOIN (SELECT model, horizon, {_LO} AS lo, {_HI} AS hi FROM (SELECT model, horizon, list(error ORDER BY error) AS e FROM res GROUP BY ALL HAVING count(*) >= 20)) q USING (model, horizon) WHERE p.model = 'pickup' AND p.origin = {LAST} - 30"),
     ),
     "g1_drift": (
         lambda m: forecast.drift(residuals(m)),
@@ -222,5 +228,11 @@ QUERIES = {
         sql(f"""SELECT round(change, 3) AS change, round(rate, 3) AS rate_effect, round(mix, 3) AS mix_effect, round(change - rate - mix, 3) AS interaction, CASE WHEN abs(rate) >= 2 * abs(mix) THEN 'rate' WHEN abs(mix) >= 2 * abs(rate) THEN 'mix' ELSE 'both' END AS verdict FROM (SELECT sum(a0 / t0 * (q1 - q0)) AS rate, sum((a1 / t1 - a0 / t0) * q0) AS mix, max(v1 / t1 - v0 / t0) AS change FROM (
         SELECT *, coalesce(r0 / nullif(a0, 0), 0) AS q0, coalesce(r1 / nullif(a1, 0), 0) AS q1, CAST(sum(a0) OVER () AS BIGINT) AS t0, CAST(sum(a1) OVER () AS BIGINT) AS t1, CAST(sum(r0) OVER () AS BIGINT) AS v0, CAST(sum(r1) OVER () AS BIGINT) AS v1 FROM ({_two('channel_code', 'is_occupied')}) WHERE channel_code IS NOT NULL))""", "unit_night"),
     ),
-    "w6_explain_revpar": (lambda m: rootcause.explain_revpar(unit_nights(m), CUR), None),
+    "w6_explain_revpar": (
+        lambda m: rootcause.explain_revpar(unit_nights(m), CUR),
+        sql("""SELECT round(100 * (v1 / v0 - 1), 4) AS move_pct, abs(v1 / v0 - 1) >= 0.01 AS material, drivers, round(c, 4) AS concentration, grown AS capacity_material, CASE WHEN c >= 0.5 THEN CASE WHEN grown THEN 'medium' ELSE 'high' END WHEN c >= 0.3 THEN 'medium' ELSE 'low' END AS confidence
+        FROM (SELECT *, coalesce(CASE WHEN net >= 0 THEN up ELSE -down END / nullif(gross, 0), 0) AS c FROM (SELECT sum(effect) AS net, sum(abs(effect)) AS gross, max(effect) FILTER (effect > 0) AS up, min(effect) FILTER (effect < 0) AS down, coalesce(string_agg(member, ',' ORDER BY member) FILTER (abs(share_of_movement) >= 0.1 AND r <= 8), '') AS drivers FROM ranked),
+        (SELECT round(sum(r1) / sum(a1), 6) AS v1, round(sum(r0) / sum(a0), 6) AS v0, abs(sum(a1) / sum(a0) - 1) >= 0.05 AS grown FROM sums))""", "unit_night", sums=_two("CAST(property_key AS VARCHAR) AS member"), parts=_W3.format(_two("CAST(property_key AS VARCHAR) AS member")),
+        ranked="SELECT *, row_number() OVER (ORDER BY abs(effect) DESC, member) AS r FROM (SELECT *, capacity_mix_effect + performance_effect AS effect FROM parts)"),
+    ),
 }

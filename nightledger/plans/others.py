@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -135,6 +136,59 @@ def _auc_sql(label: str, where: str) -> str:
     return sql(f"SELECT *, abs(auc - 0.5) < 0.1 AS unlearnable FROM (SELECT round((s - positives * (positives + 1) / 2.0::DOUBLE) / nullif(positives * negatives, 0), 6) AS auc, positives, negatives FROM ({sums}))", "booking")
 
 
+#: The plain form: one convolution per booking, in the order of their chances.
+_OVERBOOK = {
+    "wash": f"SELECT channel_code, 1 - {bp('count(*) FILTER (status IN (' + chr(39) + 'cancelled' + chr(39) + ', ' + chr(39) + 'no_show' + chr(39) + '))', 'count(*)')} / 10000.0::DOUBLE AS survival FROM booking GROUP BY 1",
+    "book": "SELECT n.stay_date, n.property_key, d.available AS capacity, list(survival ORDER BY survival) AS p FROM booking_night n JOIN wash USING (channel_code) JOIN daily d ON d.stay_date = n.stay_date AND d.property_key = n.property_key WHERE n.status <> 'cancelled' AND d.available > 0 GROUP BY ALL",
+    "pmf": "SELECT *, list_reduce(list_transform(p || list_transform(range(extra), lambda i: list_avg(p)), lambda q: [1 - q, q]), lambda a, b: list_transform(range(1, len(a) + 2), lambda i: coalesce(a[i], 0) * b[1] + CASE WHEN i > 1 THEN a[i - 1] * b[2] ELSE 0 END)) AS f FROM book, (SELECT CAST(unnest(range(0, 11)) AS INT) AS extra)",
+    "outcome": "SELECT stay_date, property_key, extra, CAST(len(p) AS INT) AS book, CAST(capacity AS INT) AS capacity, list_sum(list_transform(f, lambda x, i: x * (i - 1))) AS expected_arrivals, list_sum(list_transform(f, lambda x, i: CASE WHEN i - 1 > capacity THEN x ELSE 0 END)) AS p_walk, list_sum(list_transform(f, lambda x, i: x * greatest(i - 1 - capacity, 0))) AS expected_walks, list_sum(list_transform(f, lambda x, i: x * greatest(capacity - i + 1, 0))) AS expected_empty FROM pmf",
+}
+
+
+def _overbook_sql(query: str) -> str:
+    return sql(query, "booking", "booking_night", "daily", **_OVERBOOK)
+
+
+def by_lead(m):
+    """Bookings with a closed form of the lead time as their score, split in time."""
+    b = m.bookings().select("booking_date", (F.col("status") == "cancelled").cast("double").alias("label"), (F.col("lead_days") / (F.col("lead_days") + 30.0)).alias("score"))
+    return risk.temporal_split(b)
+
+
+_LEAD = {
+    "cut": "SELECT booking_date AS split_date FROM (SELECT booking_date, row_number() OVER (ORDER BY booking_date, booking_key) AS r, count(*) OVER () AS n FROM booking) WHERE r = CAST(floor(n * 0.75) AS BIGINT) + 1",
+    "lead": "SELECT (status = 'cancelled')::INT::DOUBLE AS label, lead_days / (lead_days + 30.0::DOUBLE) AS score, booking_date < split_date AS is_train FROM booking, cut",
+}
+
+#: How each exported table is read back, and the column that is summed to compare it.
+STAR = {
+    "guest": ("guest_key long, guest_segment string, has_phone boolean, has_email boolean", "guest_key"), "unit": ("property_key int, unit_key int, unit_type string, base_rate_paise long", "base_rate_paise"),
+    "channel": ("channel_code string, channel_type string", "length(channel_type)"), "booking": ("booking_key long, guest_key long, property_key int, unit_key int, check_in_date date, check_out_date date, status string, net_paise long", "net_paise"),
+    "unit_night": ("unit_key int, property_key int, stay_date date, is_sellable boolean, is_occupied boolean, revenue_paise long", "revenue_paise"), "payment": ("payment_key long, payment_date date, gross_paise long, credited_paise long", "credited_paise"),
+    "request": ("request_key long, request_date date, channel string, sla_minutes int, resolution_minutes int", "resolution_minutes"), "daily": ("property_key int, stay_date date, available long, sold long, revenue_paise long, gross_paise long", "gross_paise"),
+}
+
+
+def star(m, fmt: str):
+    """The star schema with its facts and the daily KPI, exported and read again under explicit schemas: rows and a sum of each table."""
+    out = scratch(m.spark)
+    tables = {"guest": m.guests(), "unit": m.units(), "channel": m.channels(), "booking": m.bookings(), "unit_night": unit_nights(m), "payment": m.payments(), "request": m.requests(), "daily": daily(m)}
+    columns = {n: [c.split()[0] for c in schema.split(", ")] for n, (schema, _) in STAR.items()}
+    files.export_model({n: df if n == "guest" else df.select(*columns[n]) for n, df in tables.items()}, out, fmt)
+    read = [files.read_table(m.spark, f"{out}/{n}", schema, fmt).agg(F.lit(n).alias("table_name"), F.count("*").alias("rows"), F.sum(F.expr(c)).cast("long").alias("total")) for n, (schema, c) in STAR.items()]
+    return reduce(lambda a, b: a.unionByName(b), read)
+
+
+_STAR = sql(" UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows, CAST(sum({c}) AS BIGINT) AS total FROM {n}" for n, (_, c) in STAR.items()), *STAR)
+
+
+def holiday_file(m):
+    out = scratch(m.spark)
+    h = m.holidays().select(F.struct(F.col("holiday_date").alias("date"), F.col("holiday_name").alias("name"), F.lit("national").alias("scope"), F.lit("public").alias("kind"), F.lit("fixed").alias("confidence")).alias("h"))
+    h.agg(F.to_json(F.struct(F.collect_list("h").alias("holidays"))).alias("value")).write.text(out)  # one document of a few dozen holidays
+    return files.read_holidays(m.spark, out)
+
+
 QUERIES = {
     "x1_features": (lambda m: risk.risk_features(m.bookings()).select("booking_key", "label", "nights", "adults", "price", "has_discount", "weekend"), sql("SELECT booking_key, CASE WHEN status = 'cancelled' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label, nights::DOUBLE AS nights, adults::DOUBLE AS adults, (net_paise // greatest(nights, 1)) / 100000.0::DOUBLE AS price, (discount_paise > 0)::INT::DOUBLE AS has_discount, (isodow(check_in_date) >= 6)::INT::DOUBLE AS weekend FROM booking", "booking")),
     "x2_temporal_split": (
@@ -145,6 +199,14 @@ QUERIES = {
     "x4_auc": (lambda m: risk.lead_rule_auc(m.bookings()), _auc_sql("status = 'cancelled'", "true")),
     "x5_calibration": (lambda m: risk.calibration(scored_risk(m).where("not is_train")), None),
     "x6_evaluation": (lambda m: risk.evaluate_risk(scored_risk(m)), None),
+    "x5_calibration_of_lead": (
+        lambda m: risk.calibration(by_lead(m).where("not is_train")),
+        sql("SELECT bin, n, predicted, observed, round(abs(predicted - observed), 4) AS error FROM (SELECT CAST(coalesce(least(floor((score - lo) / nullif((hi - lo) / 10, 0)), 9), 0) AS INT) AS bin, count(*) AS n, round(avg(score), 4) AS predicted, round(avg(label), 4) AS observed FROM (SELECT *, min(score) OVER () AS lo, max(score) OVER () AS hi FROM lead WHERE NOT is_train) GROUP BY 1)", "booking", **_LEAD),
+    ),
+    "x6_evaluation_of_lead": (
+        lambda m: risk.evaluate_risk(by_lead(m)),
+        sql("SELECT n, tp, fp, fn, tn, brier, round(tp / nullif(tp + fp, 0), 4) AS precision, round(tp / nullif(tp + fn, 0), 4) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 4) AS f1, round(tp / nullif(tp + fp, 0) / ((tp + fn) / n), 4) AS lift FROM (SELECT count(*) AS n, count(*) FILTER (hit AND label = 1) AS tp, count(*) FILTER (hit AND label = 0) AS fp, count(*) FILTER (NOT hit AND label = 1) AS fn, count(*) FILTER (NOT hit AND label = 0) AS tn, round(avg(pow(score - label, 2)), 4) AS brier FROM (SELECT *, score >= (SELECT avg(label) FROM lead WHERE is_train) AS hit FROM lead WHERE NOT is_train))", "booking", **_LEAD),
+    ),
     "x7_cancellation_by_quarter": (lambda m: risk.cancellation_by_quarter(m.bookings()), sql(f"SELECT CAST(date_trunc('quarter', booking_date) AS DATE) AS quarter, count(*) AS bookings, count(*) FILTER (status = 'cancelled') AS cancelled, {bp(chr(99) + 'ount(*) FILTER (status = ' + chr(39) + 'cancelled' + chr(39) + ')', 'count(*)')} AS cancel_bp FROM booking GROUP BY 1 HAVING count(*) >= 50", "booking")),
     "x7_temporal_drift": (
         lambda m: risk.temporal_drift(m.bookings()),
@@ -156,8 +218,14 @@ QUERIES = {
         sql("SELECT round(corr(a, b), 6) AS spearman FROM (SELECT rank() OVER (ORDER BY lead_days) + (count(*) OVER (PARTITION BY lead_days) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY net_paise) + (count(*) OVER (PARTITION BY net_paise) - 1) / 2.0::DOUBLE AS b FROM booking)", "booking"),
     ),
     "x10_wash_rate": (lambda m: risk.wash_rate(m.bookings()), sql(f"SELECT coalesce(channel_code, 'ALL') AS channel_code, count(*) AS made, count(*) FILTER (status IN ('cancelled', 'no_show')) AS gone, {bp(chr(99) + 'ount(*) FILTER (status <> ' + chr(39) + 'checked_out' + chr(39) + ')', 'count(*)')} AS wash_bp FROM booking GROUP BY ROLLUP (channel_code)", "booking")),
-    "x11_overbook_outcomes": (lambda m: scenario.overbook_outcomes(books(m)), None),
-    "x12_overbook_sensitivity": (lambda m: scenario.overbook_sensitivity(scenario.overbook_outcomes(books(m))), None),
+    "x11_overbook_outcomes": (
+        lambda m: scenario.overbook_outcomes(books(m)).select("stay_date", "property_key", "extra", "book", "capacity", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("expected_arrivals", "p_walk", "expected_walks", "expected_empty")]),
+        _overbook_sql("SELECT stay_date, property_key, extra, book, capacity, round(expected_arrivals + 1e-9, 6) AS expected_arrivals, round(p_walk + 1e-9, 6) AS p_walk, round(expected_walks + 1e-9, 6) AS expected_walks, round(expected_empty + 1e-9, 6) AS expected_empty FROM outcome"),
+    ),
+    "x12_overbook_sensitivity": (
+        lambda m: scenario.overbook_sensitivity(scenario.overbook_outcomes(books(m))),
+        _overbook_sql("SELECT stay_date, property_key, cost_ratio, extra, extra = 10 AS at_boundary FROM (SELECT stay_date, property_key, cost_ratio, CAST(arg_min(extra, (round(expected_walks * cost_ratio + expected_empty, 9), extra)) AS INT) AS extra FROM outcome, (SELECT CAST(unnest([1, 2, 5, 10, 20, 50]) AS DOUBLE) AS cost_ratio) GROUP BY ALL)"),
+    ),
     "z2_sensitivity": (lambda m: scenario.apply_levers(positions(m), scenario.sensitivity_levers(m.spark)).drop("occupancy_bp", "adr_bp", "capacity_bp"), sql(_SCENARIO, "daily")),
     "z3_shift_mix": (
         lambda m: scenario.shift_mix(kpi.channel_revenue(unit_nights(m)), "1-URGENT", "2-HIGH", 1000),
@@ -191,6 +259,9 @@ QUERIES = {
     "s2_daily_feed": (lambda m: feed(m).drop("source_file", "recomputed_revpar_paise", "revpar_matches"), sql(_FEED, "daily")),
     "s3_feed_checks": (lambda m: files.feed_checks(feed(m)), sql(f"SELECT count(*) AS rows, count(*) FILTER (NOT is_valid_occupancy) AS oversold, count(*) FILTER (has_revenue_without_sales) AS revenue_without_sales, CAST(0 AS BIGINT) AS revpar_mismatches FROM ({_FEED})", "daily")),
     "s5_export_model": (exported, sql("SELECT guest_key, guest_segment, phone IS NOT NULL AS has_phone, email IS NOT NULL AS has_email FROM guest", "guest")),
+    "s5_star_schema": (lambda m: star(m, "parquet"), _STAR),
+    "s1_star_from_csv": (lambda m: star(m, "csv"), _STAR),
+    "s4_holiday_file": (holiday_file, sql("SELECT holiday_date AS date, holiday_name AS name, 'national' AS scope, 'public' AS kind, 'fixed' AS confidence FROM holiday", "holiday")),
     "s7_budget_extract": (
         lambda m: files.budget_extract(daily(m), views.service_kpi(m.requests()), 1000)[2],
         sql("SELECT *, kpi_rows + service_rows <= 1000 AS within_cap FROM (SELECT count(*) AS kpi_rows FROM (SELECT DISTINCT property_key, date_trunc('month', stay_date) FROM daily)), (SELECT count(*) AS service_rows FROM (SELECT DISTINCT property_key, category, day_part FROM request))", "daily", "request"),
@@ -202,10 +273,16 @@ QUERIES = {
     "s9_pending_reviews": (lambda m: files.pending(m.reviews(), aspects(m)).select("review_id", "review_date"), _text_sql("SELECT review_id, review_date FROM review WHERE trim(review_text) <> '' AND review_id NOT IN (SELECT review_id FROM aspect)")),
     "s12_drop_personal": (lambda m: files.drop_personal(m.guests()), sql("SELECT guest_key, guest_segment FROM guest", "guest")),
     "s13_leaks": (
-        lambda m: files.leaks(m.guests().select("guest_key", F.concat(F.lit("call "), "phone").alias("note"), "guest_segment").where("guest_key % 10 = 0"), m.guests()),
-        sql("SELECT DISTINCT 'note' AS column, phone_last10 AS value FROM guest_norm WHERE guest_key % 10 = 0", "guest_norm").replace("AS column", 'AS "column"'),
+        lambda m: files.leaks(m.guests().select("guest_key", F.concat(F.lit("call "), "phone").alias("note"), "guest_segment"), m.guests()),
+        sql("SELECT DISTINCT 'note' AS column, phone_last10 AS value FROM guest_norm", "guest_norm").replace("AS column", 'AS "column"'),
     ),
     "st1_streamed_feed": (lambda m: streamed_feed(m).select("stay_date", "property_code", "rooms_sold"), sql(f"SELECT stay_date, property_code, rooms_sold FROM ({_FEED})", "daily")),
-    "st2_daily_volume": (lambda m: _streamed(m, m.requests().select("created_at", "channel"), feeds.daily_volume), None),
-    "st3_drop_repeats": (lambda m: _streamed(m, m.bookings().select("booking_key", "guest_key", "unit_key", "check_in_date", "booked_at"), feeds.drop_repeats).select("booking_key"), None),
+    "st2_daily_volume": (
+        lambda m: _streamed(m, m.requests().select("created_at", "channel"), feeds.daily_volume),
+        sql("SELECT request_date, channel, count(*) AS n FROM request WHERE request_date + INTERVAL '18 hours 30 minutes' <= (SELECT max(created_at) FROM request) - INTERVAL 2 DAY GROUP BY ALL", "request"),
+    ),
+    "st3_drop_repeats": (
+        lambda m: _streamed(m, m.bookings().select("guest_key", "unit_key", "check_in_date", "booked_at"), feeds.drop_repeats).select("guest_key", "unit_key", "check_in_date"),
+        sql("SELECT DISTINCT guest_key, unit_key, check_in_date FROM booking", "booking"),  # what is there at once is one batch
+    ),
 }

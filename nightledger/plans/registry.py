@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.adapter import Model
 
-MODULES = ("layer", "kpis", "dq", "revenue", "analytics", "others")
+MODULES = ("layer", "kpis", "dq", "revenue", "analytics", "queue", "others")
 
 
 def _all() -> dict[str, tuple]:

@@ -1,4 +1,4 @@
-"""Queries of revenue management, replay of decisions and the alert queue (R, P, L)."""
+"""Queries of revenue management, replay of decisions and pace alerts (R, P, L)."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import alerts, quality, revenue, views
+from ..operators import alerts, revenue
 from .base import bp, rdiv, sql
-from .dq import _scored_sql, results
 from .layer import AS_OF, books_sql, context, daily, demand, unit_nights
 
+#: A date with several stay dates ahead of their curve.
+BUSY = dt.date(2000, 10, 29)
 REPLAY = [dt.date(1997, 1, 5) + dt.timedelta(28 * i) for i in range(14)]
 _D = f"DATE '{AS_OF}'"
 _ASOFS = " UNION ALL ".join(f"SELECT DATE '{d}' AS as_of" for d in REPLAY)
@@ -28,14 +29,14 @@ def _many(m):
     return revenue.as_of_table(m.spark, *REPLAY)
 
 
-def pace(m, as_ofs):
-    return revenue.pace(demand(m), calendar(m), as_ofs)
+def pace(m, as_ofs, **options):
+    return revenue.pace(demand(m), calendar(m), as_ofs, **options)
 
 
 #: The plain form: every comparable date meets every horizon and every night.
 _CTES = {
     "held": "SELECT as_of, property_key, stay_date, date_diff('day', as_of, stay_date) AS days_out, count(*) AS nights_on_books, CAST(sum(night_paise) AS BIGINT) AS revenue_paise FROM booking_night, asofs WHERE entered_on <= as_of AND stay_date > as_of AND stay_date <= as_of + 35 AND (left_on IS NULL OR left_on > as_of) GROUP BY ALL",
-    "recent": "SELECT * FROM (SELECT as_of, p.property_key, c.stay_date, isodow(c.stay_date) AS dow, row_number() OVER (PARTITION BY as_of, p.property_key, isodow(c.stay_date) ORDER BY c.stay_date DESC) AS r FROM calendar c, (SELECT DISTINCT property_key FROM unit) p, asofs WHERE c.stay_date < as_of AND c.stay_date >= as_of - 100) WHERE r <= 8",
+    "recent": "SELECT * FROM (SELECT as_of, p.property_key, c.stay_date, isodow(c.stay_date) AS dow, row_number() OVER (PARTITION BY as_of, p.property_key, isodow(c.stay_date) ORDER BY c.stay_date DESC) AS r FROM calendar c, (SELECT DISTINCT property_key FROM unit) p, asofs WHERE c.stay_date < as_of) WHERE r <= 8",
     "recent_dates": "SELECT DISTINCT property_key, stay_date FROM recent",
     "books": books_sql("recent_dates", 35),
     "bench": "SELECT as_of, property_key, dow, days_out, quantile_cont(on_books, 0.5) AS median_nights, quantile_cont(on_books, 0.25) AS p25_nights, quantile_cont(on_books, 0.75) AS p75_nights, count(*) AS support FROM recent JOIN books USING (property_key, stay_date) GROUP BY ALL",
@@ -56,29 +57,11 @@ def _calls(m):
     return revenue.pace_calls(pace(m, many), revenue.final_book(d, dt.date(1995, 1, 1), dt.date(2001, 7, 31)), revenue.final_book_benchmark(d, calendar(m), many))
 
 
-def _queue(m):
-    scores = quality.scored(results(m))
-    return alerts.alert_queue(alerts.pace_alerts(pace(m, _one(m))), alerts.rule_alerts(scores), alerts.sla_alerts(views.service_kpi(m.requests())))
-
-
-_QUEUE_CTES = {
-    "sla": f"SELECT *, {bp('b', 'n')} AS breach_bp FROM (SELECT property_key, day_part, owning_team, count(*) AS n, count(*) FILTER (is_sla_breached) AS b FROM request WHERE resolution_minutes IS NOT NULL GROUP BY ALL HAVING count(*) >= 15)",
-    "queue": """SELECT *, CAST(row_number() OVER (ORDER BY CASE band WHEN 'act_now' THEN 0 WHEN 'investigate' THEN 1 ELSE 2 END, days ASC NULLS LAST, measure DESC, source, subject) AS INT) AS rank FROM (
-        SELECT 'act_now' AS band, 'pace' AS source, property_key || ' ' || stay_date AS subject, stay_date AS on_date, days_out AS days, CAST(abs(gap_nights) AS DOUBLE) AS measure, 'room-nights' AS unit FROM pace WHERE status = 'behind'
-        UNION ALL SELECT 'standing', 'quality', rule_id, NULL, NULL, CAST(failure_bp AS DOUBLE), 'bp failed' FROM scored WHERE NOT passed
-        UNION ALL SELECT 'standing', 'sla', property_key || ' ' || day_part || ' ' || owning_team, NULL, NULL, CAST(breach_bp AS DOUBLE), 'bp breached' FROM sla WHERE breach_bp >= (SELECT quantile_cont(breach_bp, 0.75) FROM sla) AND b >= 20)""",
-}
-
-
-def _queue_sql(query: str) -> str:
-    """The queue over all sources, as one statement: the rules' CTEs and the pace CTEs together."""
-    from .dq import _NEED, ALL_SQL, INVENTORY, RUNS, SCORED
-
-    return sql(query, *_NEED, "booking_night", "calendar", "unit", "day_context", inventory=INVENTORY, runs=RUNS, results=ALL_SQL, scored=SCORED, asofs=f"SELECT {_D} AS as_of", **_CTES, **_QUEUE_CTES)
-
-
 _EVAL = f"""SELECT *, {rdiv('below * 10000', 'calls')} AS base_bp, {rdiv('hits * 10000', 'behind')} AS precision_bp, {rdiv('hits * 10000', 'below')} AS recall_bp, {rdiv('naive_hits * 10000', 'naive')} AS naive_precision_bp, CASE WHEN behind = hits THEN 30000 // nullif(behind, 0) END AS rule_of_three_bp
  FROM (SELECT count(*) AS calls, count(*) FILTER (finished_below) AS below, count(*) FILTER (status = 'behind') AS behind, count(*) FILTER (status = 'behind' AND finished_below) AS hits, count(*) FILTER (gap_nights < 0) AS naive, count(*) FILTER (gap_nights < 0 AND finished_below) AS naive_hits FROM calls)"""
+_QUARTERS = ("median_nights", "p25_nights", "p75_nights", "gap_nights", "expected_final")
+_FIELDS = [f"CAST(CAST({c} * 4 AS BIGINT) AS VARCHAR)" if c in _QUARTERS else f"CAST({c} AS VARCHAR)" for c in sorted(("as_of", "property_key", "stay_date", "days_out", "nights_on_books", "support", "revenue_paise", "status", "confidence", "final_nights", "finished_below", *_QUARTERS))]
+_BAND = "CASE WHEN days_out <= 3 THEN '1-3' WHEN days_out <= 7 THEN '4-7' WHEN days_out <= 14 THEN '8-14' ELSE '15-30' END"
 QUERIES = {
     "r1_on_the_books": (lambda m: revenue.book(demand(m), _one(m), 30), sql(f"SELECT {_D} AS as_of, property_key, stay_date, count(*) AS nights_on_books, CAST(sum(night_paise) AS BIGINT) AS revenue_paise, date_diff('day', {_D}, stay_date) AS days_out FROM booking_night WHERE entered_on <= {_D} AND stay_date > {_D} AND stay_date <= {_D} + 30 AND (left_on IS NULL OR left_on > {_D}) GROUP BY ALL", "booking_night")),
     "r2_pickup": (
@@ -88,12 +71,12 @@ QUERIES = {
     ),
     "r3_pace_benchmark": (lambda m: revenue.pace_benchmark(demand(m), calendar(m), _one(m)), _sql("SELECT as_of, property_key, CAST(dow AS INT) AS dow, days_out, median_nights, p25_nights, p75_nights, support FROM bench")),
     "r4_pace": (lambda m: pace(m, _one(m)), _sql("SELECT * FROM pace")),
-    "r5_need_dates": (lambda m: revenue.need_dates(pace(m, _many(m))), _sql("SELECT * FROM pace WHERE status = 'behind'", True)),
+    "r5_need_dates": (lambda m: revenue.need_dates(pace(m, _many(m), least=1, material=1)), _sql("SELECT * FROM pace WHERE status = 'behind'", True).replace("< 4 THEN 'on_track'", "< 1 THEN 'on_track'").replace("nights_on_books >= 3", "nights_on_books >= 1")),
     "r5_constrained_dates": (lambda m: revenue.constrained_dates(pace(m, _many(m))), _sql("SELECT * FROM pace WHERE status = 'ahead'", True)),
     "r6_signals": (
-        lambda m: revenue.signals(pace(m, _one(m))),
+        lambda m: revenue.signals(pace(m, revenue.as_of_table(m.spark, BUSY))),
         _sql("""SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY kind, o, stay_date, property_key) AS INT) AS rank, status, property_key, stay_date, gap_nights, nights_on_books || ' nights on the books, ' || CAST(floor(median_nights) AS BIGINT) || ' expected at ' || days_out || ' days out' AS evidence FROM (
-        (SELECT *, 0 AS kind, gap_nights AS o FROM pace WHERE status = 'behind' ORDER BY gap_nights, stay_date, property_key LIMIT 6) UNION ALL (SELECT *, 1, -gap_nights FROM pace WHERE status = 'ahead' ORDER BY gap_nights DESC, stay_date, property_key LIMIT 12))) WHERE rank <= 12"""),
+        (SELECT *, 0 AS kind, gap_nights AS o FROM pace WHERE status = 'behind' ORDER BY gap_nights, stay_date, property_key LIMIT 6) UNION ALL (SELECT *, 1, -gap_nights FROM pace WHERE status = 'ahead' ORDER BY gap_nights DESC, stay_date, property_key LIMIT 12))) WHERE rank <= 12""").replace(_D, f"DATE '{BUSY}'"),
     ),
     "r7_summary": (
         lambda m: revenue.rm_summary(demand(m), pace(m, _one(m)), AS_OF),
@@ -110,19 +93,20 @@ QUERIES = {
     "m17_nights_on_books": (lambda m: revenue.book(demand(m), _many(m), 400).groupBy("as_of").agg(F.sum("nights_on_books").alias("nights_on_books")), sql("SELECT as_of, count(*) AS nights_on_books FROM booking_night, asofs WHERE entered_on <= as_of AND stay_date > as_of AND (left_on IS NULL OR left_on > as_of) GROUP BY 1", "booking_night", asofs=_ASOFS)),
     "m19_booking_pace": (lambda m: pace(m, _many(m)).groupBy("as_of", "property_key").agg(F.sum("nights_on_books").alias("nights_on_books"), F.sum((F.col("median_nights") * 2).cast("long")).alias("twice_expected")), _sql("SELECT as_of, property_key, CAST(sum(nights_on_books) AS BIGINT) AS nights_on_books, CAST(sum(CAST(median_nights * 2 AS BIGINT)) AS BIGINT) AS twice_expected FROM pace GROUP BY ALL", True)),
     "p1_reconstruct_many": (_calls, _sql("SELECT * FROM calls", True)),
-    "p2_fingerprint": (lambda m: revenue.fingerprint(pace(m, _many(m))), None),
+    "p2_fingerprint": (
+        lambda m: revenue.fingerprint(_calls(m).select("as_of", "property_key", "stay_date", "days_out", "nights_on_books", "support", "revenue_paise", "status", "confidence", "final_nights", "finished_below", *[(F.col(c) * 4).cast("long").alias(c) for c in _QUARTERS])),
+        _sql(f"SELECT count(*) AS n, CAST(CAST(sum(CAST('0x' || substr(md5(concat_ws('|', {', '.join(_FIELDS)})), 1, 15) AS BIGINT)) AS HUGEINT) AS VARCHAR) AS fingerprint FROM calls", True),
+    ),
+    "p6_pooled_replay": (
+        lambda m: revenue.pooled_replay(_calls(m)),
+        _sql(f"SELECT {_BAND} AS band, count(*) AS calls, count(*) FILTER (status = 'behind') AS behind, count(*) FILTER (finished_below) AS below, round(avg(abs(expected_final - final_nights)), 6) AS mae, round(avg(expected_final - final_nights), 6) AS bias, round(avg(abs(nights_on_books - final_nights)), 6) AS naive_mae FROM calls GROUP BY 1", True),
+    ),
     "p4_pace_evaluation": (lambda m: revenue.pace_evaluation(_calls(m)), _sql(_EVAL, True)),
     "p5_replay_coverage": (
         lambda m: revenue.replay_coverage(pace(m, _many(m)), revenue.data_horizon(unit_nights(m).where("is_occupied"))),
         _sql("SELECT as_of, count(*) AS calls, count(*) FILTER (stay_date <= (SELECT max(stay_date) FROM unit_night WHERE is_occupied)) AS resolvable FROM pace GROUP BY 1", True, ("unit_night",)),
     ),
-    "l1_alert_queue": (_queue, _queue_sql("SELECT * FROM queue")),
-    "l2_with_calendar": (
-        lambda m: alerts.with_calendar(_queue(m), context(m)),
-        _queue_sql("SELECT q.*, CASE WHEN source = 'pace' AND is_holiday_adjacent THEN days_to_holiday || ' days from ' || nearest_holiday END AS calendar_note FROM queue q LEFT JOIN day_context ON full_date = on_date"),
-    ),
-    "l4_opportunity_radar": (lambda m: alerts.opportunity_radar(pace(m, _one(m))), _sql("SELECT property_key, stay_date, days_out, gap_nights, revenue_paise FROM pace WHERE status = 'ahead'")),
-    "l4_alert_summary": (lambda m: alerts.alert_summary(_queue(m)), _queue_sql("SELECT band, source, count(*) AS alerts, min(days) AS soonest_days FROM queue GROUP BY ALL")),
+    "l4_opportunity_radar": (lambda m: alerts.opportunity_radar(pace(m, revenue.as_of_table(m.spark, BUSY))), _sql("SELECT property_key, stay_date, days_out, gap_nights, revenue_paise FROM pace WHERE status = 'ahead'").replace(_D, f"DATE '{BUSY}'")),
     "l5_holiday_bias": (
         lambda m: alerts.holiday_bias(pace(m, _many(m)), context(m)),
         _sql(f"SELECT *, {bp('near', 'judged')} AS base_bp, {bp('near_alerts', 'alerts')} AS alert_bp FROM (SELECT as_of, count(*) AS judged, count(*) FILTER (is_holiday_adjacent) AS near, count(*) FILTER (status = 'behind') AS alerts, count(*) FILTER (status = 'behind' AND is_holiday_adjacent) AS near_alerts FROM pace JOIN day_context ON full_date = stay_date GROUP BY 1)", True, ("day_context",)),

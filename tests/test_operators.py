@@ -121,7 +121,7 @@ def test_auc(spark, y, s, auc):
 def test_arrivals_are_binomial():
     from math import comb
 
-    pmf = scenario.arrivals(np.full(20, 0.85))
+    pmf = scenario.arrivals([0.85], [20])
     assert np.allclose(pmf, [comb(20, k) * 0.85**k * 0.15 ** (20 - k) for k in range(21)], atol=1e-12) and abs(pmf.sum() - 1) < 1e-12
 
 
