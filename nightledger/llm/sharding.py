@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import MOST_PARTS, longs, part_of, saved
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
@@ -62,88 +62,83 @@ def _below(keys: DataFrame, probes: list[tuple[int, int]]) -> np.ndarray:
     return np.cumsum(counts)[:-1]
 
 
-def splitters(keys: DataFrame, parts: int, total: int, tolerance: float, probes: int = 64) -> list[tuple[int, int]]:
-    """parts - 1 boundaries (h, d): rows below the i-th hold i / parts of the bytes, within tolerance * total / parts.
+def splitters(keys: DataFrame, targets: list[tuple[float, float]], total: int, most: int = 1 << 18) -> list[tuple[int, int]]:
+    """A boundary (h, d) for each of the ascending ``targets`` (bytes, slack): the rows below it hold so many bytes, within the slack.
 
-    At most ``probes`` candidates per open splitter and round go to the workers,
-    and one count each comes back. The first rounds narrow h (whole groups of
-    equal texts); a splitter whose interval is one hash goes on within it by d.
-    A splitter also ends when its interval holds no further key.
+    About ``most`` candidates at a time go to the workers, 64 for a splitter at
+    most and 8 at least, and one count each comes back. The first rounds narrow h
+    (whole groups of equal texts); a splitter whose interval is one hash goes on
+    within it by d. A splitter also ends when its interval holds no further key.
     """
-    slack = tolerance * total / parts
-    targets = [total * i / parts for i in range(1, parts)]
+    probes = max(8, min(64, most // max(1, len(targets))))
     lo, hi = [(LOW, LOW)] * len(targets), [(HIGH, HIGH)] * len(targets)
     at_lo, at_hi = [0] * len(targets), [total] * len(targets)
     found: dict[int, tuple[int, int]] = {}
     while len(found) < len(targets):
         ask = {}
-        for i in range(len(targets)):
+        for i, (target, _) in enumerate(targets):
             if i in found:
                 continue
             (h0, d0), (h1, d1) = lo[i], hi[i]
             if h1 - h0 > 1:
-                share = (targets[i] - at_lo[i]) / max(1, at_hi[i] - at_lo[i])
+                share = (target - at_lo[i]) / max(1, at_hi[i] - at_lo[i])
                 guess, width, step = h0 + int((h1 - h0) * share), h1 - h0, (h1 - h0) // probes + 1
                 near = [guess + int(width * (k - probes // 4) / probes**2) for k in range(probes // 2)]  # fine around the guess
                 ask[i] = sorted({(h, LOW) for h in [*range(h0 + step, h1, 2 * step), *near, h0 + 1] if h0 < h < h1})
             else:
                 a, b = (d0, HIGH) if h1 > h0 else (d0, d1)
                 if b - a <= 1:
-                    found[i] = lo[i] if targets[i] - at_lo[i] <= at_hi[i] - targets[i] else hi[i]
+                    found[i] = lo[i] if target - at_lo[i] <= at_hi[i] - target else hi[i]
                     continue
                 step = (b - a) // probes + 1
                 ask[i] = [(h0, d) for d in range(a + step, b, step)] or [(h0, a + 1)]
-                middle = a + int((b - a) * (targets[i] - at_lo[i]) / max(1, at_hi[i] - at_lo[i]))
+                middle = a + int((b - a) * (target - at_lo[i]) / max(1, at_hi[i] - at_lo[i]))
                 ask[i] = sorted({*ask[i], *((h0, d) for d in range(max(a + 1, middle - 8), min(b, middle + 8)))})
         if not ask:
             break
         points = sorted({p for x in ask.values() for p in x})
         below = dict(zip(points, _below(keys, points).tolist(), strict=True))
         for i, own in ask.items():
-            best = min(own, key=lambda p: (abs(below[p] - targets[i]), p))
-            if abs(below[best] - targets[i]) <= slack:
+            target, slack = targets[i]
+            best = min(own, key=lambda p: (abs(below[p] - target), p))
+            if abs(below[best] - target) <= slack:
                 found[i] = best
                 continue
             for p in own:
-                if below[p] <= targets[i]:
+                if below[p] <= target:
                     lo[i], at_lo[i] = max(lo[i], p), max(at_lo[i], below[p])
-                else:
-                    if p < hi[i]:
-                        hi[i], at_hi[i] = p, below[p]
+                elif p < hi[i]:
+                    hi[i], at_hi[i] = p, below[p]
             if at_lo[i] == at_hi[i]:
                 found[i] = lo[i]
     return [found[i] for i in range(len(targets))]
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.002, task_bytes: int = 64 << 20) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.002, task_bytes: int = 16 << 20) -> DataFrame:
     """``docs`` with size, shard and slot: shards of near-equal bytes, rows of a shard numbered without gaps.
 
-    Every shard is made of equal fine parts of about ``task_bytes`` (64 at most),
-    found by the same splitters, so that sorting and numbering a shard is the work
-    of many tasks. The law is "bytes": the size of a shard differs from total / shards by
-    at most ``tolerance`` of it and one row.
+    The law is "bytes": the size of a shard differs from total / shards by at most
+    ``tolerance`` of it and one row. Every shard is made of equal fine parts of
+    about ``task_bytes``, found by the same splitters (within a tenth of a part),
+    so that sorting and numbering a shard is the work of many tasks. A row finds
+    its part by binary search in a constant array of the boundaries.
     """
     keys = saved(_keys(docs))
     total = keys.agg(F.sum("size")).first()[0] or 0
-    fine = min(64, max(1, math.ceil(total / shards / task_bytes)))
-    bounds = splitters(keys, shards * fine, total, tolerance) if total else []
-    hs, ds = [b[0] for b in bounds], [b[1] for b in bounds]
-
-    def place(h, d):
-        """The number of boundaries at or below a key; there are at most 64 * shards of them."""
-        if not bounds:
-            return F.lit(0)
-        return sum(((h > F.lit(a)) | ((h == F.lit(a)) & (d >= F.lit(b)))).cast("int") for a, b in zip(hs, ds, strict=True))
-
-    h, d = F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW))
-    counts = keys.groupBy(place(F.col("h"), F.col("d")).alias("part")).agg(F.count("*").alias("n")).collect()
+    fine = max(1, min(MOST_PARTS // shards, math.ceil(total / shards / task_bytes)))
+    parts = shards * fine
+    targets = [(total * i / parts, tolerance * total / shards if i % fine == 0 else 0.1 * total / parts) for i in range(1, parts)]
+    bounds = sorted(splitters(keys, targets, total)) if total else []
+    counts = keys.groupBy(part_of(F.col("h"), F.col("d"), bounds).alias("part")).agg(F.count("*").alias("n")).collect()
     rows = {r["part"]: r["n"] for r in counts}
     offsets, at = [], 0
-    for part in range(shards * fine):
+    for part in range(parts):
         at = 0 if part % fine == 0 else at
         offsets.append(at)
         at += rows.get(part, 0)
-    out = docs.withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")).withColumn("shard", place(h, d))
+    h, d = F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW))
+    out = docs.withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")).withColumn("shard", part_of(h, d, bounds))
+    out = out.repartitionById(parts, F.col("shard"))  # the one exchange; the window needs no other
     in_part = Window.partitionBy("shard").orderBy(h, d)
-    out = out.withColumn("slot", F.row_number().over(in_part).cast("long") - 1 + F.array(*(F.lit(x).cast("long") for x in offsets))[F.col("shard")])
+    out = out.withColumn("slot", F.row_number().over(in_part).cast("long") - 1 + F.get(longs(offsets), F.col("shard")))
     return out.withColumn("shard", F.expr(f"cast(shard div {fine} as int)"))
