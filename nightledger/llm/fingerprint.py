@@ -16,11 +16,13 @@ other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mixed, raw_texts, word_hashes
+from .common import MOST_PARTS, U64, longs, mixed, part_of, raw_texts, word_hashes
 
 LEAST = -(1 << 63)
 
@@ -65,32 +67,38 @@ def order_minhash(words: list[bytes], k: int, depth: int, multipliers: np.ndarra
     return (out >> U64(32)).astype(">u4")
 
 
-def _ranges(docs: DataFrame, parts: int | None = None) -> DataFrame:
+def _ranges(docs: DataFrame, parts: int | None = None, range_bytes: int = 16 << 20) -> DataFrame:
     """part, tail, doc_id and text in ascending order within ranges of ids, each range followed by the row after it.
 
-    The texts are exchanged once. Ranges of ids are cut at quantiles; each range's
-    least key is found by an aggregate of at most ``parts`` rows, so that the one
-    row whose predecessor lies in an earlier range is sent to both (as a tail).
+    The texts are exchanged once. Ranges of about ``range_bytes`` are cut at
+    quantiles of the ids; each range's least key is found by an aggregate of one row a
+    range, so that the one row whose predecessor lies in an earlier range is
+    sent to both (as a tail). A row finds its range by binary search in a constant
+    array.
     """
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(LEAST))).withColumn("tie", F.xxhash64("text"))
-    cuts = sorted({int(x) for x in docs.approxQuantile("key", [i / parts for i in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
-    part = F.lit(0)
-    for c in cuts:
-        part = part + (F.col("key") >= F.lit(c)).cast("int")
-    docs = docs.withColumn("part", part)
-    heads = sorted((r["part"], r["head"]) for r in docs.groupBy("part").agg(F.min(F.struct("key", "tie")).alias("head")).collect())
-    is_head, before = F.lit(False), F.lit(0)
-    for i, (p, head) in enumerate(heads):
-        mine = (F.col("part") == p) & (F.col("key") == F.lit(head["key"])) & (F.col("tie") == F.lit(head["tie"]))
-        is_head, before = is_head | mine, F.when(F.col("part") == p, heads[i - 1][0]).otherwise(before)
-    copies = F.array(F.struct("part", F.lit(False).alias("tail")), F.struct(before.alias("part"), F.lit(True).alias("tail")))
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(1, min(MOST_PARTS, -(-size // range_bytes)))
+    found = Counter(map(int, docs.approxQuantile("key", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else {}
+    # an id at several quantiles has several ranges of text hashes
+    cuts = sorted((key, LEAST + (j << 64) // n) for key, n in found.items() for j in range(n))
+    docs = docs.withColumn("part", part_of(F.col("key"), F.col("tie"), cuts))
+    heads = {r["part"]: r["head"] for r in docs.groupBy("part").agg(F.min(F.struct("key", "tie")).alias("head")).collect()}
+    # by range: its least key, and the range with rows before it (-1: none)
+    least, before, last = [], [], max(heads, default=-1)
+    for p in range(len(cuts) + 1):
+        least.append(heads.get(p, (0, 0)))
+        before.append(last)
+        last = p if p in heads else last
+    part = F.col("part")
+    is_head = (F.get(longs(x[0] for x in least), part) == F.col("key")) & (F.get(longs(x[1] for x in least), part) == F.col("tie"))
+    copies = F.array(F.struct("part", F.lit(False).alias("tail")), F.struct(F.get(longs(before), part).cast("int").alias("part"), F.lit(True).alias("tail")))
     spread = docs.select("doc_id", "text", "key", "tie", F.explode(F.when(is_head, copies).otherwise(F.slice(copies, 1, 1))).alias("to"))
     # a tail row only lends its text to the last row of the range before
     spread = spread.select("doc_id", "text", "key", "tie", F.col("to.part").alias("part"), F.col("to.tail").alias("tail"))
-    return spread.repartition(parts, "part").sortWithinPartitions("part", "tail", "key", "tie").select("part", "tail", "doc_id", "text")
+    return spread.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "tail", "key", "tie").select("part", "tail", "doc_id", "text")
 
 
 def _pairs(batches, most: int = 256):
