@@ -9,7 +9,8 @@ tree is rendered as a browser would show it: hidden elements, scripts, styles an
 head matter are left out; white space collapses but for preformatted text; blocks
 start on lines of their own, paragraphs and headings with a blank line around
 them; list items have bullets or numbers and are indented; table cells are
-aligned in columns.
+aligned in columns, with spans over columns and rows. Hidden is what the tag, the
+hidden attribute or an inline style hides; style sheets are not applied.
 
 Defined results: null html gives empty text; malformed markup never fails; deep
 nesting is held in a list, not on the stack; repeated rows are rendered each; an
@@ -165,25 +166,69 @@ class Lines:
         self.blank = False
 
 
-def _table(node: Node) -> list[str]:
-    """Rows of aligned cells, two spaces apart; a nested element in a cell is flattened to one line."""
-    rows, todo = [], [node]
+def _number(node: Node, name: str, most: int) -> int:
+    found = re.match(r"\s*\+?(\d{1,6})", node.attributes().get(name, "")) if node.attrs else None
+    return min(int(found[1]), most) if found else 1
+
+
+def _grid(node: Node) -> list[dict[int, tuple[str, int]]]:
+    """The rows of a table: by column the cell's text and how many columns it spans; cells from rows above keep their columns."""
+    rows, todo, held = [], [node], {}
     while todo:
         n = todo.pop()
-        for child in reversed([c for c in n.children if isinstance(c, Node) and not _hidden(c)]):
-            if child.tag in ("thead", "tbody", "tfoot", "tr", "form"):
-                todo.append(child)
         if n.tag == "tr":
-            rows.append([" ".join(render(Node("div"), c.children).split()) for c in n.children if isinstance(c, Node) and c.tag in ("td", "th") and not _hidden(c)])
-    widths = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
-    return [line for r in rows if (line := "  ".join(c.ljust(w) for c, w in zip(r, widths, strict=False)).rstrip())]
+            row, at, below = {}, 0, {}
+            for c in n.children:
+                if isinstance(c, Node) and c.tag in ("td", "th") and not _hidden(c):
+                    while held.get(at):
+                        at += 1
+                    wide, high = _number(c, "colspan", 1000) or 1, _number(c, "rowspan", 65534) or 65534
+                    row[at] = " ".join(render(Node("div"), c.children, True).split()), wide
+                    if high > 1:
+                        below |= dict.fromkeys(range(at, at + wide), high)
+                    at += wide
+            rows.append(row)
+            held = {c: left - 1 for c, left in (held | below).items() if left > 1}
+            continue
+        if n.tag in ("thead", "tbody", "tfoot"):
+            held = {}  # a span ends with its group of rows
+        todo += reversed([c for c in n.children if isinstance(c, Node) and c.tag in ("thead", "tbody", "tfoot", "tr", "form") and not _hidden(c)])
+    return rows
+
+
+def _table(node: Node) -> list[str]:
+    """Rows of aligned cells, two spaces apart; what is nested in a cell is flattened to one line.
+
+    Columns are as wide as their widest cell, or less where that would make the
+    table many times as long as its text: a longer cell moves those behind it.
+    """
+    rows = _grid(node)
+    widths: dict[int, int] = {}
+    for row in rows:
+        for at, (text, wide) in row.items():
+            widths[at] = max(widths.get(at, 0), len(text) if wide == 1 else 0)
+    room = 8 * sum(len(text) for row in rows for text, _ in row.values()) + 4096
+    most = next((m for m in (1 << 30, 120, 40, 12) if len(rows) * sum(min(w, m) + 2 for w in widths.values()) <= room), 0)
+    starts, at = {}, 0
+    for column in sorted(widths):
+        starts[column] = at
+        at += min(widths[column], most) + 2 if widths[column] and most else 0
+    lines = []
+    for row in rows:
+        line = ""
+        for column, (text, _) in row.items():
+            if text:
+                line = (line.ljust(starts[column]) if len(line) + 2 <= starts[column] or not line else line + "  ") + text
+        if line:
+            lines.append(line)
+    return lines
 
 
 def _hidden(node: Node) -> bool:
     if node.tag in HIDDEN or not node.attrs:
         return node.tag in HIDDEN
     given = node.attributes()
-    return "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or _unshown(given.get("style", ""))
+    return "hidden" in given or _unshown(given.get("style", ""))
 
 
 def _unshown(style: str) -> bool:
@@ -197,11 +242,11 @@ def _unshown(style: str) -> bool:
     return last.get("display", (0, ""))[1] == "none" or last.get("visibility", (0, ""))[1] == "hidden"
 
 
-def render(node: Node, children: list | None = None) -> str:
-    """The visible text of a tree."""
+def render(node: Node, children: list | None = None, flat: bool = False) -> str:
+    """The visible text of a tree; ``flat``: tables in it are lines of their cells' text."""
     lines = Lines()
     node.children = node.children if children is None else children
-    # a work list of (what, node or text): nothing recurses but tables within tables
+    # a work list of (what, node or text): the cells of a table are rendered flat, so nothing recurses deeper
     todo, lists = [("open", node)], []
     while todo:
         what, x = todo.pop()
@@ -217,11 +262,11 @@ def render(node: Node, children: list | None = None) -> str:
             lines.line()
         elif x.tag == "img":
             lines.text(x.attributes().get("alt", ""))
-        elif x.tag == "table":
+        elif x.tag == "table" and not flat:
             lines.line(True)
             for c in x.children:
                 if isinstance(c, Node) and c.tag == "caption" and not _hidden(c):
-                    lines.text(render(Node("div"), c.children))
+                    lines.text(render(Node("div"), c.children, True))
             lines.line()
             lines.raw(_table(x))
             lines.line(True)
@@ -230,6 +275,8 @@ def render(node: Node, children: list | None = None) -> str:
             lines.raw("".join(_strings(x)).strip("\n").split("\n"))
             lines.line(True)
         else:
+            if x.tag in ("td", "th"):
+                lines.gap = True
             if x.tag in BLOCK:
                 lines.line(x.tag in SPACED and not (x.tag in ("ul", "ol", "menu") and lists))
                 todo.append(("close", x))

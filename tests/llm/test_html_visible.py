@@ -13,7 +13,7 @@ from nightledger.llm import html_text
         ('<div style="overflow-x: hidden !important">yes</div>', "yes"),
         ("<div title='style=\"display:none\"'>yes</div>", "yes"),
         ('<div data-x="aria-hidden=true">yes</div>', "yes"),
-        ('<p HIDDEN>no</p><p hidden="">no</p><p aria-hidden=true>no</p><p style="color:red;DISPLAY : none !important">no</p><p>yes', "yes"),
+        ('<p HIDDEN>no</p><p hidden="">no</p><p style="color:red;DISPLAY : none !important">no</p><p>yes', "yes"),
         ("<head><title>t</title><p>one</p>two", "one\n\ntwo"),
         ("<head><meta charset=x>words", "words"),
         ("<html><head><title>t</title></head><body><p>a</p><head>b", "a\n\nb"),
@@ -24,7 +24,26 @@ from nightledger.llm import html_text
         ("<table><form>one<tr><td>a</form></table>", "one\n\na"),
         ("<table><caption>c<colgroup><col><thead><tr><td>a</table>", "c\na"),
         ("<table><tr><td>a <table>x<td>b</table></table>", "a x b"),
+        ("<p aria-hidden=true>seen</p>", "seen"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("<table><tr><td colspan=2>wide cell<td>x<tr><td>a<td>b<td>c</table>", "wide cell  x\na  b  c"),
+        ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>", "a  b  c\nd     e\nf     g"),
+        ("<table><tr><td>one<td><table><tr><td>x<td>y<tr><td>z</table><td>two</table>", "one  x y z  two"),
+        ("<table><tr><td>" * 2000 + "deep", "deep"),
     ],
 )
 def test_visible_text(source, want):
     assert html_text.render(html_text.parse(source)) == want
+
+
+def test_padding_does_not_outgrow_the_text():
+    """One wide cell in each of many columns of a table with many short rows."""
+    source = "<table>" + "".join("<tr>" + "".join(f"<td>{'w' * 300 if i == j else i}" for j in range(60)) for i in range(400)) + "</table>"
+    text = html_text.render(html_text.parse(source))
+    words = source.replace("<table>", " ").replace("</table>", " ").replace("<tr>", " ").replace("<td>", " ").split()
+    assert text.split() == words and len(text) < 20 * sum(map(len, words))
+
+
+def test_long_and_deep_pages_end():
+    for source in ("<ul><li>" * 20_000 + "x", "<table><tr><td>a" * 3000, "<b " * 50_000, "<p>" + "word " * 300_000):
+        html_text.render(html_text.parse(source))
