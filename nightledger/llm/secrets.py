@@ -8,7 +8,8 @@ counts of the characters in a window are kept in an array, one is raised and one
 lowered at each step, and the sum of c * log2(c) changes by those two terms only,
 which gives the window's Shannon entropy. A candidate's span reaches from its
 first to its last window over the class's threshold. Candidates that match the
-allow-list, and those that a pattern has found already, add nothing.
+allow-list, and those that lie within the span of a pattern, add nothing; one that
+reaches beyond a pattern's span adds its own, which may overlap it.
 
 Defined results: null or empty text has no spans; long texts are scanned whole;
 repeated rows are scanned each; an empty table gives no rows. ``redacted`` keeps
@@ -29,6 +30,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 #: Character classes, first match wins: name, pattern, bits of entropy that a window of WINDOW characters must reach.
 CLASSES = (("hex", r"^([0-9a-f]+|[0-9A-F]+)$", 3.0), ("upper", r"^[A-Z0-9]+$", 3.5), ("base64", r".", 3.75))
 WINDOW = 20
+#: Texts with more matches of a pattern are gone through in runs of so many.
+CHUNK = 256
 #: Texts that look random and are not secret.
 ALLOWED = r"(?i)example|sample|dummy|placeholder|^[0-9_/+-]+$|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|0123456789|abcdefghij"
 KINDS = ("assign", "access", "hex", "entropy")
@@ -54,8 +57,15 @@ def _located(text: Column, hits: Column, pattern: str, kind: int) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["found"], one).alias("found"))
 
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
-    found = F.aggregate(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), start, step, lambda acc: acc["found"])
-    return F.when(F.size(hits) > 0, found).otherwise(F.array().cast(kind_of))
+    pairs = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
+    few = F.aggregate(pairs, start, step, lambda acc: acc["found"])
+
+    # many matches: located within runs of CHUNK first, which keeps the folded arrays short, and then moved by the run's start
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / CHUNK).cast("int")), lambda b: F.aggregate(F.slice(pairs, b * CHUNK + 1, F.lit(CHUNK)), start, step))
+    ends = F.aggregate(runs, F.array(F.lit(0)), lambda acc, run: F.concat(acc, F.array(F.element_at(acc, -1) + run["at"])))
+    moved = lambda x, by: F.struct(x["hit"].alias("hit"), _span(x["span"]["start"] + by, kind, x["span"]["end"] + by).alias("span"))
+    many = F.flatten(F.transform(F.arrays_zip(runs.alias("run"), F.slice(ends, F.lit(1), F.size(runs)).alias("by")), lambda z: F.transform(z["run"]["found"], lambda x: moved(x, z["by"]))))
+    return F.when(F.size(hits) > CHUNK, many).when(F.size(hits) > 0, few).otherwise(F.array().cast(kind_of))
 
 
 def _entropy_range(s: Column, threshold: Column) -> Column:
@@ -104,9 +114,10 @@ def with_spans(docs: DataFrame) -> DataFrame:
     has_digit = F.exists("__entropy", lambda s: s.rlike("[0-9]"))
     found = _located(F.col("__text"), F.when(has_digit, F.col("__entropy")).otherwise(F.array().cast("array<string>")), CANDIDATE, 3)
     found = F.filter(found, lambda x: x["hit"].rlike("[0-9]") & ~x["hit"].rlike(ALLOWED))
-    found = F.filter(found, lambda x: ~F.exists("__base", lambda b: (b["start"] < x["span"]["end"]) & (x["span"]["start"] < b["end"])))
-    out = out.withColumn("__entropy", F.transform(found, secret))
+    new = lambda spans, of: F.filter(spans, lambda x: ~F.exists("__base", lambda b: (b["start"] <= of(x)["start"]) & (of(x)["end"] <= b["end"])))
+    out = out.withColumn("__entropy", F.transform(new(found, lambda x: x["span"]), secret))
     added = F.transform(F.filter("__entropy", lambda x: x["r"]["hi"] > 0), lambda x: _span(x["at"] + x["r"]["lo"], 3, x["at"] + x["r"]["hi"]))
+    added = new(added, lambda x: x)
     return out.withColumn("__all", F.when(F.size("__entropy") > 0, F.array_sort(F.concat("__base", added))).otherwise(F.col("__base")))
 
 
