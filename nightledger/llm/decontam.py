@@ -1,12 +1,18 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, searched with block-max WAND.
 
-Items, ordered by length, are indexed in blocks; each block has the postings of
-its own terms and, for every term, the largest weight in the block. A weight is
-a term's BM25 contribution divided by the item's score for itself, so one
-threshold holds for all items. Every passage (``passage`` words, half
-overlapping) of every document is a query: if the sum of its terms' largest
-weights anywhere cannot reach the threshold it is left; else the blocks whose
-own sum of maxima reaches it are scored in full. Retrieved items are verified:
+Items, ordered by length, are indexed in blocks; every term has a posting list of
+its blocks with the largest weight in each, and a block has the postings of its
+items. A weight is a term's BM25 contribution divided by the item's score for
+itself, so one threshold holds for all items. Every passage (``passage`` words,
+half overlapping) of every document is a query. Its lists are put in order, the
+longest first; the pivot is the first list at which their largest weights add up
+to a third of the threshold. No item that has only terms before the pivot can reach
+it, so only the lists from the pivot on, the shorter ones, are walked. A block met
+there is skipped if its maxima in them, with all that the lists before the pivot
+could add, do not reach the threshold; else if its maxima in all lists do not; and
+what is left is scored in full. All passages of a chunk go through these steps together, on arrays of
+(passage, term) and (passage, block) pairs; chunks are bounded in words, so long
+documents are searched a part at a time. Retrieved items are verified:
 the shares of the item's question (all but its last sentence) and of its answer
 (the last sentence; halves, if there is one sentence) found in the document as
 word 5-grams must both reach ``overlap``. An item of more words than half a
@@ -35,11 +41,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts, saved
+from .common import raw_texts, saved, without
 
 _PLAIN = bytes(32 if i < 48 or 57 < i < 65 or 90 < i < 97 or 122 < i < 128 else i for i in range(256)).lower()
 GRAM = 5
 K1, B = 1.2, 0.75
+#: What share of the threshold the lists before the pivot may reach: it saves the longest lists and leaves few blocks to look at.
+PIVOT = 1 / 3
+#: How many cells (half passages) are searched at once.
+CELLS = 4096
 
 
 def plain_words(text: bytes) -> list[bytes]:
@@ -67,6 +77,19 @@ def pieces(text: bytes, longest: int) -> list[list[bytes]]:
     return [words[len(words) * i // n : len(words) * (i + 1) // n] for i in range(n)]
 
 
+def _groups(ids: list[int], texts: list[bytes], most: int = 200_000):
+    """Lists of (doc_id, words) of about ``most`` words, or of one longer document."""
+    out, n = [], 0
+    for doc_id, text in zip(ids, texts, strict=True):
+        out.append((doc_id, plain_words(text)))
+        n += len(out[-1][1])
+        if n >= most:
+            yield out
+            out, n = [], 0
+    if out:
+        yield out
+
+
 class Statistics(NamedTuple):
     """Number and mean length of all pieces, and how many have each term."""
 
@@ -88,9 +111,9 @@ class Index:
             statistics = Statistics(len(words), np.mean([len(w) for _, w in words]) if words else 1, Counter(t for _, w in words for t in set(w)))
         total, mean, frequency = statistics
         n = len(words)
-        self.terms = {t: i for i, t in enumerate(sorted(frequency))}
-        idf = {t: np.log(1 + (total - f + 0.5) / (f + 0.5)) for t, f in frequency.items()}
-        self.largest = np.zeros((len(self.terms), -(-n // width)), np.float32)  # of a term in a block
+        self.terms = {t: i for i, t in enumerate(sorted({t for _, w in words for t in w}))}
+        idf = {t: np.log(1 + (total - frequency[t] + 0.5) / (frequency[t] + 0.5)) for t in self.terms}
+        postings = []  # (terms, block, largest weights)
         self.blocks = []  # (sorted term numbers, weights terms x items, first item)
         for first in range(0, n, width):
             own = sorted({self.terms[t] for _, w in words[first : first + width] for t in w})
@@ -100,38 +123,68 @@ class Index:
                 for t, f in Counter(w).items():
                     weights[at[self.terms[t]], j] = idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean))
             weights /= weights.sum(axis=0)
-            own = np.array(own)
-            self.largest[own, len(self.blocks)] = weights.max(axis=1)
+            own = np.array(own, np.int64)
+            postings.append((own, np.full(len(own), len(self.blocks)), weights.max(axis=1)))
             self.blocks.append((own, weights, first))
+        # posting lists, one term after another: blocks in ascending order, their largest weights, and where each list begins
+        terms, blocks, largest = (np.concatenate([np.zeros(0, k), *(p[i] for p in postings)]) for i, k in enumerate((np.int64, np.int64, np.float64)))
+        order = np.argsort(terms * max(1, len(self.blocks)) + blocks)
+        self.posted, self.largest = blocks[order], largest[order]
+        self.begins = np.searchsorted(terms[order], np.arange(len(self.terms) + 1))
+        self.rank = np.empty(len(self.terms), np.int64)  # the longest list first
+        self.rank[np.argsort(-np.diff(self.begins), kind="stable")] = np.arange(len(self.terms))
+        self.top = np.zeros(len(self.terms))
+        np.maximum.at(self.top, terms, largest)
 
     def search(self, terms: np.ndarray, cells: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
         """(cell, item, score) of every passage, made of a cell and the one after it, that reaches the threshold for a piece.
 
         ``terms`` with ``cells`` are the distinct (cell, term) pairs, sorted by cell and term.
         """
-        if not len(terms):
-            return []
-        size = len(self.terms)
-        key = cells * size + terms
-        at = np.searchsorted(key, key - size)
-        # the term was in the cell before: it counts once in that passage
-        again = key[np.minimum(at, len(key) - 1)] == key - size
-        # every passage's bound for every block, from the blocks' largest weights
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(cells) != 0]))
-        bound = np.zeros((int(cells[-1]) + 2, len(self.blocks)), np.float32)
-        largest = self.largest[terms]
-        bound[cells[starts]] = np.add.reduceat(largest, starts)
-        passage = bound[:-1] + bound[1:]
-        largest[~again] = 0
-        passage[cells[starts][cells[starts] > 0] - 1] -= np.add.reduceat(largest, starts)[cells[starts] > 0]
         found = []
-        edges = np.searchsorted(cells, np.arange(len(bound) + 1))
-        for cell, block in np.argwhere(passage >= threshold - 1e-4).tolist():
-            own, weights, first = self.blocks[block]
-            query = np.unique(terms[edges[cell] : edges[cell + 2]])
+        if not len(terms):
+            return found
+        least, n_blocks = threshold - 1e-6, len(self.blocks)  # sums may be off by rounding; the score itself decides
+        # (passage, term): a term counts once in a passage, though both of its cells have it
+        key = cells * len(self.terms) + terms
+        at = np.searchsorted(key, key - len(self.terms))
+        again = key[np.minimum(at, len(key) - 1)] == key - len(self.terms)
+        # a passage whose first cell has no term is part of the next one
+        later = ~again & np.isin(cells - 1, cells)
+        passage, term = np.concatenate([cells, cells[later] - 1]), np.concatenate([terms, terms[later]])
+        # lists by passage, the longest first, with the sum of the largest weights before each
+        order = np.lexsort((self.rank[term], passage))
+        passage, term = passage[order], term[order]
+        top = self.top[term]
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(passage) != 0]))
+        sizes = np.diff(np.append(starts, len(passage)))
+        before = np.cumsum(top) - top
+        before -= np.repeat(before[starts], sizes)
+        walked = np.flatnonzero(before + top >= PIVOT * least)  # from the pivot on
+        if not len(walked):
+            return found
+        new = np.concatenate([[True], np.diff(passage[walked]) != 0])
+        rest = np.repeat(before[walked][new], np.diff(np.append(np.flatnonzero(new), len(walked))))  # what lists before the pivot may add
+        # their postings, as (passage, block)
+        n = self.begins[term[walked] + 1] - self.begins[term[walked]]
+        where = np.repeat(self.begins[term[walked]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        met = np.repeat(passage[walked], n) * n_blocks + self.posted[where]
+        order = np.argsort(met, kind="stable")
+        met, weight, rest = met[order], self.largest[where][order], np.repeat(rest, n)[order]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(met) != 0]))
+        keep = first[np.add.reduceat(weight, first) + rest[first] >= least]
+        ends = np.append(starts, len(passage))
+        for pair in met[keep].tolist():
+            cell, block = divmod(pair, n_blocks)
+            i = int(np.searchsorted(passage[starts], cell))
+            own, weights, item = self.blocks[block]
+            query = term[ends[i] : ends[i + 1]]
             at = np.minimum(np.searchsorted(own, query), len(own) - 1)
-            scores = weights[at[own[at] == query]].sum(axis=0)
-            found += [(cell, self.item_of[first + j], float(scores[j])) for j in np.flatnonzero(scores >= threshold).tolist()]
+            here = weights[at[own[at] == query]]
+            if here.max(axis=1, initial=0).sum() < least:
+                continue
+            scores = here.sum(axis=0)
+            found += [(cell, self.item_of[item + j], float(scores[j])) for j in np.flatnonzero(scores >= threshold).tolist()]
         return found
 
 
@@ -165,35 +218,37 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap:
             import pyarrow as pa
 
             own, get = index.value, index.value.terms.get
+            size = max(1, len(own.terms))
             for batch in batches:
                 rows = []
-                texts = raw_texts(batch)
-                ids = batch.column("doc_id").to_pylist()
-                for lo in range(0, len(texts), 256):
-                    docs_words = [plain_words(t) for t in texts[lo : lo + 256]]
-                    first = np.cumsum([0, *(len(w) // half + 2 for w in docs_words)])  # an empty cell between documents
-                    numbers = [np.fromiter((get(w, -1) for w in words), np.int64, len(words)) for words in docs_words]
+                for group in _groups(batch.column("doc_id").to_pylist(), raw_texts(batch)):
+                    first = np.cumsum([0, *(len(w) // half + 2 for _, w in group)])  # an empty cell between documents
+                    numbers = [np.fromiter((get(w, -1) for w in words), np.int64, len(words)) for _, words in group]
                     cell = np.concatenate([f + np.arange(len(x)) // half for f, x in zip(first, numbers, strict=False)])
                     term = np.concatenate(numbers)
-                    key = np.unique((cell * len(own.terms) + term)[term >= 0]) if len(own.terms) else np.zeros(0, np.int64)
+                    key = np.unique((cell * size + term)[term >= 0])
                     best: dict[tuple[int, int], float] = {}
-                    for at, item, score in own.search(key % max(1, len(own.terms)), key // max(1, len(own.terms)), threshold):
-                        d = int(np.searchsorted(first, at, side="right")) - 1
-                        best[d, item] = max(score, best.get((d, item), 0.0))
-                    held: dict[int, set] = {}
-                    for (d, item), score in best.items():
-                        if d not in held:
-                            held[d] = grams(docs_words[d])
-                        shares = []
-                        for part in own.parts[item]:
-                            wanted = grams(part)
-                            if len(part) < GRAM:  # shorter than a 5-gram: as a run of its own
-                                text = b" " + b" ".join(docs_words[d]) + b" "
-                                shares.append(float(b" " + b" ".join(part) + b" " in text))
-                            else:
-                                shares.append(len(wanted & held[d]) / len(wanted))
-                        if min(shares) >= overlap:
-                            rows.append((ids[lo + d], int(own.ids[item]), score, *shares))
+                    for lo in range(0, int(first[-1]), CELLS):  # with the next cell, the other half of the last passage
+                        part = key[np.searchsorted(key, lo * size) : np.searchsorted(key, (lo + CELLS + 1) * size)]
+                        for at, item, score in own.search(part % size, part // size, threshold):
+                            if at < lo + CELLS:
+                                d = int(np.searchsorted(first, at, side="right")) - 1
+                                best[d, item] = max(score, best.get((d, item), 0.0))
+                    wanted: dict[int, list[int]] = {}
+                    for d, item in best:
+                        wanted.setdefault(d, []).append(item)
+                    for d, found in wanted.items():
+                        doc_id, words = group[d]
+                        asked = [[grams(part) for part in own.parts[item]] for item in found]
+                        every = set().union(*(g for x in asked for g in x))
+                        held = {g for g in zip(*(words[i:] for i in range(GRAM)), strict=False) if g in every}
+                        parts = [own.parts[item] for item in found]
+                        line = b" " + b" ".join(words) + b" " if any(len(p) <= GRAM for x in parts for p in x) else b""
+                        for item, sets in zip(found, asked, strict=True):
+                            # what is no longer than a 5-gram is sought as a run of words
+                            shares = [float(b" " + b" ".join(p) + b" " in line) if len(p) <= GRAM else len(g & held) / len(g) for p, g in zip(own.parts[item], sets, strict=True)]
+                            if min(shares) >= overlap:
+                                rows.append((doc_id, int(own.ids[item]), best[d, item], *shares))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i < 2 else pa.float64()) for i in range(5)], names=[x.split()[0] for x in schema.split(", ")])
 
@@ -217,4 +272,4 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap:
 
 def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents without a verified match. Rows without a doc_id stay; rows of one doc_id go together."""
-    return docs.join(matches(docs, items, **options).select("doc_id").distinct(), "doc_id", "left_anti")
+    return without(docs, matches(docs, items, **options).select("doc_id"))
