@@ -171,19 +171,21 @@ def _prefixes(docs: DataFrame, size: int, part: Fraction, frequent) -> DataFrame
         import pyarrow as pa
 
         known, counts = frequent.value
-        for batch in batches:
-            digests, sizes, sketches, prefixes = [], [], [], []
-            for text in raw_texts(batch):
-                hashes = shingle_hashes(text.lower().split(), size)
-                digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                sizes.append(len(hashes))
-                sketches.append(sketch(hashes))
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                    hashes = hashes[np.argsort(np.where(known[at] == hashes, counts[at], 0), kind="stable")]
-                prefixes.append(hashes[: len(hashes) - -(-len(hashes) * part.numerator // part.denominator) + 1].view("<i8"))
-            arrays = [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "class", "size", "sketch", "prefix"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.slice(lo, 512)
+                digests, sizes, sketches, prefixes = [], [], [], []
+                for text in raw_texts(batch):
+                    hashes = shingle_hashes(text.lower().split(), size)
+                    digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                    sizes.append(len(hashes))
+                    sketches.append(sketch(hashes))
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                        hashes = hashes[np.argsort(np.where(known[at] == hashes, counts[at], 0), kind="stable")]
+                    prefixes.append(hashes[: len(hashes) - -(-len(hashes) * part.numerator // part.denominator) + 1].view("<i8"))
+                arrays = [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "class", "size", "sketch", "prefix"])
 
     return docs.mapInArrow(run, "doc_id long, class binary, size int, sketch binary, prefix array<long>")
 
@@ -212,27 +214,29 @@ def _likely(pairs: DataFrame, classes: DataFrame, part: Fraction) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, part: Fraction) -> DataFrame:
-    """The pairs (a, b) whose distinct shingles have a Jaccard similarity of at least ``part``, on whole texts."""
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, share: Fraction) -> DataFrame:
+    """The pairs (a, b) whose distinct shingles have a Jaccard similarity of at least ``share``, on whole texts."""
 
     def run(batches):
         import pyarrow as pa
 
+        known = {}  # the last few sets: pairs of one text follow one another
         for batch in batches:
-            keep, known = [], {}
-            for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), raw_texts(batch, "x"), raw_texts(batch, "y"), strict=True):
-                sets = []
-                for end, text in ((a, x), (b, y)):
-                    if (end, len(text)) not in known:
-                        if len(known) > 64:
-                            known.clear()
-                        known[end, len(text)] = text, shingle_hashes(text.lower().split(), size)
-                    held = known[end, len(text)]
-                    sets.append(held[1] if held[0] == text else shingle_hashes(text.lower().split(), size))
-                both = len(np.intersect1d(*sets, assume_unique=True))
-                keep.append(both * (part.numerator + part.denominator) >= sum(map(len, sets)) * part.numerator)
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+            for lo in range(0, batch.num_rows, 256):
+                part, keep = batch.slice(lo, 256), []
+                for a, b, x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), raw_texts(part, "x"), raw_texts(part, "y"), strict=True):
+                    sets = []
+                    for end, text in ((a, x), (b, y)):
+                        held = known.get(end)
+                        if held is None or held[0] != text:
+                            if len(known) >= 16:
+                                known.clear()
+                            held = known[end] = text, shingle_hashes(text.lower().split(), size)
+                        sets.append(held[1])
+                    both = len(np.intersect1d(*sets, assume_unique=True))
+                    keep.append(both * (share.numerator + share.denominator) >= sum(map(len, sets)) * share.numerator)
+                keep = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], names=["a", "b"])
 
     ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     ids = F.broadcast(ids) if ids.count() <= FEW else ids  # few: only their texts are exchanged
