@@ -28,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where none is set, as in local tests."""
+    """The session's ``spark.checkpoint.dir``; a folder of our own only where none is set, in local mode."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.getConf().contains("spark.checkpoint.dir") and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
     return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
 

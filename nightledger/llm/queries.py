@@ -87,7 +87,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import matches
 
-    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
