@@ -24,6 +24,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share: below the session's checkpoint folder, or a local one where none is set."""
+    """A new folder that the driver and all executors share: below the session's checkpoint folder, or in local mode one of this machine where none is set."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base}/scratch-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-")
