@@ -9,24 +9,25 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import iso_dow
 
-#: Two-sided 95 % points of Student's t by the number of observations.
+#: Two-sided 95 % points of Student's t by the number of observations (2.09 below 30 and 1.96 from there on, in t_value).
 T95 = {2: 12.71, 3: 4.30, 4: 3.18, 5: 2.78, 6: 2.57, 7: 2.45, 8: 2.36, 9: 2.31, 10: 2.26}
 
 
-def paired_observations(kpi_calendar: DataFrame, as_of: dt.date | None = None, half_window: int = 56, least: int = 4) -> DataFrame:
+def paired_observations(kpi_calendar: DataFrame, as_of: dt.date | None = None, half_window: int = 56, least: int = 4, keys: tuple[str, ...] = ()) -> DataFrame:
     """Holiday-adjacent property-dates with the median occupancy of the same weekday nearby, none of it holiday-adjacent.
 
     A range window on the day number, so no self-join. ``as_of`` limits every
-    input to dates before it.
+    input to dates before it. ``keys`` are further columns of which each value is
+    taken by itself.
     """
     k = kpi_calendar.where(F.col("occupancy_bp").isNotNull())
     if as_of is not None:
         k = k.where(F.col("stay_date") < F.lit(as_of))
-    w = Window.partitionBy("property_key", iso_dow(F.col("stay_date"))).orderBy(F.datediff("stay_date", F.lit(dt.date(1970, 1, 1)))).rangeBetween(-half_window, half_window)
+    w = Window.partitionBy(*keys, "property_key", iso_dow(F.col("stay_date"))).orderBy(F.datediff("stay_date", F.lit(dt.date(1970, 1, 1)))).rangeBetween(-half_window, half_window)
     plain = F.when(~F.col("is_holiday_adjacent"), F.col("occupancy_bp"))
     k = k.select("*", F.percentile(plain, 0.5).over(w).alias("baseline_bp"), F.count(plain).over(w).alias("baseline_obs"))
     return k.where(F.col("is_holiday_adjacent") & F.col("days_to_holiday").isNotNull() & (F.col("baseline_obs") >= least)).select(
-        "property_key", "stay_date", F.col("days_to_holiday").alias("offset"), F.col("nearest_holiday").alias("holiday"), "occupancy_bp", "baseline_bp", "baseline_obs"
+        *keys, "property_key", "stay_date", F.col("days_to_holiday").alias("offset"), F.col("nearest_holiday").alias("holiday"), "occupancy_bp", "baseline_bp", "baseline_obs"
     )
 
 

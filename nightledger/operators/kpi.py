@@ -154,8 +154,11 @@ def window_delta(nights: DataFrame, channels: DataFrame, start: dt.date, end: dt
     return s.select("*", (F.col("adr_now") - F.col("adr_before")).alias("adr_change"), (F.col("revpar_now") - F.col("revpar_before")).alias("revpar_change"), (F.col("corporate_bp_now") - F.col("corporate_bp_before")).alias("corporate_change_bp"))
 
 
-def daily_brief(kpi: DataFrame, service: DataFrame, day: dt.date, service_day: dt.date) -> DataFrame:
-    """(section, rank, label, value): a day against the same weekday of the week before, and the worst service cells of seven days."""
+def daily_brief(kpi: DataFrame, service: DataFrame, complaints: DataFrame, buried: DataFrame, day: dt.date, service_day: dt.date, review_day: dt.date) -> DataFrame:
+    """(section, rank, label, value): a day against the same weekday of the week before, the worst service cells of seven days, and the guests' voice of thirty.
+
+    ``complaints`` has category and review_date of negative aspects, ``buried`` review_date of those in reviews that rate well.
+    """
     d = kpi.where(F.col("stay_date").isin(day, day - dt.timedelta(7)))
     today = F.col("stay_date") == F.lit(day)
     lines = d.agg(*[(_sum(today, c) - _sum(~today, c)).alias(c) for c in ("sold", "revenue_paise", "available")])
@@ -167,7 +170,11 @@ def daily_brief(kpi: DataFrame, service: DataFrame, day: dt.date, service_day: d
     worst = cell.orderBy(F.desc("breaches"), "property_key", "day_part").limit(3)
     order = Window.orderBy(F.desc("breaches"), "property_key", "day_part")  # three rows
     worst = worst.select(F.lit("breaches").alias("section"), F.row_number().over(order).alias("rank"), label.alias("label"), F.col("breaches").alias("value"))
-    return lines.unionByName(worst)
+    month = _between("review_date", review_day - dt.timedelta(29), review_day)
+    by = complaints.where(month).groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(3)
+    by = by.select(F.lit("complaints").alias("section"), F.row_number().over(Window.orderBy(F.desc("n"), "category")).alias("rank"), F.col("category").alias("label"), F.col("n").alias("value"))  # three rows
+    hidden = buried.where(month).agg(F.lit("buried").alias("section"), F.lit(0).alias("rank"), F.lit("aspects").alias("label"), F.count("*").alias("value"))
+    return lines.unionByName(worst).unionByName(by).unionByName(hidden)
 
 
 def csat_by_breach(requests: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ and a replay of hundreds are the same job with one more key.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -156,6 +157,45 @@ def pace_evaluation(calls: DataFrame) -> DataFrame:
                     F.when((misses == 0) & (F.col("behind") > 0), int_div(F.lit(30000), F.greatest("behind", F.lit(1)))).alias("rule_of_three_bp"))
 
 
+def reconstruct(nights: DataFrame, unit_nights: DataFrame, calendar: DataFrame, kpi_calendar: DataFrame, context: DataFrame, as_ofs: DataFrame, ahead: int = 30, back: int = 28, lookback: int = 14) -> DataFrame:
+    """(as_of, section, property_key, stay_date, label, value): all that was known at each decision date, in whole numbers.
+
+    The book ahead, net pickup, what the days before realised, the calendar
+    ahead, holiday effects from dates before, a forecast from the last four same
+    weekdays, and pace with the expected final book. Nothing is read that was
+    entered, cancelled or stayed after ``as_of``.
+    """
+    from .calendar_fx import paired_observations
+
+    day, at = F.col("stay_date"), F.broadcast(as_ofs)
+    gap = F.datediff("stay_date", "as_of")
+
+    def rows(df, section, label, value, key="property_key", date="stay_date"):
+        nothing = {"property_key": F.lit(None).cast("int"), "stay_date": F.lit(None).cast("date")}
+        return df.select("as_of", F.lit(section).alias("section"), F.col("property_key") if key else nothing["property_key"].alias("property_key"), F.col("stay_date") if date else nothing["stay_date"].alias("stay_date"), label.cast("string").alias("label"), value.cast("long").alias("value"))
+
+    def summed(df, section, names, **where):
+        return rows(df.select("*", F.explode(F.array(*[F.struct(F.lit(n).alias("label"), F.col(n).cast("long").alias("value")) for n in names])).alias("x")), section, F.col("x.label"), F.col("x.value"), **where)
+
+    book_rows = summed(book(nights, as_ofs, ahead), "book", ("nights_on_books", "revenue_paise"))
+    moves = nights.select(F.col("entered_on").alias("on"), F.lit(1).alias("n")).unionByName(nights.select(F.col("left_on").alias("on"), F.lit(-1).alias("n")))
+    recent = moves.groupBy("on").agg(F.sum("n").alias("n")).join(at, (F.col("on") <= F.col("as_of")) & (F.datediff("as_of", "on") < lookback)).groupBy("as_of").agg(F.sum("n").alias("n"))
+    days = unit_nights.groupBy("property_key", "stay_date").agg(F.count_if("is_occupied").alias("sold"), F.count_if("is_sellable").alias("available"), F.sum("revenue_paise").alias("revenue_paise"))
+    past = days.join(at, (day <= F.col("as_of")) & (gap > -back)).groupBy("as_of", "property_key").agg(*[F.sum(c).alias(c) for c in ("sold", "available", "revenue_paise")])
+    near = context.where("is_holiday_adjacent").select(F.col("full_date").alias("stay_date"), "nearest_holiday", "days_to_holiday").join(at, (gap > 0) & (gap <= ahead))
+    pairs = paired_observations(kpi_calendar.join(at, day < F.col("as_of")), keys=("as_of",))
+    effects = pairs.groupBy("as_of", "holiday").agg(F.count("*").alias("n"), F.sum((2 * (F.col("occupancy_bp") - F.col("baseline_bp"))).cast("long")).alias("twice_effect_bp"))
+    same = comparables(calendar, as_ofs, 4).join(days, ["property_key", "stay_date"]).groupBy("as_of", "property_key", "dow").agg(F.sum("sold").alias("sold"))
+    judged = pace(nights, calendar, as_ofs)
+    expected = judged.withColumn("dow", iso_dow(day)).join(final_book_benchmark(nights, calendar, as_ofs).select("as_of", "property_key", "dow", "expected_final"), ["as_of", "property_key", "dow"])
+    parts = [
+        book_rows, rows(recent, "pickup", F.lit("net_nights"), F.col("n"), None, None), summed(past, "realised", ("sold", "available", "revenue_paise"), date=None), rows(near, "calendar", F.col("nearest_holiday"), F.col("days_to_holiday"), None),
+        rows(effects, "effect observations", F.col("holiday"), F.col("n"), None, None), rows(effects, "effect", F.col("holiday"), F.col("twice_effect_bp"), None, None), rows(same, "forecast", F.col("dow"), F.col("sold"), date=None),
+        rows(judged, "pace", F.col("status"), F.col("gap_nights") * 4), rows(expected, "expected final", F.lit("nights"), F.col("expected_final") * 4),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """A hash of the rows in any order, equal for equal multisets of rows: the sum of each row's first 60 bits of MD5.
 

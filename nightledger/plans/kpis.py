@@ -63,6 +63,10 @@ def _metric_queries() -> dict[str, tuple]:
 
 
 _V4 = LAYER["v4_guest_repeat"]
+#: The first two sections of the day brief; the guests' voice is added where text is at hand.
+_BRIEF = f"""SELECT 'change' AS section, 0 AS rank, label, value FROM (SELECT {s_if('t', 'sold')} - {s_if('NOT t', 'sold')} AS sold, {s_if('t', 'revenue_paise')} - {s_if('NOT t', 'revenue_paise')} AS revenue_paise, {s_if('t', 'available')} - {s_if('NOT t', 'available')} AS available
+        FROM (SELECT *, stay_date = DATE '1997-06-18' AS t FROM daily WHERE stay_date IN (DATE '1997-06-18', DATE '1997-06-11'))) UNPIVOT (value FOR label IN (sold, revenue_paise, available))
+        UNION ALL SELECT 'breaches', CAST(row_number() OVER (ORDER BY b DESC, property_key, day_part) AS INT), property_key || ' ' || day_part, b FROM (SELECT property_key, day_part, {c_if('is_sla_breached')} AS b FROM request WHERE resolution_minutes IS NOT NULL AND request_date BETWEEN DATE '2024-01-14' AND DATE '2024-01-20' GROUP BY ALL HAVING count(*) >= 3 ORDER BY b DESC, property_key, day_part LIMIT 3)"""
 QUERIES = _metric_queries() | {
     "m10_lead_time_filtered": (
         lambda m: metrics.metric(_BOOK(m), "avg_lead_tenth_days", ("channel_code",), filtered=True),
@@ -134,12 +138,6 @@ QUERIES = _metric_queries() | {
         {rdiv(s_if('NOT w', 'revenue_paise'), c_if('NOT w AND is_occupied'))} AS adr_before, {rdiv(s_if('NOT w', 'revenue_paise'), c_if('NOT w AND is_sellable'))} AS revpar_before, {bp(c_if("w AND is_occupied AND channel_code = '3-MEDIUM'"), c_if('w AND is_occupied'))} AS corporate_bp_now, {bp(c_if("NOT w AND is_occupied AND channel_code = '3-MEDIUM'"), c_if('NOT w AND is_occupied'))} AS corporate_bp_before
         FROM (SELECT *, stay_date >= DATE '{A}' AS w FROM unit_night WHERE stay_date BETWEEN DATE '{A}' - 61 AND DATE '{B}'))""", "unit_night"),
     ),
-    "k18_daily_brief": (
-        lambda m: kpi.daily_brief(daily(m), views.service_kpi(m.requests()), dt.date(1997, 6, 18), dt.date(2024, 1, 20)),
-        sql(f"""SELECT 'change' AS section, 0 AS rank, label, value FROM (SELECT {s_if('t', 'sold')} - {s_if('NOT t', 'sold')} AS sold, {s_if('t', 'revenue_paise')} - {s_if('NOT t', 'revenue_paise')} AS revenue_paise, {s_if('t', 'available')} - {s_if('NOT t', 'available')} AS available
-        FROM (SELECT *, stay_date = DATE '1997-06-18' AS t FROM daily WHERE stay_date IN (DATE '1997-06-18', DATE '1997-06-11'))) UNPIVOT (value FOR label IN (sold, revenue_paise, available))
-        UNION ALL SELECT 'breaches', CAST(row_number() OVER (ORDER BY b DESC, property_key, day_part) AS INT), property_key || ' ' || day_part, b FROM (SELECT property_key, day_part, {c_if('is_sla_breached')} AS b FROM request WHERE resolution_minutes IS NOT NULL AND request_date BETWEEN DATE '2024-01-14' AND DATE '2024-01-20' GROUP BY ALL HAVING count(*) >= 3 ORDER BY b DESC, property_key, day_part LIMIT 3)""", "daily", "request"),
-    ),
     "k19_csat_by_breach": (lambda m: kpi.csat_by_breach(m.requests()), sql(f"SELECT {rdiv(s_if('is_sla_breached', 'csat') + ' * 100', 'count(csat) FILTER (is_sla_breached)')} AS csat_breached, {rdiv(s_if('NOT is_sla_breached', 'csat') + ' * 100', 'count(csat) FILTER (NOT is_sla_breached)')} AS csat_kept FROM request", "request")),
     "k20_validate_layer": (
         lambda m: kpi.validate_layer(daily(m), unit_nights(m)),

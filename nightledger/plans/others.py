@@ -12,6 +12,7 @@ from ..session import scratch
 from ..sources import files
 from ..streaming import feeds
 from .base import bp, rdiv, sql
+from .kpis import _BRIEF
 from .kpis import QUERIES as KPIS
 from .layer import daily, demand, unit_nights
 
@@ -249,6 +250,11 @@ QUERIES = {
         lambda m: text.unsupported_numbers(*answers(m)).select("answer_id", F.col("number").cast("long").alias("number")),
         f"SELECT strftime(period, '%Y-%m') AS answer_id, adr_paise + 1 AS number FROM ({KPIS['k2_trend'][1]}) WHERE sold > 0 AND month(period) % 5 = 0",
     ),
+    "k18_daily_brief": (
+        lambda m: kpi.daily_brief(daily(m), views.service_kpi(m.requests()), aspects(m).where("polarity = 'negative'").join(m.reviews().select("review_id", "review_date"), "review_id"), buried(m), dt.date(1997, 6, 18), dt.date(2024, 1, 20), dt.date(2000, 6, 30)),
+        sql(_BRIEF + """ UNION ALL SELECT 'complaints', CAST(row_number() OVER (ORDER BY n DESC, category) AS INT), category, n FROM (SELECT category, count(*) AS n FROM aspect JOIN review USING (review_id) WHERE polarity = 'negative' AND review_date BETWEEN DATE '2000-06-01' AND DATE '2000-06-30' GROUP BY 1 ORDER BY n DESC, category LIMIT 3)
+        UNION ALL SELECT 'buried', 0, 'aspects', count(*) FROM b WHERE review_date BETWEEN DATE '2000-06-01' AND DATE '2000-06-30'""", "daily", "request", "review", **_TEXT, b=_BURIED),
+    ),
     "k9_aspect_counts": (lambda m: text.aspect_counts(aspects(m)), _text_sql("SELECT category, polarity, count(*) AS aspects, count(DISTINCT review_id) AS reviews, count(*) FILTER (severity = 'severe') AS severe, count(*) FILTER (severity = 'moderate') AS moderate FROM aspect GROUP BY ALL ORDER BY aspects DESC, category, polarity LIMIT 60")),
     "v5_buried_complaints": (lambda m: buried(m).select("review_id", "category", "severity", "property_key", "review_date", "half_stars"), _text_sql(_BURIED)),
     "k21_buried_summary": (

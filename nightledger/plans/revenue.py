@@ -59,8 +59,6 @@ def _calls(m):
 
 _EVAL = f"""SELECT *, {rdiv('below * 10000', 'calls')} AS base_bp, {rdiv('hits * 10000', 'behind')} AS precision_bp, {rdiv('hits * 10000', 'below')} AS recall_bp, {rdiv('naive_hits * 10000', 'naive')} AS naive_precision_bp, CASE WHEN behind = hits THEN 30000 // nullif(behind, 0) END AS rule_of_three_bp
  FROM (SELECT count(*) AS calls, count(*) FILTER (finished_below) AS below, count(*) FILTER (status = 'behind') AS behind, count(*) FILTER (status = 'behind' AND finished_below) AS hits, count(*) FILTER (gap_nights < 0) AS naive, count(*) FILTER (gap_nights < 0 AND finished_below) AS naive_hits FROM calls)"""
-_QUARTERS = ("median_nights", "p25_nights", "p75_nights", "gap_nights", "expected_final")
-_FIELDS = [f"CAST(CAST({c} * 4 AS BIGINT) AS VARCHAR)" if c in _QUARTERS else f"CAST({c} AS VARCHAR)" for c in sorted(("as_of", "property_key", "stay_date", "days_out", "nights_on_books", "support", "revenue_paise", "status", "confidence", "final_nights", "finished_below", *_QUARTERS))]
 _BAND = "CASE WHEN days_out <= 3 THEN '1-3' WHEN days_out <= 7 THEN '4-7' WHEN days_out <= 14 THEN '8-14' ELSE '15-30' END"
 QUERIES = {
     "r1_on_the_books": (lambda m: revenue.book(demand(m), _one(m), 30), sql(f"SELECT {_D} AS as_of, property_key, stay_date, count(*) AS nights_on_books, CAST(sum(night_paise) AS BIGINT) AS revenue_paise, date_diff('day', {_D}, stay_date) AS days_out FROM booking_night WHERE entered_on <= {_D} AND stay_date > {_D} AND stay_date <= {_D} + 30 AND (left_on IS NULL OR left_on > {_D}) GROUP BY ALL", "booking_night")),
@@ -93,10 +91,6 @@ QUERIES = {
     "m17_nights_on_books": (lambda m: revenue.book(demand(m), _many(m), 400).groupBy("as_of").agg(F.sum("nights_on_books").alias("nights_on_books")), sql("SELECT as_of, count(*) AS nights_on_books FROM booking_night, asofs WHERE entered_on <= as_of AND stay_date > as_of AND (left_on IS NULL OR left_on > as_of) GROUP BY 1", "booking_night", asofs=_ASOFS)),
     "m19_booking_pace": (lambda m: pace(m, _many(m)).groupBy("as_of", "property_key").agg(F.sum("nights_on_books").alias("nights_on_books"), F.sum((F.col("median_nights") * 2).cast("long")).alias("twice_expected")), _sql("SELECT as_of, property_key, CAST(sum(nights_on_books) AS BIGINT) AS nights_on_books, CAST(sum(CAST(median_nights * 2 AS BIGINT)) AS BIGINT) AS twice_expected FROM pace GROUP BY ALL", True)),
     "p1_reconstruct_many": (_calls, _sql("SELECT * FROM calls", True)),
-    "p2_fingerprint": (
-        lambda m: revenue.fingerprint(_calls(m).select("as_of", "property_key", "stay_date", "days_out", "nights_on_books", "support", "revenue_paise", "status", "confidence", "final_nights", "finished_below", *[(F.col(c) * 4).cast("long").alias(c) for c in _QUARTERS])),
-        _sql(f"SELECT count(*) AS n, CAST(CAST(sum(CAST('0x' || substr(md5(concat_ws('|', {', '.join(_FIELDS)})), 1, 15) AS BIGINT)) AS HUGEINT) AS VARCHAR) AS fingerprint FROM calls", True),
-    ),
     "p6_pooled_replay": (
         lambda m: revenue.pooled_replay(_calls(m)),
         _sql(f"SELECT {_BAND} AS band, count(*) AS calls, count(*) FILTER (status = 'behind') AS behind, count(*) FILTER (finished_below) AS below, round(avg(abs(expected_final - final_nights)), 6) AS mae, round(avg(expected_final - final_nights), 6) AS bias, round(avg(abs(nights_on_books - final_nights)), 6) AS naive_mae FROM calls GROUP BY 1", True),
