@@ -240,7 +240,8 @@ def _answered(asked: DataFrame, segments: int) -> DataFrame:
         if held:
             yield from rows(now, held)
 
-    dealt = asked.repartition(min(segments, MOST_TASKS), "segment").sortWithinPartitions("segment")
+    tasks = min(segments, MOST_TASKS)
+    dealt = asked.repartitionById(tasks, F.pmod("segment", F.lit(tasks)).cast("int")).sortWithinPartitions("segment")
     return dealt.mapInArrow(run, "segment long, block long, counts binary, word_levels binary, pair_levels binary")
 
 
