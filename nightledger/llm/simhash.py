@@ -21,7 +21,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import FEW, SEED, U64, join_labels, raw_texts, saved, without
@@ -260,10 +260,11 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, m
     part = Fraction(similarity).limit_denominator(1000)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = saved(_prefixes(docs, size, part, docs.sparkSession.sparkContext.broadcast(_frequent(docs, size))))
-    everything = prints.count()
+    everything, rows = prints.agg(F.count("*"), F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()
     classes = prints.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")).where("rep is not null")
-    keyed = classes.select("rep", "size", F.posexplode("prefix").alias("at", "key")).withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    keyed = saved(keyed.where("n > 1"))
+    keyed = classes.select("rep", "size", F.posexplode("prefix").alias("at", "key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("of_key", F.col("n"))
+    keyed = saved(join_labels(keyed, shared, "key", rows).withColumnRenamed("of_key", "n"))
     small, large = keyed.where(F.col("n") <= most), keyed.where(F.col("n") > most)
 
     def sides(x, y):
@@ -277,15 +278,18 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, m
     ends = [F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")]
     left, right = sides(small, small)
     pairs = left.join(right, "key").where((F.col("rep_a") < F.col("rep_b")) & may_be()).select(*ends)
-    chosen = large.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(hubs)).alias("of")).agg(F.min(F.struct("rep", "size", "at")).alias("hub")).select("key", "hub.*")
-    left, right = sides(chosen, large)
-    starred = left.join(right, "key").where((F.col("rep_a") != F.col("rep_b")) & may_be()).select(*ends)
+    crowd = large.count()
+    hub = large.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(hubs)).alias("of")).agg(F.min(F.struct("rep", "size", "at")).alias("hub"), F.count("*").alias("n"))
+    chosen = hub.groupBy("key").agg(F.collect_list("hub").alias("hubs"), F.sum("n").alias("n"))  # at most ``hubs`` of them
+    starred = join_labels(large.select("key", F.col("rep").alias("rep_b"), F.col("size").alias("size_b"), F.col("at").alias("at_b")), chosen, "key", crowd)
+    starred = starred.select("*", F.explode("hubs").alias("h")).select(F.col("h.rep").alias("rep_a"), F.col("h.size").alias("size_a"), F.col("h.at").alias("at_a"), "rep_b", "size_b", "at_b")
+    starred = starred.where((F.col("rep_a") != F.col("rep_b")) & may_be()).select(*ends)
     found = saved(components(_verified(saved(_likely(pairs.unionByName(starred).distinct(), classes, part)), docs, size, part)))
 
     # what is left of the crowded keys: pairs across components, the larger keys dealt over several tasks
     held = large.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    by_key = Window.partitionBy("key")
-    held = saved(held.withColumn("lo", F.min("component").over(by_key)).withColumn("hi", F.max("component").over(by_key)).where("lo < hi").drop("lo", "hi"))
+    apart = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n", "lo")
+    held = saved(join_labels(held, apart, "key", crowd).drop("lo"))
     salts = F.ceil(F.col("n") / 512).cast("int")
     left, right = sides(held.withColumn("salt", F.pmod(F.hash("rep"), salts)), held.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))))
     across = left.join(right, ["key", "salt"]).where((F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & may_be()).select(*ends).distinct()
