@@ -12,7 +12,8 @@ from ..functions.dates import iso_dow
 Z, LOOKBACK, LEAST = 3.5, 8, 6
 
 
-def _median(a):
+def median_of(a):
+    """The median of a short array."""
     n, s = F.size(a), F.sort_array(a)
     mid = F.floor(n / 2).cast("int")
     return F.when(n % 2 == 1, F.get(s, mid)).otherwise((F.get(s, mid - 1) + F.get(s, mid)) / 2)
@@ -23,8 +24,8 @@ def with_history(df: DataFrame, metric: str, keys: tuple[str, ...], lookback: in
     w = Window.partitionBy(*keys, iso_dow(F.col("stay_date"))).orderBy("stay_date").rowsBetween(-lookback, -1)
     d = df.where(F.col(metric).isNotNull()).select(*keys, "stay_date", F.col(metric).cast("double").alias("actual"))
     d = d.withColumn("past", F.collect_list("actual").over(w)).where(F.size("past") >= least)
-    d = d.withColumn("baseline", _median(F.col("past")))
-    return d.withColumn("scale", 1.4826 * _median(F.transform("past", lambda x: F.abs(x - F.col("baseline"))))).withColumn("support", F.size("past")).drop("past")
+    d = d.withColumn("baseline", median_of(F.col("past")))
+    return d.withColumn("scale", 1.4826 * median_of(F.transform("past", lambda x: F.abs(x - F.col("baseline"))))).withColumn("support", F.size("past")).drop("past")
 
 
 def detect(df: DataFrame, metric: str, keys: tuple[str, ...] = (), gate: float = 0.0, z: float = Z, gate_share: float = 0.0) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import iso_dow
+from .anomaly import median_of
 from .grain import books_by_horizon
 
 MODELS = ("naive", "seasonal_naive", "moving_average", "dow_moving_average", "pickup", "seasonal_holiday")
@@ -50,13 +51,14 @@ def forecasts(actuals: DataFrame, otb: DataFrame, origins: DataFrame, max_horizo
     same_day = a.select(*k, F.col("stay_date").alias("latest"), F.col("y").alias("seasonal_naive"), _mean("y", by_dow.rowsBetween(-3, 0)).alias("dow_moving_average"))
     gap = otb.join(a, [*k, "stay_date"]).withColumn("remaining", F.col("y") - F.col("on_books"))
     last8 = Window.partitionBy(*k, iso_dow(F.col("stay_date")), "days_out").orderBy("stay_date").rowsBetween(-7, 0)
-    gap = gap.select(*k, F.col("stay_date").alias("latest"), F.col("days_out").alias("horizon"), F.percentile("remaining", 0.5).over(last8).alias("remaining"))
+    gap = gap.select(*k, F.col("stay_date").alias("latest"), F.col("days_out").alias("horizon"), F.collect_list("remaining").over(last8).alias("past"))  # at most eight
     steps = at_origin.join(F.broadcast(origins), "origin").where(F.col("history") >= least_history)
     steps = steps.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(max_horizon)))).withColumn("target", F.expr("date_add(origin, horizon)"))
     # the latest date up to the origin that falls on the target's weekday
     steps = steps.withColumn("latest", F.expr("date_sub(origin, (7 - horizon % 7) % 7)"))
     books = otb.select(*k, F.col("stay_date").alias("target"), F.col("days_out").alias("horizon"), F.col("on_books").cast("double").alias("on_books"))
     f = steps.join(same_day, [*k, "latest"], "left").join(gap, [*k, "latest", "horizon"], "left").join(books, [*k, "target", "horizon"], "left")
+    f = f.withColumn("remaining", F.when(F.size("past") > 0, median_of(F.col("past"))))  # only where a step asks for it
     f = f.withColumn("pickup", F.when(F.col("on_books").isNull(), F.col("dow_moving_average")).otherwise(F.col("on_books") + F.coalesce("remaining", F.lit(0.0))))
     if multipliers is not None and context is not None:
         near = F.broadcast(context.where("is_holiday_adjacent").select(F.col("full_date").alias("target"), F.col("nearest_holiday").alias("holiday"), F.col("days_to_holiday").alias("offset")))

@@ -220,3 +220,16 @@ def test_feed_and_columns(spark, tmp_path):
 
 def test_metric_registry_names_what_it_measures():
     assert all(m.grain and m.date_basis and m.unit for m in metrics.METRICS.values())
+
+
+def test_decision_inputs_do_not_see_the_future(spark, model):
+    """The fingerprint is the same when all that came after the decision date is taken away."""
+    from nightledger.plans import layer
+    from nightledger.plans.revenue import calendar
+
+    m, day = model, D(1997, 8, 10)
+    nights, units, kpi = layer.demand(m), layer.unit_nights(m), views.daily_kpi_calendar(layer.daily(m), layer.context(m))
+    past = nights.where(F.col("entered_on") <= day).withColumn("left_on", F.when(F.col("left_on") <= day, F.col("left_on")))
+    given = [(nights, units, kpi), (past, units.where(F.col("stay_date") <= day), kpi.where(F.col("stay_date") < day))]
+    seen = [revenue.fingerprint(revenue.reconstruct(n, u, calendar(m), k, layer.context(m), revenue.as_of_table(spark, day))).first() for n, u, k in given]
+    assert seen[0] == seen[1] and seen[0]["n"] > 50
