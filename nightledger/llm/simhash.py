@@ -21,7 +21,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import FEW, SEED, U64, join_labels, raw_texts, saved, without
@@ -260,11 +260,11 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, m
     part = Fraction(similarity).limit_denominator(1000)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = saved(_prefixes(docs, size, part, docs.sparkSession.sparkContext.broadcast(_frequent(docs, size))))
-    everything, rows = prints.agg(F.count("*"), F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()
+    everything = prints.count()
     classes = prints.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")).where("rep is not null")
-    keyed = classes.select("rep", "size", F.posexplode("prefix").alias("at", "key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("of_key", F.col("n"))
-    keyed = saved(join_labels(keyed, shared, "key", rows).withColumnRenamed("of_key", "n"))
+    # one exchange of the keys; a window holds a key's rows spillably, and the crowded keys are joined by hot ones below
+    keyed = classes.select("rep", "size", F.posexplode("prefix").alias("at", "key")).withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    keyed = saved(keyed.where("n > 1"))
     small, large = keyed.where(F.col("n") <= most), keyed.where(F.col("n") > most)
 
     def sides(x, y):
