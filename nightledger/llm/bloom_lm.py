@@ -151,6 +151,16 @@ def from_low_bytes(raw: bytes) -> np.ndarray:
     return out.view(U64).reshape(-1)
 
 
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts in one byte each, or in eight where one does not fit."""
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else "<i8").tobytes()
+
+
+def wide(raw: bytes, n: int) -> np.ndarray:
+    """The ``n`` counts that narrow() wrote."""
+    return np.frombuffer(raw, np.uint8 if len(raw) == n else "<i8").astype(np.int64)
+
+
 def _binary(names: str, columns: list[list], first: int):
     """A batch whose first ``first`` columns are longs and all others binary."""
     import pyarrow as pa
@@ -188,7 +198,7 @@ def _asked(blocks: DataFrame, segments: int) -> DataFrame:
                 cols = [[] for _ in range(6)]
                 for s in some[lo : lo + 4096].tolist():
                     w, p = slice(a[s], a[s + 1]), slice(b[s], b[s + 1])
-                    row = s, now, words.keys[w].tobytes(), words.counts[w].astype("<u4").tobytes(), low_bytes(pairs.keys[p]), pairs.counts[p].astype("<u4").tobytes()
+                    row = s, now, words.keys[w].tobytes(), narrow(words.counts[w]), low_bytes(pairs.keys[p]), narrow(pairs.counts[p])
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
                 yield _binary(names, cols, 2)
@@ -216,9 +226,12 @@ def _answered(asked: DataFrame, segments: int) -> DataFrame:
             blocks, words, word_counts, pairs, pair_counts = zip(*held, strict=True)
             filled = Segment()
             answers = []
-            for keys, raw in ((np.frombuffer(b"".join(words), U64), word_counts), (from_low_bytes(b"".join(pairs)), pair_counts)):
+            for keys, counted in (
+                (np.frombuffer(b"".join(words), U64), [wide(c, len(x) // 8) for c, x in zip(word_counts, words, strict=True)]),
+                (from_low_bytes(b"".join(pairs)), [wide(c, len(x) // 5) for c, x in zip(pair_counts, pairs, strict=True)]),
+            ):
                 keys, at = np.unique(keys, return_inverse=True)
-                total = np.bincount(at, np.frombuffer(b"".join(raw), "<u4"), len(keys)).astype(np.int64)
+                total = np.bincount(at, np.concatenate(counted), len(keys)).astype(np.int64)
                 filled.add(keys[total > 0], total[total > 0])
                 answers.append((keys, at, total))
             (w, w_at, w_total), (p, p_at, _) = answers
@@ -227,7 +240,7 @@ def _answered(asked: DataFrame, segments: int) -> DataFrame:
             for lo in range(0, len(blocks), 4096):
                 here = range(lo, min(lo + 4096, len(blocks)))
                 word, pair = [slice(w_cut[i], w_cut[i + 1]) for i in here], [slice(p_cut[i], p_cut[i + 1]) for i in here]
-                yield _binary(names, [[segment] * len(here), list(blocks[lo : lo + 4096]), [counts[s].astype("<i8").tobytes() for s in word], [w_level[s].tobytes() for s in word], [p_level[s].tobytes() for s in pair]], 2)
+                yield _binary(names, [[segment] * len(here), list(blocks[lo : lo + 4096]), [narrow(counts[s]) for s in word], [w_level[s].tobytes() for s in word], [p_level[s].tobytes() for s in pair]], 2)
 
         now, held = None, []
         for batch in batches:
@@ -266,7 +279,8 @@ def score_texts(docs: DataFrame, training, block_bytes: int = 4 << 20, bits_per_
 
         answers = answers.sort_by("segment")
         joined = lambda c, kind: np.frombuffer(b"".join(answers.column(c).to_pylist()), kind)
-        counts, word_level, pair_level = joined("counts", "<i8"), joined("word_levels", np.uint8), joined("pair_levels", np.uint8)
+        word_level, pair_level = joined("word_levels", np.uint8), joined("pair_levels", np.uint8)
+        counts = np.concatenate([wide(c, len(x)) for c, x in zip(answers.column("counts").to_pylist(), answers.column("word_levels").to_pylist(), strict=True)])
         lists = [tokens_of(t) for t in raw_texts(texts)]
         cuts = np.cumsum([0, *map(len, lists)])
         words, pairs = unigram_key(np.concatenate(lists)), np.concatenate([bigrams(t) for t in lists])
