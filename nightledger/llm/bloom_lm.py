@@ -84,8 +84,8 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
 
 
 def probe_pair(keys: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and stride of the bit positions of (key, level) within a segment, from the key's lower 40 bits."""
-    x = mixed((keys & U64((1 << 40) - 1)) + np.asarray(level).astype(U64) * U64(0x9E3779B97F4A7C15))
+    """Start and stride of the bit positions of (key, level) within a segment, from the key's lower 32 bits."""
+    x = mixed((keys & U64((1 << 32) - 1)) + np.asarray(level).astype(U64) * U64(0x9E3779B97F4A7C15))
     return x & U64(SEGMENT_BITS - 1), (x >> U64(23)) | U64(1)
 
 
@@ -141,14 +141,12 @@ class Keys:
 
 
 def low_bytes(keys: np.ndarray) -> bytes:
-    """The lower 40 bits of each key."""
-    return keys.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    """The lower 32 bits of each key; with its segment they tell n-grams apart but for one in ten thousand."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, :4].tobytes()
 
 
 def from_low_bytes(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view(U64).reshape(-1)
+    return np.frombuffer(raw, "<u4").astype(U64)
 
 
 def narrow(counts: np.ndarray) -> bytes:
@@ -228,7 +226,7 @@ def _answered(asked: DataFrame, segments: int) -> DataFrame:
             answers = []
             for keys, counted in (
                 (np.frombuffer(b"".join(words), U64), [wide(c, len(x) // 8) for c, x in zip(word_counts, words, strict=True)]),
-                (from_low_bytes(b"".join(pairs)), [wide(c, len(x) // 5) for c, x in zip(pair_counts, pairs, strict=True)]),
+                (from_low_bytes(b"".join(pairs)), [wide(c, len(x) // 4) for c, x in zip(pair_counts, pairs, strict=True)]),
             ):
                 keys, at = np.unique(keys, return_inverse=True)
                 total = np.bincount(at, np.concatenate(counted), len(keys)).astype(np.int64)
@@ -236,7 +234,7 @@ def _answered(asked: DataFrame, segments: int) -> DataFrame:
                 answers.append((keys, at, total))
             (w, w_at, w_total), (p, p_at, _) = answers
             counts, w_level, p_level = w_total[w_at], filled.read(w)[w_at], filled.read(p)[p_at]
-            w_cut, p_cut = np.cumsum([0, *(len(x) // 8 for x in words)]), np.cumsum([0, *(len(x) // 5 for x in pairs)])
+            w_cut, p_cut = np.cumsum([0, *(len(x) // 8 for x in words)]), np.cumsum([0, *(len(x) // 4 for x in pairs)])
             for lo in range(0, len(blocks), 4096):
                 here = range(lo, min(lo + 4096, len(blocks)))
                 word, pair = [slice(w_cut[i], w_cut[i + 1]) for i in here], [slice(p_cut[i], p_cut[i + 1]) for i in here]
