@@ -91,8 +91,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations, read_back
+    from .vocabularies import path
+
+    # one more conversation, whose texts hold what other templates use as control strings
+    said = r"\### Assistant: </turn> ok"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return read_back(format_conversations(turns, path("byte_bpe_50k.tiktoken")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_html_text, op3_lm_scoring, op4_simhash, op5_secrets, op6_substring_dedup, op7_order_minhash, op8_language_id, op9_sharding, op10_decontamination)}
+    return {f.__name__: f for f in (op1_packing, op2_html_text, op3_lm_scoring, op4_simhash, op5_secrets, op6_substring_dedup, op7_order_minhash, op8_language_id, op9_sharding, op10_decontamination, op13_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
