@@ -91,6 +91,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align_documents
+    from .vocabularies import path
+
+    found = align_documents(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_conversations, read_back
     from .vocabularies import path
@@ -103,7 +112,7 @@ def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_html_text, op3_lm_scoring, op4_simhash, op5_secrets, op6_substring_dedup, op7_order_minhash, op8_language_id, op9_sharding, op10_decontamination, op13_chat_format)}
+    return {f.__name__: f for f in (op1_packing, op2_html_text, op3_lm_scoring, op4_simhash, op5_secrets, op6_substring_dedup, op7_order_minhash, op8_language_id, op9_sharding, op10_decontamination, op11_token_alignment, op13_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
