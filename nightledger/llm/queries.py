@@ -100,6 +100,17 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened
+
+    found = whitened(table(spark, sf_dir, "embeddings"), components=8)
+    if found is None:
+        return spark.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
+    each = F.explode(F.arrays_zip(F.sequence(F.lit(1), F.size("whitened")).alias("component"), "whitened", "explained")).alias("c")
+    # beyond a long's range the exact decimal has no long
+    return found.select("vec_id", "n", F.col("deviation").try_cast("long").alias("deviation"), "identity_error", each).select("vec_id", F.col("c.component"), "n", "deviation", F.col("c.whitened"), F.col("c.explained"), "identity_error")
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_conversations, read_back
     from .vocabularies import path
@@ -112,7 +123,7 @@ def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_html_text, op3_lm_scoring, op4_simhash, op5_secrets, op6_substring_dedup, op7_order_minhash, op8_language_id, op9_sharding, op10_decontamination, op11_token_alignment, op13_chat_format)}
+    return {f.__name__: f for f in (op1_packing, op2_html_text, op3_lm_scoring, op4_simhash, op5_secrets, op6_substring_dedup, op7_order_minhash, op8_language_id, op9_sharding, op10_decontamination, op11_token_alignment, op12_whitening, op13_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
