@@ -82,37 +82,45 @@ class Aligner:
     ``begins[i]`` to ``begins[i + 1]`` are piece i's links.
     """
 
-    def __init__(self, ranks: str, pieces: str, keep: int = 48 << 20):
+    def __init__(self, ranks: str, pieces: str, keep: int = 160 << 20):
         self.a, self.b, self.keep = Ranks(ranks), Pieces(pieces), keep
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.held = 0
+        self.held, self._waiting = 0, []
         self.loose = np.zeros(0, bool)
         self.totals, self.sound, self.pairs, self.begins = np.zeros((0, 4), np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(1, np.int64)
         self.groups: list[str] = []
 
-    def numbers(self, text: str) -> np.ndarray:
-        """The numbers of a text's pieces, after learning the new ones.
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
+        """The numbers of each text's pieces, after learning what is new in all of them.
 
         A piece is known by its text without the leading space; one that begins
         with a line break or with more white space is known by all of it.
         """
-        words = text.replace("\n", " \n").split(" ")
-        if "" not in words:
-            found = self._lookup(words)
-            if not self.loose[found].any():
-                return found
-        # white space meets white space, or ends the text
-        return self._lookup([p[1:] if p[0] == " " and p[1:2] not in ("", " ", "\n") else p for p in _CUT.split(f" {text}")])
-
-    def _lookup(self, words: list[str]) -> np.ndarray:
-        try:
-            return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self._learn([w for w in dict.fromkeys(words) if w not in self.number])
-            return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        words = [text.replace("\n", " \n").split(" ") for text in texts]
+        found = self._lookup(words, [i for i, w in enumerate(words) if "" not in w])
+        # where white space meets white space, or ends the text
+        rest = [i for i, f in enumerate(found) if f is None or self.loose[f].any()]
+        for i in rest:
+            words[i] = [p[1:] if p[0] == " " and p[1:2] not in ("", " ", "\n") else p for p in _CUT.split(f" {texts[i]}")]
+        again = self._lookup(words, rest)
+        return [f if g is None else g for f, g in zip(found, again, strict=True)]
+
+    def _lookup(self, words: list[list[str]], which: list[int]) -> list[np.ndarray | None]:
+        out: list = [None] * len(words)
+        new: dict[str, None] = {}
+        for i in which:
+            out[i] = list(map(self.number.get, words[i]))
+            if None in out[i]:
+                new.update((w, None) for w, n in zip(words[i], out[i], strict=True) if n is None)
+                out[i] = None
+        if new:
+            self._learn(list(new))
+        for i in which:
+            out[i] = np.fromiter(map(self.number.__getitem__, words[i]) if out[i] is None else out[i], np.int64, len(words[i]))
+        return out
 
     def full(self) -> bool:
         return self.held > self.keep
@@ -124,6 +132,10 @@ class Aligner:
         rest = [i for i, t in enumerate(texts) if t[-1].isspace()]
         for some in [plain[i : i + 4000] for i in range(0, len(plain), 4000)] + [[i] for i in rest]:
             self._align([words[i] for i in some], [texts[i] for i in some])
+        loose, totals, sound, pairs, begins = zip(*self._waiting, strict=True)
+        self.begins = np.concatenate([self.begins, np.cumsum(np.concatenate(begins)) + len(self.pairs)])
+        self.loose, self.totals = np.concatenate([self.loose, *loose]), np.concatenate([self.totals, *totals])
+        self.sound, self.pairs, self._waiting = np.concatenate([self.sound, *sound]), np.concatenate([self.pairs, *pairs]), []
 
     def _align(self, words: list[str], texts: list[str]) -> None:
         """Adds the pieces, laid end to end; where the bytes do not come back, one by one."""
@@ -135,7 +147,7 @@ class Aligner:
                 for w, t in zip(words, texts, strict=True):
                     self._align([w], [t])
             else:
-                self._add(words, np.zeros((1, 4), np.int64), np.zeros(1, bool), np.zeros(0, np.int64), np.zeros(1, np.int64), [""], len(whole))
+                self._add(words, np.zeros((1, 4), np.int64), np.zeros(1, bool), np.zeros(0, np.int64), [""], len(whole))
             return
         ends_a, ends_b, ends = np.cumsum(self.a.lengths[ids_a]), np.cumsum(self.b.lengths[ids_b]), np.cumsum([len(r) for r in raw])
         label = terminals(ends_a, ends_b)
@@ -147,15 +159,13 @@ class Aligner:
         at_l = np.searchsorted(which, at_a)
         totals = np.stack([np.diff(x, prepend=0) for x in (at_a, at_b, at_g, at_l)], axis=1)
         bounds = [0, *at_g.tolist()]
-        self._add(words, totals, np.ones(len(words), bool), pairs, at_l, [";".join(groups[i:j]) for i, j in zip(bounds, bounds[1:], strict=False)], len(whole))
+        self._add(words, totals, np.ones(len(words), bool), pairs, [";".join(groups[i:j]) for i, j in zip(bounds, bounds[1:], strict=False)], len(whole))
 
-    def _add(self, words, totals, sound, pairs, ends, groups, size) -> None:
+    def _add(self, words, totals, sound, pairs, groups, size) -> None:
         first = len(self.groups)
         self.number.update(zip(words, range(first, first + len(words)), strict=True))
         self.groups += groups
-        self.loose = np.concatenate([self.loose, [w[-1].isspace() for w in words]])
-        self.begins = np.concatenate([self.begins, ends + len(self.pairs)])
-        self.totals, self.sound, self.pairs = np.concatenate([self.totals, totals]), np.concatenate([self.sound, sound]), np.concatenate([self.pairs, pairs])
+        self._waiting.append((np.array([w[-1].isspace() for w in words]), totals, sound, pairs, totals[:, 3]))
         self.held += 250 * len(words) + 8 * size + 8 * len(pairs)
 
     def pairs_of(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,13 +215,11 @@ def pair_counts(docs: DataFrame, ranks: str, pieces: str) -> DataFrame:
                 yield from counted()
                 aligner.clear()
                 seen = np.zeros(0, np.int64)
-            for text in texts:
-                if text:
-                    found = aligner.numbers(text)
-                    if aligner.sound[found].all():
-                        if len(seen) < len(aligner.groups):
-                            seen = np.concatenate([seen, np.zeros(max(1 << 16, len(aligner.groups) - len(seen)), np.int64)])
-                        np.add.at(seen, found, 1)
+            found = [f for f in aligner.numbers([t for t in texts if t]) if aligner.sound[f].all()]
+            if found:
+                if len(seen) < len(aligner.groups):
+                    seen = np.concatenate([seen, np.zeros(max(1 << 18, len(aligner.groups) - len(seen)), np.int64)])
+                np.add.at(seen, np.concatenate(found), 1)
         yield from counted()
 
     return docs.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
@@ -242,9 +250,9 @@ def _aligned(docs: DataFrame, ranks: str, pieces: str, counts=None) -> DataFrame
             if aligner.full():
                 aligner.clear()
                 scores, paired = np.zeros((0, 2), np.int64), 0
-            rows = []
+            rows, all_found = [], iter(aligner.numbers([t for t in texts if t]))
             for doc_id, text in zip(ids, texts, strict=True):
-                found = aligner.numbers(text) if text else None
+                found = next(all_found) if text else None
                 if found is None or not aligner.sound[found].all():
                     rows.append((doc_id, 0, 0, 0, 0, 0, 0, "", [], []))
                     continue

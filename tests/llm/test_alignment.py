@@ -90,7 +90,7 @@ def test_cache_of_pieces_is_bounded(corpus, monkeypatch):
     for text in [x for x in t.values() if x][:300]:
         if small.full():
             small.clear()
-        found = small.numbers(text)
+        found = small.numbers([text])[0]
         a, _, g, links = plain(text)
         if small.sound[found].all():
             assert small.totals[found].sum(axis=0).tolist() == [len(a), len(plain(text)[1]), len(g), len(links)]

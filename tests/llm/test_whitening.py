@@ -47,7 +47,7 @@ def check(got, vectors, components=8):
     assert len(got) == n
 
 
-@pytest.mark.parametrize(("n", "dim", "parts"), [(300, 20, 3), (500, 64, 90), (50, 3, 2), (40, 60, 5), (200, 1, 2)])  # more tasks than slots; fewer rows than dimensions
+@pytest.mark.parametrize(("n", "dim", "parts"), [(300, 20, 2), (90, 5, 70), (40, 60, 2), (200, 1, 1)])  # more tasks than slots; fewer rows than dimensions
 def test_against_dense(spark, n, dim, parts):
     rng = np.random.default_rng(n)
     v = (rng.standard_normal((n, dim)) @ np.diag(np.linspace(2, 0.5, dim))).astype(np.float32).tolist()
