@@ -6,22 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import bp, int_div
+from .logit import Logit, fit
 
-NUMERIC = ("lead_log", "lead_curve", "nights", "adults", "price", "has_discount", "weekend")
+NUMERIC = ("lead", "lead_log", "lead_curve", "nights", "adults", "price", "has_discount", "weekend")
 
 
-def risk_features(bookings: DataFrame) -> DataFrame:
-    """Booking-time features and the label; one-hot columns drop the first level of each category."""
-    lead = F.greatest(F.col("lead_days"), F.lit(0))
+def risk_features(bookings: DataFrame, target: str = "cancelled") -> DataFrame:
+    """Booking-time features and the label (status is ``target``); one-hot columns drop the first level of each category."""
+    lead = F.col("lead_days")
     b = bookings.select(
-        "booking_key", "booking_date", "status", F.log1p(lead.cast("double")).alias("lead_log"), F.tanh((lead - 10) / 14.0).alias("lead_curve"), F.col("nights").cast("double").alias("nights"), F.col("adults").cast("double").alias("adults"),
+        "booking_key", "booking_date", "status", lead.cast("double").alias("lead"), F.log1p(F.greatest(lead, F.lit(0)).cast("double")).alias("lead_log"), F.tanh((lead - 10) / 14.0).alias("lead_curve"), F.col("nights").cast("double").alias("nights"), F.col("adults").cast("double").alias("adults"),
         (int_div(F.col("net_paise"), F.greatest("nights", F.lit(1))) / 100000.0).alias("price"), (F.col("discount_paise") > 0).cast("double").alias("has_discount"), (F.weekday("check_in_date") >= 5).cast("double").alias("weekend"),
-        "channel_code", "property_key", "stay_type", (F.col("status") == "cancelled").cast("double").alias("label"),
+        "channel_code", "property_key", "stay_type", (F.col("status") == target).cast("double").alias("label"),
     )
-    hot = []
-    for c in ("channel_code", "property_key", "stay_type"):
-        levels = sorted(r[0] for r in bookings.select(c).distinct().collect())  # a handful of levels
-        hot += [(F.col(c) == v).cast("double").alias(f"is_{c}_{i + 1}") for i, v in enumerate(levels[1:])]
+    categories = ("channel_code", "property_key", "stay_type")
+    levels = bookings.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in categories]).first()  # a handful each
+    hot = [(F.col(c) == v).cast("double").alias(f"is_{c}_{i + 1}") for c in categories for i, v in enumerate(levels[c][1:])]
     return b.select("booking_key", "booking_date", "status", "label", *NUMERIC, *hot)
 
 
@@ -34,18 +34,15 @@ def temporal_split(df: DataFrame, share: float = 0.75, date: str = "booking_date
     return df.crossJoin(F.broadcast(at)).withColumn("is_train", F.col(date) < F.col("split_date"))
 
 
-def fit_cancellation(features: DataFrame, lam: float = 1.0) -> DataFrame:
-    """``features`` with score: an L2 logistic regression fitted on the training rows (standardised on them)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
+def fitted(features: DataFrame, lam: float = 1.0) -> Logit:
+    """An L2 logistic regression on the training rows, standardised on them."""
     names = [c for c in features.columns if c in NUMERIC or c.startswith("is_") and c != "is_train"]
-    rows = VectorAssembler(inputCols=names, outputCol="features").transform(features)
-    train = rows.where("is_train")
-    n = train.count()
-    model = LogisticRegression(regParam=lam / max(1, n), elasticNetParam=0.0, standardization=True, maxIter=100).fit(train)
-    return model.transform(rows).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    return fit(features.where("is_train"), names, "label", lam)
+
+
+def fit_cancellation(features: DataFrame, lam: float = 1.0) -> DataFrame:
+    """``features`` with the score of the model that is fitted on their training rows."""
+    return features.withColumn("score", fitted(features, lam).score())
 
 
 def with_below(g: DataFrame, by: str, n: str, range_rows: int = 500_000) -> DataFrame:

@@ -72,10 +72,6 @@ def buried(m):
 _BURIED = "SELECT a.review_id, a.category, severity, r.property_key, review_date, half_stars FROM aspect a JOIN review r ON r.review_id = a.review_id WHERE polarity = 'negative' AND half_stars >= 8"
 
 
-def scored_risk(m):
-    return risk.fit_cancellation(risk.temporal_split(risk.risk_features(m.bookings())))
-
-
 def books(m):
     live = demand(m).where("status <> 'cancelled'").join(F.broadcast(risk.wash_rate(m.bookings()).select("channel_code", "wash_bp")), "channel_code")
     return live.select("stay_date", "property_key", (1 - F.col("wash_bp") / 10000).alias("survival")).join(daily(m).where("available > 0").select("stay_date", "property_key", F.col("available").alias("capacity")), ["stay_date", "property_key"])
@@ -191,15 +187,11 @@ def holiday_file(m):
 
 
 QUERIES = {
-    "x1_features": (lambda m: risk.risk_features(m.bookings()).select("booking_key", "label", "nights", "adults", "price", "has_discount", "weekend"), sql("SELECT booking_key, CASE WHEN status = 'cancelled' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label, nights::DOUBLE AS nights, adults::DOUBLE AS adults, (net_paise // greatest(nights, 1)) / 100000.0::DOUBLE AS price, (discount_paise > 0)::INT::DOUBLE AS has_discount, (isodow(check_in_date) >= 6)::INT::DOUBLE AS weekend FROM booking", "booking")),
     "x2_temporal_split": (
         lambda m: risk.temporal_split(m.bookings()).groupBy("split_date", "is_train").agg(F.count("*").alias("bookings")),
         sql("SELECT split_date, booking_date < split_date AS is_train, count(*) AS bookings FROM booking, (SELECT booking_date AS split_date FROM (SELECT booking_date, row_number() OVER (ORDER BY booking_date, booking_key) AS r, count(*) OVER () AS n FROM booking) WHERE r = CAST(floor(n * 0.75) AS BIGINT) + 1) GROUP BY ALL", "booking"),
     ),
-    "x3_cancellation_fit": (lambda m: scored_risk(m).select("booking_key", "is_train", F.round("score", 4).alias("score")), None),
     "x4_auc": (lambda m: risk.lead_rule_auc(m.bookings()), _auc_sql("status = 'cancelled'", "true")),
-    "x5_calibration": (lambda m: risk.calibration(scored_risk(m).where("not is_train")), None),
-    "x6_evaluation": (lambda m: risk.evaluate_risk(scored_risk(m)), None),
     "x5_calibration_of_lead": (
         lambda m: risk.calibration(by_lead(m).where("not is_train")),
         sql("SELECT bin, n, predicted, observed, round(abs(predicted - observed), 4) AS error FROM (SELECT CAST(coalesce(least(floor((score - lo) / nullif((hi - lo) / 10, 0)), 9), 0) AS INT) AS bin, count(*) AS n, round(avg(score), 4) AS predicted, round(avg(label), 4) AS observed FROM (SELECT *, min(score) OVER () AS lo, max(score) OVER () AS hi FROM lead WHERE NOT is_train) GROUP BY 1)", "booking", **_LEAD),
@@ -213,7 +205,7 @@ QUERIES = {
         lambda m: risk.temporal_drift(m.bookings()),
         sql(f"SELECT *, last_bp - first_bp AS change_bp FROM (SELECT arg_min(c, q) AS first_bp, arg_max(c, q) AS last_bp FROM (SELECT date_trunc('quarter', booking_date) AS q, {bp('count(*) FILTER (gone)', 'count(*)')} AS c FROM (SELECT *, status = 'cancelled' AS gone FROM booking) GROUP BY 1 HAVING count(*) >= 50))", "booking"),
     ),
-    "x8_noshow_check": (lambda m: risk.lead_rule_auc(m.bookings(), True), _auc_sql("status = 'no_show'", "status <> 'cancelled'")),
+    "x8_noshow_by_lead": (lambda m: risk.lead_rule_auc(m.bookings(), True), _auc_sql("status = 'no_show'", "status <> 'cancelled'")),
     "x9_spearman": (
         lambda m: risk.spearman(m.bookings(), "lead_days", "net_paise"),
         sql("SELECT round(corr(a, b), 6) AS spearman FROM (SELECT rank() OVER (ORDER BY lead_days) + (count(*) OVER (PARTITION BY lead_days) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY net_paise) + (count(*) OVER (PARTITION BY net_paise) - 1) / 2.0::DOUBLE AS b FROM booking)", "booking"),

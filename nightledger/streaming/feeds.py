@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,3 +36,34 @@ def caught_up(df: DataFrame, out: str, checkpoint: str) -> DataFrame:
     q = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
+def batch_sink(out: str) -> Callable[[DataFrame, int], None]:
+    """A sink for foreachBatch: a folder a batch, which is replaced as a whole, so a batch that runs again leaves its rows once."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+
+    return write
+
+
+def run_batches(df: DataFrame, out: str, checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None) -> tuple[DataFrame, list[dict]]:
+    """Runs a streaming frame over what there is, batch by batch, and returns all rows written to ``out`` so far and the batches' progress.
+
+    A later call with the same checkpoint goes on where the last one ended or broke off.
+    """
+    query = df.writeStream.foreachBatch(sink or batch_sink(out)).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return df.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, batch int").parquet(out).drop("batch"), query.recentProgress
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was) if was else spark.conf.unset(key)
