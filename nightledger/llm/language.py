@@ -9,8 +9,9 @@ family's languages.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter,
 and for all texts where no language could be learned; with one learned language
-every other text is that language; ties go to the first name in order; repeated
-rows are predicted each; an empty table gives no rows. Columns named like the
+every other text is that language; ties go to the first name in order; a pair of
+languages without a fit is a tie; doc_ids may be null or shared; repeated rows are
+predicted each; an empty table gives no rows. Columns named like the
 results are replaced.
 """
 
@@ -83,7 +84,7 @@ class Model:
         def best(level, names):
             if len(names) == 1:
                 return names[0], 1.0
-            share = {a: np.mean([p[level, a, b] if (level, a, b) in p else 1 - p[level, b, a] for b in names if b != a]) for a in names}
+            share = {a: np.mean([p[level, a, b] if (level, a, b) in p else 1 - p.get((level, b, a), 0.5) for b in names if b != a]) for a in names}
             top = max(names, key=lambda a: share[a])
             return top, share[top]
 
@@ -95,8 +96,10 @@ class Model:
 def fit(docs: DataFrame, training, sample: int = 500) -> Model:
     """Fits all pairs on about ``sample`` training rows of each language (all rows of a rarer one).
 
-    The sample are the rows whose doc_id hash is below sample / rows of the
-    language; each classifier is fitted in its own task; the driver gets weights.
+    The sample are the different rows whose hash of doc_id and text is below sample
+    / rows of the language, and the row of the least hash; equal rows count once, so
+    that no id or text makes it larger. Each classifier is fitted in its own task;
+    the driver gets weights.
     """
     train = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -109,7 +112,10 @@ def fit(docs: DataFrame, training, sample: int = 500) -> Model:
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, sample / n).otherwise(share)
-    chosen = train.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1_000_003)) / 1_000_003 < share).select("lang", F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    rows = train.select("lang", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).alias("h"), text.alias("text"))
+    least = rows.groupBy("lang").agg(F.min(F.struct("h", "text")).alias("r")).select("lang", "r.h", "r.text")
+    chosen = rows.where(F.pmod("h", F.lit(1_000_003)) / 1_000_003 < share).unionByName(least).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def expand(batches):
         import pyarrow as pa

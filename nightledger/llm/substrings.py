@@ -61,7 +61,10 @@ class Windows:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id, text and tie, 31 bits of the text's hash, which tell rows of one doc_id apart."""
+    text = F.col("text").cast("string")
+    tie = F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 33).cast("int")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), text.alias("text"), tie.alias("tie"))
 
 
 def _runs(keys: np.ndarray, other: np.ndarray, doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,8 +138,8 @@ def repeated_words(docs: DataFrame, window: int = 50, period: int = 31) -> DataF
     first = prints.groupBy("print").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("print", "lo", "n")
     copies = join_labels(prints, first, "print", docs.count()).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
     is_copy = F.coalesce(F.array_contains("prints", F.md5(F.coalesce("text", F.lit("")).cast("binary"))), F.lit(False))
-    docs = docs.join(copies, "doc_id", "left").select("doc_id", "text", is_copy.alias("is_copy"))
-    new = docs.where("not is_copy").select("doc_id", "text")
+    docs = docs.join(copies, "doc_id", "left").select("doc_id", "text", "tie", is_copy.alias("is_copy"))
+    new = docs.where("not is_copy").select("doc_id", "text", "tie")
     # the aggregates also look at the position (never negative): an exchange is shared only if both uses need the same columns
     anchors = _anchors(new, window, period).repartition("anchor")  # once, for the aggregate and for the join
     open_id = F.when(F.col("known") < 2, F.col("doc_id"))
@@ -147,8 +150,8 @@ def repeated_words(docs: DataFrame, window: int = 50, period: int = 31) -> DataF
         import pyarrow as pa
 
         for batch in batches:
-            cols = [[] for _ in range(4)]
-            for doc_id, text, at in zip(batch.column("doc_id").to_pylist(), raw_texts(batch), batch.column("at").to_pylist(), strict=True):
+            cols = [[] for _ in range(5)]
+            for doc_id, tie, text, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie")), raw_texts(batch), batch.column("at").to_pylist(), strict=True):
                 words = text.split()
                 n = len(words) - window + 1
                 if n <= 0:
@@ -156,27 +159,32 @@ def repeated_words(docs: DataFrame, window: int = 50, period: int = 31) -> DataF
                 # windows that hold the anchor's words at a cover position less than a period behind their start
                 starts = np.flatnonzero(_spread(np.array(at), period - 1, 1, n))
                 hashes = Windows(word_hashes(words))
-                for c, v in zip(cols, (hashes.at(starts, window, 0).view(np.int64), (hashes.at(starts, window, 1) >> U64(32)).astype(np.uint32).view(np.int32), np.full(len(starts), doc_id), starts.astype(np.int32)), strict=True):
+                for c, v in zip(cols, (hashes.at(starts, window, 0).view(np.int64), (hashes.at(starts, window, 1) >> U64(32)).astype(np.uint32).view(np.int32), np.full(len(starts), doc_id), starts.astype(np.int32), np.full(len(starts), tie, np.int64)), strict=True):
                     c.append(v)
             if cols[0]:
-                x, y, doc, start = (np.concatenate(c) for c in cols)
+                x, y, doc, start, tie = (np.concatenate(c) for c in cols)
                 settled = doc > _runs(x, y, doc)[0]  # a smaller document of this batch has the window
                 x = np.where(settled, _own_key(doc, start), x)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x, y, doc, start, settled.astype(np.int8))], names=["x", "y", "doc_id", "start", "settled"])
+                mark = (tie << 1 | settled).astype(np.uint32).view(np.int32)  # the row's tie, and 1 if settled
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x, y, doc, start, mark)], names=["x", "y", "doc_id", "start", "mark"])
 
     whole = new.join(marks, "doc_id")
-    windows = whole.mapInArrow(extend, "x long not null, y int not null, doc_id long not null, start int not null, settled tinyint not null").repartition("x", "y")
-    open_id = F.when(F.col("settled") == 0, F.col("doc_id"))
+    windows = whole.mapInArrow(extend, "x long not null, y int not null, doc_id long not null, start int not null, mark int not null").repartition("x", "y")
+    settled = F.col("mark").bitwiseAND(F.lit(1)) == 1
+    open_id = F.when(~settled, F.col("doc_id"))
     first = windows.groupBy("x", "y").agg(F.min(open_id).alias("lo"), F.max(open_id).alias("hi"), F.max("start").alias("last")).where("lo < hi and last >= 0").select("x", "y", "lo")
-    gone = windows.join(first, ["x", "y"], "left").where("settled = 1 or doc_id > lo").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    gone = windows.join(first, ["x", "y"], "left").where(settled | (F.col("doc_id") > F.col("lo")))
+    place = F.shiftleft(F.shiftrightunsigned("mark", 1).cast("long"), 32) + F.col("start")  # of a row, for rows that share a doc_id
+    gone = gone.groupBy("doc_id").agg(F.collect_set(place).alias("starts"))
 
     def cut(batches):
         import pyarrow as pa
 
         for batch in batches:
             total, removed, kept = [], [], []
-            for text, starts, is_copy in zip(raw_texts(batch), batch.column("starts").to_pylist(), batch.column("is_copy").to_pylist(), strict=True):
+            for text, tie, starts, is_copy in zip(raw_texts(batch), *(batch.column(c).to_pylist() for c in ("tie", "starts", "is_copy")), strict=True):
                 words = text.split()
+                starts = [x & 0xFFFFFFFF for x in starts or () if x >> 32 == tie]
                 if is_copy:
                     starts = range(max(0, len(words) - window + 1))
                 drop = _spread(np.array(starts), 0, window, len(words)) if starts else np.zeros(len(words), bool)

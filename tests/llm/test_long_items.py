@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from nightledger.llm import decontam
@@ -34,3 +35,31 @@ def test_scores_do_not_change_with_the_shards(spark):
     whole = found(spark, docs, items, overlap=0.2)
     assert len(whole) >= 20
     assert found(spark, docs, items, overlap=0.2, shard_items=7) == pytest.approx(whole, abs=1e-9)
+
+
+def test_rows_that_share_a_doc_id_keep_their_own_words(spark):
+    """Words go from the row whose window stands in a smaller document, not from others of its doc_id."""
+    from nightledger.llm import substrings
+
+    text = lambda name, n=120: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, text("a")), (2, f"{text('a')} x {text('a')}"), (2, text("b")), (3, text("b")), (None, text("c")), (None, text("d")), (4, f"{text('d')} {text('e')}"), (2, text("b"))]
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substrings.repeated_words(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(False, 1, 120, 0), (False, 2, 120, 0), (False, 2, 120, 0), (False, 2, 241, 240), (False, 3, 120, 120), (False, 4, 240, 120), (True, 0, 120, 0), (True, 0, 120, 0)]
+
+
+def test_languages_are_learned_whatever_the_ids(spark):
+    """Null or shared doc_ids, and one row that is repeated, neither empty nor swell the sample."""
+    from pyspark.sql import functions as F
+
+    from nightledger.llm import language
+
+    words = {"en": "the cat and the other thing with which they have been", "fr": "le chat et la chose que nous avons dans une maison", "de": "die katze und das haus mit dem wir nicht gehen"}
+    texts = [(lang, f"{w} {i} {w[i % 20 :]}") for lang, w in words.items() for i in range(300)]
+    for ids in ([None] * 900, [7] * 900):
+        docs = spark.createDataFrame([(d, lang, t) for d, (lang, t) in zip(ids, texts, strict=True)], "doc_id long, lang string, text string")
+        docs = docs.unionByName(docs.where("lang = 'fr'").limit(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(2000)))).drop("n"))
+        model = language.fit(docs, F.lit(True), sample=50)
+        assert len(model.pairs) == 2
+        found = language.predict(docs, model).where("lang = lang_pred").count()
+        assert found > 0.98 * 2900
+    assert language.Model(["en", "fr"], {}).predict(np.zeros(language.SIZE)) == ("en", 0.5)  # a pair without a fit is a tie
