@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import iso_dow
+from ..functions.money import rounded_div
 from .anomaly import median_of
 from .grain import books_by_horizon
 
@@ -85,12 +86,23 @@ def origin_dates(spark, last: dt.date, test_days: int = 120, step: int = 3) -> D
     return spark.createDataFrame([(last - dt.timedelta(test_days - i),) for i in days], "origin date")
 
 
+def _whole(c: Column, places: int) -> Column:
+    """A number in whole units of 10^-places, whose sums have no order."""
+    return F.round(c * 10.0**places).cast("long")
+
+
 def score(rows: DataFrame, by: tuple[str, ...] = ("model", "horizon")) -> DataFrame:
-    """MAE, RMSE, bias and MAPE; MAPE only where at least 90 % of the actuals are positive."""
-    e, y = F.col("error"), F.col("actual")
+    """MAE, RMSE, bias and MAPE; MAPE only where at least 90 % of the actuals are positive.
+
+    Errors have six places and are added as whole millionths, so that a mean does
+    not depend on the order of the rows.
+    """
+    e, y, n = _whole(F.col("error"), 6), F.col("actual"), F.count("*")
     usable = F.count_if(y > 0)
-    mape = F.when(usable * 10 >= F.count("*") * 9, F.round(100 * F.avg(F.when(y > 0, F.abs(e) / y)), 4))
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(F.abs(e)), 4).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"), F.round(F.avg(e), 4).alias("bias"), mape.alias("mape"))
+    share = F.sum(F.when(y > 0, _whole(F.abs(F.col("error")) / y, 9)))
+    mape = F.when(usable * 10 >= n * 9, rounded_div(share, usable * 1000) / 10000.0)
+    rmse = F.round(F.sqrt(F.sum((e * e).cast("decimal(20,0)")).cast("double") / n) / 1e6, 4)
+    return rows.groupBy(*by).agg(n.alias("n"), (rounded_div(F.sum(F.abs(e)), n * 100) / 10000.0).alias("mae"), rmse.alias("rmse"), (rounded_div(F.sum(e), n * 100) / 10000.0).alias("bias"), mape.alias("mape"))
 
 
 def model_order(c: Column) -> Column:
@@ -190,7 +202,7 @@ def drift(residuals: DataFrame, horizon: int = 7, least: int = 20) -> DataFrame:
     middle = F.broadcast(days.select(F.element_at("o", (F.floor(F.size("o") / 2) + 1).cast("int")).alias("middle")))
     late = F.col("origin") >= F.col("middle")
     s = r.crossJoin(middle).groupBy("model").agg(
-        F.count("*").alias("n"), *[F.avg(F.when(c, F.abs(e))).alias(n) for n, c, e in (("e0", ~late, F.col("error")), ("e1", late, F.col("error")), ("r0", ~late, F.col("relative_error")), ("r1", late, F.col("relative_error")))]
+        F.count("*").alias("n"), *[(F.sum(F.when(c, F.abs(e))) / F.count_if(c)).alias(n) for n, c, e in (("e0", ~late, _whole(F.col("error"), 6)), ("e1", late, _whole(F.col("error"), 6)), ("r0", ~late, _whole(F.col("relative_error"), 9)), ("r1", late, _whole(F.col("relative_error"), 9)))]
     ).where(F.col("n") >= least)
     move = F.round(100 * (F.col("r1") / F.col("r0") - 1), 3)
     return s.select("model", "n", F.round(100 * (F.col("e1") / F.col("e0") - 1), 3).alias("absolute_pct"), move.alias("relative_pct"), F.when(move > 10, "degrading").when(move < -10, "improving").otherwise("stable").alias("verdict"))
@@ -199,6 +211,6 @@ def drift(residuals: DataFrame, horizon: int = 7, least: int = 20) -> DataFrame:
 def model_registry(scores: DataFrame, drifted: DataFrame, params: str) -> DataFrame:
     """A row per model: mean MAE, the horizons it wins, its drift and a hash of its configuration."""
     won = winners(scores).groupBy("model").agg(F.array_join(F.transform(F.sort_array(F.collect_list("horizon")), lambda h: h.cast("string")), ",").alias("champion_horizons"))
-    s = scores.groupBy("model").agg(F.sum("n").alias("forecasts"), F.round(F.sum(F.col("mae") * F.col("n")) / F.sum("n"), 3).alias("mae"))
+    s = scores.groupBy("model").agg(F.sum("n").alias("forecasts"), (rounded_div(F.sum(_whole(F.col("mae"), 4) * F.col("n")), F.sum("n") * 10) / 1000.0).alias("mae"))
     out = s.join(won, "model", "left").join(drifted.select("model", "verdict"), "model", "left")
     return out.withColumn("champion_horizons", F.coalesce("champion_horizons", F.lit(""))).withColumn("config", F.sha2(F.concat_ws("|", "model", F.lit(params)), 256))

@@ -89,7 +89,11 @@ def _bt(query: str, days: int = 120, **more) -> str:
     return out.replace(f"({LAST} - 120)", f"({LAST} - {days})").replace("range(0, 120, 3)", f"range(0, {days}, 3)")
 
 
-_SCORE = "count(*) AS n, round(avg(abs(error)), 4) AS mae, round(sqrt(avg(error * error)), 4) AS rmse, round(avg(error), 4) AS bias, CASE WHEN count(*) FILTER (actual > 0) * 10 >= count(*) * 9 THEN round(100 * avg(abs(error) / actual) FILTER (actual > 0), 4) END AS mape"
+#: Errors as whole millionths, relative ones as whole billionths: sums without an order.
+_E, _R = "CAST(round(error * 1e6) AS BIGINT)", "CAST(round(abs(relative_error) * 1e9) AS BIGINT)"
+_MAE, _BIAS = (f"{rdiv(f'CAST(sum({e}) AS BIGINT)', '(count(*) * 100)')} / 10000.0::DOUBLE AS {n}" for e, n in ((f"abs({_E})", "mae"), (_E, "bias")))
+_SHARE = "CAST(sum(CASE WHEN actual > 0 THEN CAST(round(abs(error) / nullif(actual, 0) * 1e9) AS BIGINT) END) AS BIGINT)"
+_SCORE = f"count(*) AS n, {_MAE}, round(sqrt(CAST(sum(CAST({_E} AS HUGEINT) * {_E}) AS DOUBLE) / count(*)) / 1e6, 4) AS rmse, {_BIAS}, CASE WHEN count(*) FILTER (actual > 0) * 10 >= count(*) * 9 THEN {rdiv(_SHARE, '(count(*) FILTER (actual > 0) * 1000)')} / 10000.0::DOUBLE END AS mape"
 _ORDER = "list_position([" + ", ".join(f"'{m}'" for m in forecast.MODELS) + "], model)"
 
 
@@ -126,6 +130,8 @@ def _outliers(source: str, metric: str, segment: str, keys: str, gate: str) -> s
     FROM ({z}) WHERE abs(round(z, 6)) >= 3.5 AND abs(actual - baseline) >= {gate}"""
 
 
+_DRIFT = f"""SELECT model, n, round(100 * (e1 / e0 - 1), 3) AS absolute_pct, round(100 * (r1 / r0 - 1), 3) AS relative_pct, CASE WHEN round(100 * (r1 / r0 - 1), 3) > 10 THEN 'degrading' WHEN round(100 * (r1 / r0 - 1), 3) < -10 THEN 'improving' ELSE 'stable' END AS verdict FROM (SELECT model, count(*) AS n, {', '.join(f"CAST(sum({c}) FILTER ({w}) AS BIGINT) / count(*) FILTER ({w}) AS {x}" for x, c, w in (('e0', f'abs({_E})', 'NOT late'), ('e1', f'abs({_E})', 'late'), ('r0', _R, 'NOT late'), ('r1', _R, 'late')))}
+ FROM (SELECT *, origin >= (SELECT list_sort(list(DISTINCT origin))[len(list(DISTINCT origin)) // 2 + 1] FROM res WHERE horizon = 7) AS late FROM res WHERE horizon = 7) GROUP BY 1 HAVING count(*) >= 20)"""
 _PORT = f"SELECT *, {RATES} FROM (SELECT stay_date, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in kpi.SUMS) + " FROM daily GROUP BY 1)"
 _series = lambda c: f"SELECT stay_date, CAST({c} AS DOUBLE) AS actual FROM port WHERE {c} IS NOT NULL"
 _PORT_ANOM = " UNION ALL ".join([_outliers(_series("revenue_paise"), "revenue_paise", "'PORTFOLIO'", "", "abs(baseline) * 0.15"), _outliers(_series("occupancy_bp"), "occupancy_bp", "'PORTFOLIO'", "", "800"), _outliers(_series("adr_paise"), "adr_paise", "'PORTFOLIO'", "", "35000")])
@@ -149,7 +155,7 @@ QUERIES = {
     "f12_holiday_evaluation": (lambda m: forecast.score(rows(m, 260), ("model", "holiday_adjacent")), _bt(f"SELECT model, holiday_adjacent, {_SCORE} FROM bt GROUP BY ALL", 260)),
     "f13_slices": (
         lambda m: forecast.slices(rows(m)),
-        _bt("SELECT slice, value, model, count(*) AS n, round(avg(abs(error)), 4) AS mae, round(avg(error), 4) AS bias FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS slice, CAST({c} AS VARCHAR) AS value, model, error FROM bt" for s, c in (("horizon", "horizon"), ("month", "month(target)"), ("weekday", "isodow(target)"), ("holiday", "holiday_adjacent"))) + ") GROUP BY ALL HAVING count(*) >= 30"),
+        _bt(f"SELECT slice, value, model, count(*) AS n, {_MAE}, {_BIAS} FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS slice, CAST({c} AS VARCHAR) AS value, model, error FROM bt" for s, c in (("horizon", "horizon"), ("month", "month(target)"), ("weekday", "isodow(target)"), ("holiday", "holiday_adjacent"))) + ") GROUP BY ALL HAVING count(*) >= 30"),
     ),
     "p3_forecast_accuracy": (
         lambda m: forecast.score(rows(m).where("model = 'pickup'").withColumn("band", band_of(F.col("horizon"))), ("band",)),
@@ -170,14 +176,10 @@ QUERIES = {
         lambda m: forecast.forward_intervals(predictions(m).where((F.col("origin") == F.lit(last_date(m) - dt.timedelta(30))) & (F.col("model") == "pickup")), forecast.residual_interval(residuals(m), 0.8)).drop("origin"),
         _bt(f"SELECT p.property_key, p.target, p.horizon, p.model, p.prediction, round(greatest(0, p.prediction - q.hi), 6) AS lower, round(greatest(0, p.prediction - q.lo), 6) AS upper FROM preds p LEFT JOIN (SELECT model, horizon, {_LO} AS lo, {_HI} AS hi FROM (SELECT model, horizon, list(error ORDER BY error) AS e FROM res GROUP BY ALL HAVING count(*) >= 20)) q USING (model, horizon) WHERE p.model = 'pickup' AND p.origin = {LAST} - 30"),
     ),
-    "g1_drift": (
-        lambda m: forecast.drift(residuals(m)),
-        _bt("""SELECT model, n, round(100 * (e1 / e0 - 1), 3) AS absolute_pct, round(100 * (r1 / r0 - 1), 3) AS relative_pct, CASE WHEN round(100 * (r1 / r0 - 1), 3) > 10 THEN 'degrading' WHEN round(100 * (r1 / r0 - 1), 3) < -10 THEN 'improving' ELSE 'stable' END AS verdict FROM (SELECT model, count(*) AS n, avg(abs(error)) FILTER (NOT late) AS e0, avg(abs(error)) FILTER (late) AS e1, avg(abs(relative_error)) FILTER (NOT late) AS r0, avg(abs(relative_error)) FILTER (late) AS r1
-        FROM (SELECT *, origin >= (SELECT list_sort(list(DISTINCT origin))[len(list(DISTINCT origin)) // 2 + 1] FROM res WHERE horizon = 7) AS late FROM res WHERE horizon = 7) GROUP BY 1 HAVING count(*) >= 20)"""),
-    ),
+    "g1_drift": (lambda m: forecast.drift(residuals(m)), _bt(_DRIFT)),
     "g2_model_registry": (
-        lambda m: forecast.model_registry(forecast.score(rows(m)), forecast.drift(residuals(m)), "120/3").drop("config", "mae", "verdict"),
-        _bt(f"SELECT s.model, CAST(sum(s.n) AS BIGINT) AS forecasts, coalesce(max(w.champion_horizons), '') AS champion_horizons FROM sc s LEFT JOIN (SELECT model, string_agg(CAST(horizon AS VARCHAR), ',' ORDER BY horizon) AS champion_horizons FROM (SELECT horizon, arg_min(model, (mae, {_ORDER})) AS model FROM sc GROUP BY 1) GROUP BY 1) w ON w.model = s.model GROUP BY 1", sc=f"SELECT model, horizon, {_SCORE} FROM bt GROUP BY ALL"),
+        lambda m: forecast.model_registry(forecast.score(rows(m)), forecast.drift(residuals(m)), "120/3"),
+        _bt(f"SELECT s.model, CAST(sum(s.n) AS BIGINT) AS forecasts, {rdiv('CAST(sum(CAST(round(mae * 1e4) AS BIGINT) * s.n) AS BIGINT)', 'CAST(sum(s.n) * 10 AS BIGINT)')} / 1000.0::DOUBLE AS mae, coalesce(max(w.champion_horizons), '') AS champion_horizons, max(d.verdict) AS verdict, sha256(s.model || '|120/3') AS config FROM sc s LEFT JOIN ({_DRIFT}) d ON d.model = s.model LEFT JOIN (SELECT model, string_agg(CAST(horizon AS VARCHAR), ',' ORDER BY horizon) AS champion_horizons FROM (SELECT horizon, arg_min(model, (mae, {_ORDER})) AS model FROM sc GROUP BY 1) GROUP BY 1) w ON w.model = s.model GROUP BY 1", sc=f"SELECT model, horizon, {_SCORE} FROM bt GROUP BY ALL"),
     ),
     "c1_paired_observations": (pairs, sql("SELECT * FROM pairs", "daily", "day_context", **_PAIR_CTES)),
     "c2_offset_profile": (lambda m: calendar_fx.offset_profile(pairs(m)), sql(_effects('"offset"', '"offset" BETWEEN -7 AND 10'), "daily", "day_context", **_PAIR_CTES)),
