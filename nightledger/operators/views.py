@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import business_date, day_part, iso_dow, local_hour
@@ -71,10 +71,21 @@ def on_the_books(nights: DataFrame, as_of: dt.date) -> DataFrame:
 
 
 def on_the_books_many(nights: DataFrame, as_of: DataFrame) -> DataFrame:
-    """The same for every date of ``as_of`` (a column of that name), in one job."""
-    d = F.col("as_of")
-    held = nights.join(F.broadcast(as_of), (F.col("entered_on") <= d) & (F.col("stay_date") > d) & (F.col("left_on").isNull() | (F.col("left_on") > d)))
-    return held.groupBy("as_of", "property_key").agg(F.count("*").alias("nights_otb"), F.sum("night_paise").alias("revenue_otb_paise"))
+    """The same for every date of ``as_of`` (a column of that name), by property: one sweep, whatever the number of dates.
+
+    A night is held from the day it was entered until it was left or came. Both
+    events are added up by property and day, and the running sums are read off at
+    the dates asked for.
+    """
+    end = F.least(F.coalesce("left_on", "stay_date"), "stay_date")
+    event = F.explode(F.array(F.struct(F.col("entered_on").alias("d"), F.lit(1).alias("n")), F.struct(end.alias("d"), F.lit(-1).alias("n")))).alias("e")
+    e = nights.where(F.col("entered_on") < end).select("property_key", "night_paise", event)
+    daily = e.groupBy("property_key", F.col("e.d").alias("as_of")).agg(F.sum("e.n").alias("n"), F.sum(F.col("e.n") * F.col("night_paise")).alias("paise")).withColumn("asked", F.lit(False))
+    asked = daily.select("property_key").distinct().crossJoin(F.broadcast(as_of.select("as_of").distinct())).select("property_key", "as_of", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("paise"), F.lit(True).alias("asked"))
+    # a row a property and day; rows of one day count together
+    upto = Window.partitionBy("property_key").orderBy("as_of").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = daily.unionByName(asked).withColumn("nights_otb", F.sum("n").over(upto)).withColumn("revenue_otb_paise", F.sum("paise").over(upto))
+    return swept.where("asked and nights_otb > 0").select("as_of", "property_key", "nights_otb", "revenue_otb_paise")
 
 
 def pickup_daily(nights: DataFrame) -> DataFrame:

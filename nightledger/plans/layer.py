@@ -109,6 +109,11 @@ QUERIES = {
         sql("""SELECT as_of, property_key, count(*) AS nights_otb, CAST(sum(night_paise) AS BIGINT) AS revenue_otb_paise FROM booking_night, (SELECT CAST(DATE '1997-01-01' + to_months(CAST(i AS INT)) AS DATE) AS as_of FROM range(24) t(i))
         WHERE entered_on <= as_of AND stay_date > as_of AND (left_on IS NULL OR left_on > as_of) GROUP BY ALL""", "booking_night"),
     ),
+    "v6_on_the_books_every_day": (
+        lambda m: views.on_the_books_many(demand(m), m.spark.range(2404).select(F.date_add(F.lit(dt.date(1995, 1, 1)), F.col("id").cast("int")).alias("as_of"))),
+        sql("""SELECT as_of, property_key, count(*) AS nights_otb, CAST(sum(night_paise) AS BIGINT) AS revenue_otb_paise FROM booking_night, (SELECT DATE '1995-01-01' + CAST(i AS INT) AS as_of FROM range(2404) t(i))
+        WHERE entered_on <= as_of AND stay_date > as_of AND (left_on IS NULL OR left_on > as_of) GROUP BY ALL""", "booking_night"),
+    ),
     "v7_pickup_daily": (
         lambda m: views.pickup_daily(demand(m)),
         sql("""SELECT coalesce(a.activity_date, r.activity_date) AS activity_date, coalesce(a.stay_date, r.stay_date) AS stay_date, coalesce(a.property_key, r.property_key) AS property_key, coalesce(a.channel_code, r.channel_code) AS channel_code,
