@@ -208,11 +208,12 @@ class WordCoder:
 CODERS: dict[str, WordCoder] = {}
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2, buffer_tokens: int = 1 << 20) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2, buffer_tokens: int = 1 << 20, keep: int = 600_000) -> DataFrame:
     """Pieces of all documents, packed into sequences of at most ``capacity`` tokens (a power of two).
 
     ``docs`` has doc_id and text; ``vocabulary`` is the path of a `tokenizers`
-    file on every worker. A task packs ``buffer_tokens`` tokens at a time. Every
+    file on every worker. A task packs ``buffer_tokens`` tokens at a time; a worker
+    remembers the codes of about ``keep`` words. Every
     sequence is full, but for those of 2^k tokens that end a task's input.
     Returns doc_id, start, length, ids (little-endian 32-bit), doc_tokens,
     sequence_id, offset. sequence_id is the task's number times 2^32 plus a
@@ -226,6 +227,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_i
         if vocabulary not in CODERS:
             CODERS[vocabulary] = WordCoder(vocabulary)
         coder = CODERS[vocabulary]
+        coder.keep = keep
         packer = Packer(capacity, TaskContext.get().partitionId() << 32)
         waiting: dict[int, tuple] = {}  # documents by number: id, ids, tokens not yet placed
         number = 0
