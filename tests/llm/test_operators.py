@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from nightledger.llm import bloom_lm, decontam, fingerprint, html_text, language, packing, queries, secrets, sharding, simhash, substrings
 from nightledger.llm.common import table
@@ -349,6 +350,18 @@ def brute_entropy(t):
     return sorted(base + out)
 
 
+def test_long_and_many_candidates_against_brute_force(spark):
+    """A picture in base64, thousands of candidates and base spans: a time that grows with their length only."""
+    rng = random.Random(5)
+    draw = lambda n: "".join(rng.choice(secrets.ALPHABET) for _ in range(n))
+    picture = draw(8000) + "a" * 3000 + draw(8000) + "1"
+    data = {1: picture, 2: " ".join(draw(27) for _ in range(1500)), 3: " ".join(f"token={draw(24)} {rng.randbytes(14).hex()} AKIA{'Q7' * 9} {draw(30)}" for _ in range(400))}
+    found = secrets.with_spans(spark.createDataFrame(list(data.items()), "doc_id long, text string")).select("doc_id", secrets.as_text(F.filter("__all", lambda x: x["kind"] == 3)).alias("s"))
+    got = {r["doc_id"]: r["s"] for r in found.collect()}
+    assert got == {d: ",".join(f"entropy:{a}:{b}" for a, k, b in brute_entropy(text) if k == 3) for d, text in data.items()}
+    assert all(got.values())
+
+
 def test_secrets_entropy_against_brute_force(spark, rows):
     rnd = random.Random(9)
     letters = secrets.ALPHABET
