@@ -9,8 +9,11 @@ tree is rendered as a browser would show it: hidden elements, scripts, styles an
 head matter are left out; white space collapses but for preformatted text; blocks
 start on lines of their own, paragraphs and headings with a blank line around
 them; list items have bullets or numbers and are indented; table cells are
-aligned in columns, with spans over columns and rows. Hidden is what the tag, the
-hidden attribute or an inline style hides; style sheets are not applied.
+aligned in columns, with spans over columns and rows. A bullet stands before the
+first text of its item, however many blocks lie between. Hidden is what the tag, the
+hidden attribute or an inline style hides; hidden visibility is taken over by what
+an element holds, which may be visible again; of a drawing its text elements show;
+style sheets are not applied.
 
 Defined results: null html gives empty text; malformed markup never fails; deep
 nesting is held in a list, not on the stack; repeated rows are rendered each; an
@@ -21,13 +24,17 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title object iframe svg math datalist audio video canvas".split())
+HIDDEN = frozenset("head script style template noscript title object iframe datalist audio video canvas annotation annotation-xml".split())
+#: In a drawing text shows in TEXT only, and what UNDRAWN holds is not drawn where it stands.
+TEXT = frozenset("text foreignobject".split())
+UNDRAWN = frozenset("defs symbol clippath mask marker pattern lineargradient radialgradient metadata desc".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr fieldset".split())
 BLOCK = SPACED | frozenset("html body div section article aside header footer nav main address form li dt dd tr caption figcaption details summary legend center option optgroup menu dir".split())
@@ -36,8 +43,10 @@ IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), **{x: ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}, {"table"}) for x in ("thead", "tbody", "tfoot")}, "body": ({"head"}, {"html"}),
 }
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>])*+)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s/=>][^\s/=>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: A quote encloses a value only right after "="; one that is never closed is a character like others.
+_VALUE = r"""\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]*)"""
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|[^\s/>][^\s/>=]*(?:{_VALUE})?)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 #: What a head holds; anything else closes it.
 HEAD = frozenset("head html base basefont bgsound link meta noframes noscript script style template title".split())
 #: Parts of a table that hold no text of their own, and what they may hold.
@@ -66,6 +75,16 @@ def parse(source: str) -> Node:
     """The tree of a page; text children are plain strings, entities decoded."""
     root = Node("html")
     stack, at, headed = [root], 0, False
+    opened = Counter({"html": 1})  # open elements by tag, so that nobody looks through the stack for what is not there
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        opened[node.tag] += 1
+
+    def cut(depth: int) -> None:
+        """Closes the elements from ``depth`` on."""
+        opened.subtract(n.tag for n in stack[depth:])
+        del stack[depth:]
 
     def add(child: Node | str) -> None:
         home = stack[-1].children
@@ -82,7 +101,7 @@ def parse(source: str) -> Node:
     def text(s: str) -> None:
         if s:
             if stack[-1].tag == "head" and not s.isspace():
-                stack.pop()
+                cut(-1)
             add(html.unescape(s))
 
     while m := _TAG.search(source, at):
@@ -91,9 +110,9 @@ def parse(source: str) -> Node:
         if not tag:
             continue
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0) if opened[tag] else 0
             if depth:
-                del stack[depth:]
+                cut(depth)
             elif tag == "p":
                 add(Node("p"))
             continue
@@ -102,25 +121,25 @@ def parse(source: str) -> Node:
                 continue
             headed = True
         elif stack[-1].tag == "head" and tag not in HEAD:
-            stack.pop()
+            cut(-1)
         if tag in BLOCK and any(n.tag == "p" for n in stack[-3:]) and tag not in ("html", "body", "option", "tr", "caption"):
-            depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == "p")
-            del stack[depth:]
+            cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == "p"))
         closes, until = IMPLIED.get(tag, ((), ()))
-        for i in range(len(stack) - 1, 0, -1) if closes else ():
+        for i in range(len(stack) - 1, 0, -1) if any(opened[c] for c in closes) else ():
             if stack[i].tag in until:
                 break
             if stack[i].tag in closes:
-                del stack[i:]
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+                cut(i)
+        if tag in ("html", "body") and opened[tag]:
             continue
-        depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in INTO[tag]), 0) if tag in INTO else 0
+        into = INTO.get(tag, ())
+        depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in into), 0) if any(opened[c] for c in into) else 0
         if depth:
-            del stack[depth + 1 :]
+            cut(depth + 1)
             if tag in ("td", "th") and stack[-1].tag != "tr":
                 row = Node("tr")
                 add(row)
-                stack.append(row)
+                push(row)
         node, loose = Node(tag, m[3]), tag == "form" and stack[-1].tag in PARTS
         add(node)
         if tag in RAW:
@@ -129,7 +148,7 @@ def parse(source: str) -> Node:
             node.children.append(content if tag in ("script", "style") else html.unescape(content))
             at = end.end() if end else len(source)
         elif tag not in VOID and not loose and not m[3].endswith("/"):
-            stack.append(node)
+            push(node)
     text(source[at:])
     return root
 
@@ -138,17 +157,23 @@ class Lines:
     """Collected output: collapses white space and keeps at most one blank line."""
 
     def __init__(self):
-        self.out, self.now, self.blank, self.gap = [], "", False, False
+        self.out, self.now, self.blank, self.gap, self.mark = [], "", False, False, ""
 
     def text(self, s: str) -> None:
         words = s.split()
         if not words:
             self.gap |= bool(s)
             return
+        self.marked()
         joint = " " if self.now and not self.now.endswith(" ") and (self.gap or s[0].isspace()) else ""
         self.now += joint + " ".join(words)
         self.gap = s[-1].isspace()
 
+    def marked(self) -> None:
+        """Puts a list item's bullet, which waits for the first text of the item, however deep in blocks."""
+        if self.mark:
+            self.now, self.mark = self.mark, ""
+
     def line(self, spaced: bool = False) -> None:
         if self.now.strip():
             if self.blank and self.out:
@@ -156,9 +181,10 @@ class Lines:
             self.out.append(self.now.rstrip())
             self.blank = False
         self.now, self.gap = "", False
-        self.blank |= spaced
+        self.blank |= spaced and not self.mark
 
     def raw(self, lines: list[str]) -> None:
+        self.marked()
         self.line()
         if self.blank and self.out and lines:
             self.out.append("")
@@ -171,11 +197,11 @@ def _number(node: Node, name: str, most: int) -> int:
     return min(int(found[1]), most) if found else 1
 
 
-def _grid(node: Node) -> list[dict[int, tuple[str, int]]]:
+def _grid(node: Node, shown: bool = True) -> list[dict[int, tuple[str, int]]]:
     """The rows of a table: by column the cell's text and how many columns it spans; cells from rows above keep their columns."""
-    rows, todo, held = [], [node], {}
+    rows, todo, held = [], [(node, shown)], {}
     while todo:
-        n = todo.pop()
+        n, shown = todo.pop()
         if n.tag == "tr":
             row, at, below = {}, 0, {}
             for c in n.children:
@@ -183,7 +209,7 @@ def _grid(node: Node) -> list[dict[int, tuple[str, int]]]:
                     while held.get(at):
                         at += 1
                     wide, high = _number(c, "colspan", 1000) or 1, _number(c, "rowspan", 65534) or 65534
-                    row[at] = " ".join(render(Node("div"), c.children, True).split()), wide
+                    row[at] = " ".join(render(Node("div"), c.children, True, _shown(c, shown)).split()), wide
                     if high > 1:
                         below |= dict.fromkeys(range(at, at + wide), high)
                     at += wide
@@ -192,17 +218,17 @@ def _grid(node: Node) -> list[dict[int, tuple[str, int]]]:
             continue
         if n.tag in ("thead", "tbody", "tfoot"):
             held = {}  # a span ends with its group of rows
-        todo += reversed([c for c in n.children if isinstance(c, Node) and c.tag in ("thead", "tbody", "tfoot", "tr", "form") and not _hidden(c)])
+        todo += reversed([(c, _shown(c, shown)) for c in n.children if isinstance(c, Node) and c.tag in ("thead", "tbody", "tfoot", "tr", "form") and not _hidden(c)])
     return rows
 
 
-def _table(node: Node) -> list[str]:
+def _table(node: Node, shown: bool = True) -> list[str]:
     """Rows of aligned cells, two spaces apart; what is nested in a cell is flattened to one line.
 
     Columns are as wide as their widest cell, or less where that would make the
     table many times as long as its text: a longer cell moves those behind it.
     """
-    rows = _grid(node)
+    rows = _grid(node, shown)
     widths: dict[int, int] = {}
     for row in rows:
         for at, (text, wide) in row.items():
@@ -225,85 +251,119 @@ def _table(node: Node) -> list[str]:
 
 
 def _hidden(node: Node) -> bool:
+    """Whether nothing of an element is shown, whatever its content says."""
     if node.tag in HIDDEN or not node.attrs:
         return node.tag in HIDDEN
     given = node.attributes()
-    return "hidden" in given or _unshown(given.get("style", ""))
+    return "hidden" in given or _declared(given.get("style", ""), "display") == "none"
+
 
+def _shown(node: Node, shown: bool) -> bool:
+    """Whether the text of an element is visible, which content takes over and may set anew."""
+    own = _declared(node.attributes().get("style", ""), "visibility") if node.attrs else ""
+    return own == "visible" if own in ("visible", "hidden", "collapse") else shown
 
-def _unshown(style: str) -> bool:
-    """Whether a style hides its element: the last declaration of a property counts, important ones before others."""
-    last: dict[str, tuple[bool, str]] = {}
+
+def _declared(style: str, wanted: str) -> str:
+    """A property's value in a style: the last declaration counts, important ones before others."""
+    last, important = "", False
     for declaration in re.sub(r"/\*.*?\*/", "", style, flags=re.S).lower().split(";"):
         name, _, value = declaration.partition(":")
         value, mark, _ = value.partition("!")
-        if bool(mark) >= last.get(name.strip(), (False, ""))[0]:
-            last[name.strip()] = bool(mark), value.strip()
-    return last.get("display", (0, ""))[1] == "none" or last.get("visibility", (0, ""))[1] == "hidden"
+        if name.strip() == wanted and bool(mark) >= important:
+            last, important = value.strip(), bool(mark)
+    return last
+
+
+def _drawn(node: Node, shown: bool) -> list[tuple[Node, bool]]:
+    """The elements of a drawing that show text, outermost ones, in order."""
+    out, todo = [], [(c, shown) for c in reversed(node.children)]
+    while todo:
+        x, shown = todo.pop()
+        if isinstance(x, str) or x.tag in UNDRAWN or _hidden(x):
+            continue
+        if x.tag in TEXT:
+            out.append((x, shown))
+        else:
+            todo += [(c, _shown(x, shown)) for c in reversed(x.children)]
+    return out
 
 
-def render(node: Node, children: list | None = None, flat: bool = False) -> str:
-    """The visible text of a tree; ``flat``: tables in it are lines of their cells' text."""
+def render(node: Node, children: list | None = None, flat: bool = False, shown: bool = True) -> str:
+    """The visible text of a tree; ``flat``: tables in it are lines of their cells' text; ``shown``: what it takes over from around it."""
     lines = Lines()
     node.children = node.children if children is None else children
-    # a work list of (what, node or text): the cells of a table are rendered flat, so nothing recurses deeper
-    todo, lists = [("open", node)], []
+    # a work list of (what, node or text, shown): the cells of a table are rendered flat, so nothing recurses deeper
+    todo, lists = [("open", node, shown)], []
     while todo:
-        what, x = todo.pop()
+        what, x, shown = todo.pop()
         if what == "close":
             if x.tag in ("ul", "ol", "menu"):
                 lists.pop()
+            if x.tag in ("li", "dd"):
+                lines.marked()
             lines.line(x.tag in SPACED and not (x.tag in ("ul", "ol", "menu") and lists))
-        elif isinstance(x, str):
-            lines.text(x)
-        elif _hidden(x):
             continue
-        elif x.tag == "br":
+        if isinstance(x, str):
+            lines.text(x if shown else " " * any(map(str.isspace, x)))
+            continue
+        if _hidden(x):
+            continue
+        shown = _shown(x, shown)
+        if x.tag == "br":
             lines.line()
         elif x.tag == "img":
-            lines.text(x.attributes().get("alt", ""))
+            lines.text(x.attributes().get("alt", "") if shown else "")
+        elif x.tag == "svg":
+            lines.gap = True
+            for drawn, visible in reversed(_drawn(x, shown)):
+                todo += [("open", " ", True), ("open", drawn, visible)]
         elif x.tag == "table" and not flat:
+            lines.marked()
             lines.line(True)
             for c in x.children:
                 if isinstance(c, Node) and c.tag == "caption" and not _hidden(c):
-                    lines.text(render(Node("div"), c.children, True))
+                    lines.text(render(Node("div"), c.children, True, _shown(c, shown)))
             lines.line()
-            lines.raw(_table(x))
+            lines.raw(_table(x, shown))
             lines.line(True)
         elif x.tag in ("pre", "textarea"):
+            lines.marked()
             lines.line(True)
-            lines.raw("".join(_strings(x)).strip("\n").split("\n"))
+            lines.raw("".join(_strings(x, shown)).strip("\n").split("\n"))
             lines.line(True)
         else:
             if x.tag in ("td", "th"):
                 lines.gap = True
+            if x.tag in ("ul", "ol", "menu"):
+                lines.marked()
             if x.tag in BLOCK:
                 lines.line(x.tag in SPACED and not (x.tag in ("ul", "ol", "menu") and lists))
-                todo.append(("close", x))
+                todo.append(("close", x, shown))
             if x.tag in ("ul", "ol", "menu"):
                 start = re.match(r"\s*(-?\d{1,9})", x.attributes().get("start", ""))
                 lists.append([x.tag, int(start[1]) if start else 1])
             elif x.tag == "li":
                 depth, own = max(0, len(lists) - 1), lists[-1] if lists else ["ul", 1]
-                lines.now = "  " * depth + (f"{own[1]}. " if own[0] == "ol" else "- ")
+                lines.mark = "  " * depth + (f"{own[1]}. " if own[0] == "ol" else "- ") if shown else ""
                 own[1] += 1
             elif x.tag == "dd":
-                lines.now = "  "
-            todo += [("open", c) for c in reversed(x.children)]
+                lines.mark = "  "
+            todo += [("open", c, shown) for c in reversed(x.children)]
     lines.line()
     return "\n".join(lines.out)
 
 
-def _strings(node: Node) -> list[str]:
-    out, todo = [], [node]
+def _strings(node: Node, shown: bool = True) -> list[str]:
+    out, todo = [], [(c, shown) for c in reversed(node.children)]
     while todo:
-        x = todo.pop()
+        x, shown = todo.pop()
         if isinstance(x, str):
-            out.append(x)
+            out.append(x if shown else re.sub(r"[^\n]", "", x))
         elif x.tag == "br":
             out.append("\n")
         elif not _hidden(x):
-            todo += reversed(x.children)
+            todo += [(c, _shown(x, shown)) for c in reversed(x.children)]
     return out
 
 
