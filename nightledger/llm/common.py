@@ -92,6 +92,28 @@ def raw_texts(batch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def giving_back(run):
+    """``run`` over a task's batches, after which freed memory goes back to the system: workers outlive their tasks."""
+
+    def whole(batches):
+        yield from run(batches)
+        release_memory()
+
+    return whole
+
+
+def release_memory() -> None:
+    """Hands what Arrow and the C library keep for reuse back to the system, where it can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """XXH64 of each word, as Spark's xxhash64() gives it, unsigned."""
     return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), U64, len(words))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FEW, SEED, U64, join_labels, raw_texts, saved, without
+from .common import FEW, SEED, U64, giving_back, join_labels, raw_texts, saved, without
 from .components import components
 
 
@@ -123,6 +123,7 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
 def _hash_sets(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, hashes): the distinct shingle hashes of every text."""
 
+    @giving_back
     def run(batches):
         import pyarrow as pa
 
@@ -167,6 +168,7 @@ def _prefixes(docs: DataFrame, size: int, part: Fraction, frequent) -> DataFrame
     Two sets of a Jaccard similarity of at least ``part`` have a common hash in their prefixes.
     """
 
+    @giving_back
     def run(batches):
         import pyarrow as pa
 
@@ -199,6 +201,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, part: Fraction) -> DataFrame:
     """
     least = float(part) - 0.3
 
+    @giving_back
     def run(batches):
         import pyarrow as pa
 
@@ -217,6 +220,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, part: Fraction) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, share: Fraction) -> DataFrame:
     """The pairs (a, b) whose distinct shingles have a Jaccard similarity of at least ``share``, on whole texts."""
 
+    @giving_back
     def run(batches):
         import pyarrow as pa
 
