@@ -75,15 +75,17 @@ def channel_economics(bookings: DataFrame, nights: DataFrame, payments: DataFram
 def repeat_cohorts(bookings: DataFrame, guests: DataFrame, least: int = 30) -> DataFrame:
     """Guests by the channel of their first stay: how many return, how soon, and what they are worth.
 
-    The identity's windows share one exchange; totals come from aggregates.
+    The gaps between an identity's stays, which are never negative, add up to the days
+    from its first stay to its last, so aggregates that combine map-side are enough:
+    an identity with thousands of stays is no task of its own.
     """
     who = normalised_guests(guests).select("guest_key", identity_key().alias("identity_key"))
     s = bookings.where(F.col("status").isin("checked_out", "checked_in")).join(who, "guest_key")
-    in_order = Window.partitionBy("identity_key").orderBy("check_in_date", "booking_key")
-    s = s.withColumn("gap", F.datediff(F.lead("check_in_date").over(in_order), "check_in_date"))
+    dated = F.count("check_in_date")
     per = s.groupBy("identity_key").agg(
-        F.min(F.struct("check_in_date", "booking_key", "channel_code"))["channel_code"].alias("acquiring_channel"), F.count("*").alias("stays"), F.sum("net_paise").alias("lifetime_paise"), rounded_div(F.sum("gap"), F.count("gap")).alias("gap_days")
-    )
+        F.min(F.struct("check_in_date", "booking_key", "channel_code"))["channel_code"].alias("acquiring_channel"), F.count("*").alias("stays"), F.sum("net_paise").alias("lifetime_paise"),
+        F.when(dated > 1, rounded_div(F.datediff(F.max("check_in_date"), F.min("check_in_date")), F.nullif(dated - 1, F.lit(0)))).alias("gap_days"),
+    )
     c = per.groupBy("acquiring_channel").agg(
         F.count("*").alias("guests"), F.count_if(F.col("stays") >= 2).alias("returned"), bp(F.count_if(F.col("stays") >= 2), F.count("*")).alias("repeat_bp"), rounded_div(F.sum("stays") * 100, F.count("*")).alias("stays_hundredths"),
         rounded_div(F.sum("gap_days"), F.count("gap_days")).alias("days_between"), rounded_div(F.sum("lifetime_paise"), F.count("*")).alias("lifetime_paise"),
