@@ -101,10 +101,15 @@ def pickup_daily(nights: DataFrame) -> DataFrame:
     return out.withColumn("nights_net", F.col("nights_added") - F.col("nights_cancelled")).withColumn("days_before_stay", F.datediff("stay_date", "activity_date").cast("long"))
 
 
+def books_with_final(nights: DataFrame, max_horizon: int = 60) -> DataFrame:
+    """By property, stay date and days out: nights on the books then, and in the final book."""
+    final = nights.where(F.col("status").isin(*STAYED)).groupBy("property_key", "stay_date").agg(F.count("*").alias("final_nights"))
+    return books_by_horizon(nights, final, max_horizon).join(final, ["property_key", "stay_date"])
+
+
 def booking_curve(nights: DataFrame, max_horizon: int = 60) -> DataFrame:
     """By property and days out: how much of the final book was sold, as average and quartiles."""
-    final = nights.where(F.col("status").isin(*STAYED)).groupBy("property_key", "stay_date").agg(F.count("*").alias("final_nights"))
-    books = books_by_horizon(nights, final, max_horizon).join(final, ["property_key", "stay_date"])
+    books = books_with_final(nights, max_horizon)
     share = F.col("on_books") / F.col("final_nights")
     pct = lambda q: F.round(100 * F.percentile(share, q), 6)
     return books.groupBy("property_key", "days_out").agg(
