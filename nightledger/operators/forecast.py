@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import iso_dow
 from ..functions.money import rounded_div
+from ..session import stored
 from .anomaly import median_of
 from .grain import books_by_horizon
+from .orderstats import known_by
 
 MODELS = ("naive", "seasonal_naive", "moving_average", "dow_moving_average", "pickup", "seasonal_holiday")
 KEYS = ("property_key",)
@@ -145,18 +147,19 @@ def _levels(n: Column, level: float, conformal: bool) -> tuple[Column, Column]:
     return F.greatest(F.lit(0.0), F.floor((n + 1) * F.lit(alpha / 2)) / n), F.least(F.lit(1.0), F.ceil((n + 1) * F.lit(1 - alpha / 2)) / n)
 
 
-def quantile_pair(errors: Column, level: float, conformal: bool) -> Column:
-    """struct<lo, hi>: order statistics of a sorted array, the lower one rounded down and the upper one up."""
-    n = F.size(errors)
+def _picks(n: Column, level: float, conformal: bool) -> list[Column]:
+    """The places of the two quantiles among n sorted errors, from 1: the lower one rounded down and the upper one up."""
     q0, q1 = _levels(n, level, conformal)
-    return F.struct(F.element_at(errors, (F.floor(q0 * (n - 1)) + 1).cast("int")).alias("lo"), F.element_at(errors, (F.ceil(q1 * (n - 1)) + 1).cast("int")).alias("hi"))
+    return [F.floor(q0 * (n - 1)) + 1, F.ceil(q1 * (n - 1)) + 1]
 
 
 def residual_interval(residuals: DataFrame, level: float, conformal: bool = True, scaled: bool = False, least: int = 20, by: tuple[str, ...] = ("model", "horizon")) -> DataFrame:
-    """The pair of error quantiles by model and horizon; groups with too few residuals have none. A group is a series of origins."""
-    e = "relative_error" if scaled else "error"
-    r = residuals.groupBy(*by).agg(F.sort_array(F.collect_list(e)).alias("errors")).where(F.size("errors") >= least)
-    return r.select(*by, F.size("errors").alias("n"), quantile_pair(F.col("errors"), level, conformal).alias("q")).select(*by, "n", "q.lo", "q.hi")
+    """The pair of error quantiles by model and horizon; groups with too few residuals have none."""
+    e, places = ("relative_error", 9) if scaled else ("error", 6)
+    v = stored(residuals.select(*by, F.lit(dt.date(1970, 1, 1)).alias("day"), _whole(F.col(e), places).alias("v")))
+    q = known_by(v, v.select(*by, F.col("day").alias("at")).distinct(), lambda n: _picks(n, level, conformal), by, least)
+    one = lambda i: F.max(F.when(F.col("i") == i, F.col("v"))) / 10.0**places
+    return q.groupBy(*by).agg(F.max("n").cast("int").alias("n"), one(0).alias("lo"), one(1).alias("hi"))
 
 
 def bounds(prediction: Column, lo: Column, hi: Column, scale: Column | None = None) -> tuple[Column, Column]:
@@ -169,22 +172,28 @@ def bounds(prediction: Column, lo: Column, hi: Column, scale: Column | None = No
 def coverage(residuals: DataFrame, levels: tuple[float, ...] = (0.5, 0.8, 0.95), skip: int = 20, least: int = 20, by: tuple[str, ...] = ("model", "horizon")) -> DataFrame:
     """Out-of-sample coverage: at each origin the interval comes from residuals whose target was known by then.
 
-    Groups are pooled over keys: a calibration set has a group's past errors, one
-    for each key and origin, sorted in the task that takes its quantiles.
+    Groups are pooled over keys. The quantiles of all origins' sets come from
+    running counts (``orderstats.known_by``), so no set is copied or sorted.
     """
-    order = residuals.groupBy(*by, "origin").agg(F.count("*").alias("rows")).withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("origin")))
-    now = order.where(F.col("nth") > skip).select(*by, F.col("origin").alias("at"))
-    past = now.join(residuals.select(*by, "target", "error", "relative_error"), list(by)).where(F.col("target") <= F.col("at"))
-    sets = past.groupBy(*by, "at").agg(F.sort_array(F.collect_list("error")).alias("e"), F.sort_array(F.collect_list("relative_error")).alias("r")).where(F.size("e") >= least)
-    kinds = [(m, c, conformal, scaled, level) for m, c, conformal, scaled in (("plain", "e", False, False), ("conformal", "e", True, False), ("scaled", "r", False, True), ("scaled_conformal", "r", True, True)) for level in levels]
-    # a dozen pairs of quantiles meet the rows, not the arrays; there is a row per origin and group
-    pairs = sets.select(*by, "at", *[quantile_pair(F.col(c), level, conformal).alias(f"q{i}") for i, (_, c, conformal, _, level) in enumerate(kinds)])
-    rows = residuals.withColumnRenamed("origin", "at").join(F.broadcast(pairs), [*by, "at"])
+    k = list(by)
+    rows = stored(residuals.select(*k, "origin", "target", "prediction", "actual", "level", "error", "relative_error"))
+    order = rows.groupBy(*k, "origin").agg(F.count("*").alias("rows")).withColumn("nth", F.row_number().over(Window.partitionBy(*k).orderBy("origin")))
+    kinds = [(method, what, conformal, level) for method, what, conformal in (("plain", "e", False), ("conformal", "e", True), ("scaled", "r", False), ("scaled_conformal", "r", True)) for level in levels]
+    forms = [(conformal, level) for conformal in (False, True) for level in levels]
+    what = F.explode(F.array(F.struct(F.lit("e").alias("what"), _whole(F.col("error"), 6).alias("v")), F.struct(F.lit("r").alias("what"), _whole(F.col("relative_error"), 9).alias("v")))).alias("x")
+    values = rows.select(*k, F.col("target").alias("day"), what).select(*k, "x.what", "day", "x.v")
+    now = order.where(F.col("nth") > skip).select(*k, F.col("origin").alias("at"), F.explode(F.array(F.lit("e"), F.lit("r"))).alias("what"))
+    q = known_by(values, now, lambda n: [p for conformal, level in forms for p in _picks(n, level, conformal)], (*by, "what"), least)
+    place = lambda conformal, level: 2 * forms.index((conformal, level))
+    one = lambda w, i: F.max(F.when((F.col("what") == w) & (F.col("i") == i), F.col("v"))) / (1e6 if w == "e" else 1e9)
+    # a dozen pairs of quantiles meet the rows; there is a row per origin and group
+    pairs = q.groupBy(*k, "at").agg(*[one(w, place(conformal, level) + side).alias(f"{n}{i}") for i, (_, w, conformal, level) in enumerate(kinds) for side, n in enumerate(("lo", "hi"))]).where("lo0 is not null")
+    judged = rows.withColumnRenamed("origin", "at").join(F.broadcast(pairs), [*k, "at"])
     cases = []
-    for i, (method, _, _, scaled, level) in enumerate(kinds):
-        lo, hi = bounds(F.col("prediction"), F.col(f"q{i}.lo"), F.col(f"q{i}.hi"), F.col("level") if scaled else None)
+    for i, (method, w, _, level) in enumerate(kinds):
+        lo, hi = bounds(F.col("prediction"), F.col(f"lo{i}"), F.col(f"hi{i}"), F.col("level") if w == "r" else None)
         cases.append(F.struct(F.lit(method).alias("method"), F.lit(level).alias("nominal"), ((F.col("actual") >= lo - 1e-9) & (F.col("actual") <= hi + 1e-9)).alias("inside"), (hi - lo).alias("width")))
-    long = rows.select(*by, F.explode(F.array(*cases)).alias("c")).select(*by, "c.*")
+    long = judged.select(*k, F.explode(F.array(*cases)).alias("c")).select(*k, "c.*")
     return long.groupBy("model", "method", "nominal").agg(F.count("*").alias("n"), F.count_if("inside").alias("inside"), F.round(F.percentile("width", 0.5), 4).alias("median_width"))
 
 

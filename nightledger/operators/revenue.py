@@ -25,11 +25,46 @@ def as_of_table(spark: SparkSession, *dates: dt.date) -> DataFrame:
 
 
 def book(nights: DataFrame, as_ofs: DataFrame, horizon: int = MAX_HORIZON) -> DataFrame:
-    """(as_of, property_key, stay_date, days_out, nights_on_books, revenue_paise) within the horizon."""
-    d = F.col("as_of")
-    held = nights.join(F.broadcast(as_ofs), (F.col("entered_on") <= d) & (F.col("stay_date") > d) & (F.datediff("stay_date", d) <= horizon) & (F.col("left_on").isNull() | (F.col("left_on") > d)))
-    by = held.groupBy("as_of", "property_key", "stay_date").agg(F.count("*").alias("nights_on_books"), F.sum("night_paise").alias("revenue_paise"))
-    return by.withColumn("days_out", F.datediff("stay_date", "as_of"))
+    """(as_of, property_key, stay_date, days_out, nights_on_books, revenue_paise) within the horizon.
+
+    One sweep over the days on which nights of a stay date were entered and left,
+    added up by property, stay date and day first; running sums are read off at
+    the decision dates, so nights do not meet each of them.
+    """
+    reach = as_ofs.select("as_of").distinct().select("as_of", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("days_out")).select("as_of", F.expr("date_add(as_of, days_out)").alias("stay_date"))
+    first, end = F.greatest("entered_on", F.date_sub("stay_date", horizon)), F.least(F.coalesce("left_on", "stay_date"), "stay_date")
+    event = F.explode(F.array(F.struct(first.alias("d"), F.lit(1).alias("n")), F.struct(end.alias("d"), F.lit(-1).alias("n")))).alias("e")
+    near = nights.join(F.broadcast(reach.select("stay_date").distinct()), "stay_date", "left_semi")  # dates
+    e = near.where(first < end).select("property_key", "stay_date", "night_paise", event)
+    days = e.groupBy("property_key", "stay_date", F.col("e.d").alias("as_of")).agg(F.sum("e.n").alias("n"), F.sum(F.col("e.n") * F.col("night_paise")).alias("paise")).withColumn("asked", F.lit(False))
+    asked = days.select("property_key", "stay_date").distinct().join(F.broadcast(reach), "stay_date").select("property_key", "stay_date", "as_of", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("paise"), F.lit(True).alias("asked"))
+    upto = Window.partitionBy("property_key", "stay_date").orderBy("as_of").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = days.unionByName(asked).withColumn("nights_on_books", F.sum("n").over(upto)).withColumn("revenue_paise", F.sum("paise").over(upto))
+    return swept.where("asked and nights_on_books > 0").select("as_of", "property_key", "stay_date", "nights_on_books", "revenue_paise", F.datediff("stay_date", "as_of").alias("days_out"))
+
+
+def holiday_effects_known(kpi_calendar: DataFrame, as_ofs: DataFrame, half_window: int = 56) -> DataFrame:
+    """(as_of, holiday, n, twice_effect_bp): observations before each decision date and the sum of twice their effects.
+
+    A date whose window of ``half_window`` days ends before a decision date has
+    one baseline for all later ones: those are found once and summed as they
+    become known. Only the dates whose window a decision date cuts are taken
+    anew for it, from the two windows before it.
+    """
+    from .calendar_fx import paired_observations
+
+    twice = (2 * (F.col("occupancy_bp") - F.col("baseline_bp"))).cast("long")
+    whole = paired_observations(kpi_calendar, half_window=half_window)
+    known = whole.groupBy("holiday", F.date_add("stay_date", half_window + 1).alias("as_of")).agg(F.count("*").alias("n"), F.sum(twice).alias("twice_effect_bp")).withColumn("asked", F.lit(False))
+    zero = F.lit(0).cast("long")
+    asked = known.select("holiday").distinct().crossJoin(F.broadcast(as_ofs.select("as_of").distinct())).select("holiday", "as_of", zero.alias("n"), zero.alias("twice_effect_bp"), F.lit(True).alias("asked"))
+    upto = Window.partitionBy("holiday").orderBy("as_of").rangeBetween(Window.unboundedPreceding, Window.currentRow)  # a row a holiday and date
+    swept = known.unionByName(asked).select("as_of", "holiday", "asked", F.sum("n").over(upto).alias("n"), F.sum("twice_effect_bp").over(upto).alias("twice_effect_bp")).where("asked").drop("asked")
+    days = as_ofs.select("as_of").distinct().select("as_of", F.explode(F.sequence(F.lit(1), F.lit(2 * half_window))).alias("ago")).select("as_of", F.expr("date_sub(as_of, ago)").alias("stay_date"))
+    cut = paired_observations(kpi_calendar.join(F.broadcast(days), "stay_date"), half_window=half_window, keys=("as_of",)).where(F.datediff("as_of", "stay_date") <= half_window)
+    edge = cut.groupBy("as_of", "holiday").agg(F.count("*").alias("n"), F.sum(twice).alias("twice_effect_bp"))
+    both = swept.unionByName(edge).groupBy("as_of", "holiday").agg(F.sum("n").alias("n"), F.sum("twice_effect_bp").alias("twice_effect_bp"))
+    return both.where("n > 0")
 
 
 def pickup(nights: DataFrame, as_of: dt.date, lookback: int = 14) -> DataFrame:
@@ -165,8 +200,6 @@ def reconstruct(nights: DataFrame, unit_nights: DataFrame, calendar: DataFrame,
     weekdays, and pace with the expected final book. Nothing is read that was
     entered, cancelled or stayed after ``as_of``.
     """
-    from .calendar_fx import paired_observations
-
     day, at = F.col("stay_date"), F.broadcast(as_ofs)
     gap = F.datediff("stay_date", "as_of")
 
@@ -183,8 +216,7 @@ def reconstruct(nights: DataFrame, unit_nights: DataFrame, calendar: DataFrame,
     days = unit_nights.groupBy("property_key", "stay_date").agg(F.count_if("is_occupied").alias("sold"), F.count_if("is_sellable").alias("available"), F.sum("revenue_paise").alias("revenue_paise"))
     past = days.join(at, (day <= F.col("as_of")) & (gap > -back)).groupBy("as_of", "property_key").agg(*[F.sum(c).alias(c) for c in ("sold", "available", "revenue_paise")])
     near = context.where("is_holiday_adjacent").select(F.col("full_date").alias("stay_date"), "nearest_holiday", "days_to_holiday").join(at, (gap > 0) & (gap <= ahead))
-    pairs = paired_observations(kpi_calendar.join(at, day < F.col("as_of")), keys=("as_of",))
-    effects = pairs.groupBy("as_of", "holiday").agg(F.count("*").alias("n"), F.sum((2 * (F.col("occupancy_bp") - F.col("baseline_bp"))).cast("long")).alias("twice_effect_bp"))
+    effects = holiday_effects_known(kpi_calendar, as_ofs)
     same = comparables(calendar, as_ofs, 4).join(days, ["property_key", "stay_date"]).groupBy("as_of", "property_key", "dow").agg(F.sum("sold").alias("sold"))
     judged = pace(nights, calendar, as_ofs)
     expected = judged.withColumn("dow", iso_dow(day)).join(final_book_benchmark(nights, calendar, as_ofs).select("as_of", "property_key", "dow", "expected_final"), ["as_of", "property_key", "dow"])

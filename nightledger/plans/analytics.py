@@ -19,15 +19,18 @@ LAST = f"(SELECT least(max(stay_date), DATE '{END}') FROM booking_night WHERE st
 
 
 def last_date(m) -> dt.date:
-    return min(END, demand(m).where("status not in ('cancelled', 'no_show')").agg(F.max("stay_date")).first()[0])
+    """Found once a model."""
+    if not hasattr(m, "last_night"):
+        m.last_night = min(END, demand(m).where("status not in ('cancelled', 'no_show')").agg(F.max("stay_date")).first()[0])
+    return m.last_night
 
 
 def actuals(m):
     return forecast.daily_actuals(unit_nights(m))
 
 
-def otb(m):
-    return forecast.otb_matrix(demand(m), calendar(m), 30)
+def otb(m, first=None, last=None):
+    return forecast.otb_matrix(demand(m), calendar(m), 30, first, last)
 
 
 def pairs(m, as_of=None):
@@ -36,7 +39,9 @@ def pairs(m, as_of=None):
 
 def predictions(m, days: int = 120):
     last = last_date(m)
-    return forecast.forecasts(actuals(m), otb(m), forecast.origin_dates(m.spark, last, days), 30, calendar_fx.holiday_multiplier(pairs(m, last - dt.timedelta(days))), context(m))
+    # the calendar has every date, so the last eight of a weekday lie within nine weeks of an origin
+    books = otb(m, last - dt.timedelta(days + 63), last + dt.timedelta(30))
+    return forecast.forecasts(actuals(m), books, forecast.origin_dates(m.spark, last, days), 30, calendar_fx.holiday_multiplier(pairs(m, last - dt.timedelta(days))), context(m))
 
 
 def rows(m, days: int = 120):
@@ -147,7 +152,7 @@ _W3 = """SELECT member, round(p0, 4) AS before, round(p1, 4) AS after, round((w1
  FROM (SELECT *, a0 / sum(a0) OVER () AS w0, a1 / sum(a1) OVER () AS w1, coalesce(r0 / nullif(a0, 0), 0) AS p0, coalesce(r1 / nullif(a1, 0), 0) AS p1 FROM ({}))"""
 QUERIES = {
     "f1_daily_actuals": (lambda m: forecast.daily_actuals(unit_nights(m)), sql("SELECT property_key, stay_date, count(*) FILTER (is_occupied) AS occupied, count(*) FILTER (is_sellable) AS sellable FROM unit_night GROUP BY ALL", "unit_night")),
-    "f2_otb_matrix": (otb, _bt("SELECT property_key, stay_date, days_out, on_books FROM books")),
+    "f2_otb_matrix": (lambda m: otb(m), _bt("SELECT property_key, stay_date, days_out, on_books FROM books")),
     "f3_f8_predictions": (predictions, _bt("SELECT * FROM preds")),
     "f9_backtest": (rows, _bt("SELECT * FROM bt")),
     "f10_scores": (lambda m: forecast.score(rows(m)), _bt(f"SELECT model, horizon, {_SCORE} FROM bt GROUP BY ALL")),
@@ -162,7 +167,7 @@ QUERIES = {
         _bt(f"SELECT CASE WHEN horizon <= 3 THEN '1-3' WHEN horizon <= 7 THEN '4-7' WHEN horizon <= 14 THEN '8-14' ELSE '15-30' END AS band, {_SCORE} FROM bt WHERE model = 'pickup' GROUP BY 1"),
     ),
     "f14_forward": (
-        lambda m: forecast.forward(actuals(m), otb(m), m.spark.createDataFrame([(last_date(m) - dt.timedelta(30),)], "origin date"), "dow_moving_average").select("property_key", "target", "prediction", "occupancy_pct"),
+        lambda m: forecast.forward(actuals(m), otb(m, last_date(m) - dt.timedelta(30 + 63), last_date(m)), m.spark.createDataFrame([(last_date(m) - dt.timedelta(30),)], "origin date"), "dow_moving_average").select("property_key", "target", "prediction", "occupancy_pct"),
         sql(f"""SELECT a.property_key, t.target, round(p, 6) AS prediction, round(100 * round(p, 6) / nullif(cap, 0), 4) AS occupancy_pct FROM (SELECT {LAST} - 30 + CAST(h AS INT) AS target FROM range(1, 31) x(h)) t JOIN (SELECT property_key, isodow(stay_date) AS dow, CAST(sum(y) AS BIGINT) / count(*) AS p, CAST(sum(c) AS BIGINT) / count(*) AS cap
         FROM (SELECT *, row_number() OVER (PARTITION BY property_key, isodow(stay_date) ORDER BY stay_date DESC) AS r FROM (SELECT property_key, stay_date, count(*) FILTER (is_occupied) AS y, count(*) FILTER (is_sellable) AS c FROM unit_night WHERE stay_date <= {LAST} - 30 GROUP BY ALL)) WHERE r <= 4 GROUP BY ALL) a ON a.dow = isodow(t.target)""", "unit_night"),
     ),

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -29,3 +29,10 @@ def scratch(spark: SparkSession) -> str:
     if not base and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base}/scratch-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to a scratch folder and read again: for a dear plan that several branches read."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(f"{path}/rows")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
