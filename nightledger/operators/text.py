@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.money import rounded_div
+
 
 @dataclass(frozen=True)
 class Lexicon:
@@ -75,6 +77,16 @@ def score_aspects(pred: DataFrame, gold: DataFrame, by: str | None = None, with_
     return s.select("*", F.round(pr, 6).alias("precision"), F.round(rc, 6).alias("recall"), F.round(2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0)), 6).alias("f1"))
 
 
+def macro_scores(pred: DataFrame, gold: DataFrame, reviews: DataFrame, by: str) -> DataFrame:
+    """By a column of the reviews: TP, FP, FN and the plain mean of the categories' F1 (six places each), so a rare category counts as much as a common one."""
+    keys = ["review_id", "category", "polarity"]
+    j = pred.select(*keys).distinct().withColumn("p", F.lit(1)).join(gold.select(*keys).distinct().withColumn("g", F.lit(1)), keys, "full_outer").join(reviews.select("review_id", by), "review_id")
+    p, g = F.col("p").isNotNull(), F.col("g").isNotNull()
+    c = j.groupBy(by, "category").agg(F.count_if(p & g).alias("tp"), F.count_if(~g).alias("fp"), F.count_if(~p).alias("fn"))
+    f1 = rounded_div(2_000_000 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
+    return c.groupBy(by).agg(F.count("*").alias("categories"), *[F.sum(x).alias(x) for x in ("tp", "fp", "fn")], (rounded_div(F.sum(f1), F.count("*")) / 1e6).alias("macro_f1"))
+
+
 def polarity_confusion(pred: DataFrame, gold: DataFrame) -> DataFrame:
     """Matched aspects by gold and predicted polarity."""
     k = ["review_id", "category"]

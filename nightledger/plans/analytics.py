@@ -26,7 +26,10 @@ def last_date(m) -> dt.date:
 
 
 def actuals(m):
-    return forecast.daily_actuals(unit_nights(m))
+    """A row a property and date; one plan a model, as each feature of the backtest reads it."""
+    if not hasattr(m, "daily_actuals"):
+        m.daily_actuals = forecast.daily_actuals(unit_nights(m))
+    return m.daily_actuals
 
 
 def otb(m, first=None, last=None):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.adapter import Model
 
-MODULES = ("layer", "kpis", "dq", "revenue", "analytics", "queue", "others", "risks", "changes", "sketches")
+MODULES = ("layer", "kpis", "dq", "revenue", "analytics", "queue", "others", "risks", "changes", "sketches", "details")
 
 
 def _all() -> dict[str, tuple]:
