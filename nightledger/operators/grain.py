@@ -42,7 +42,8 @@ def unit_nights(units: DataFrame, bookings: DataFrame, start: dt.date, end: dt.d
     nights. An out-of-order night is not sellable and takes no booking.
     ``out_of_order`` is a condition on unit_key and stay_date. The placement is an
     aggregate (min of a struct), so it combines map-side, and the grid joins on
-    the same key.
+    the same key. The grid is hinted away from a broadcast: Spark reckons an
+    exploded row as one, so it takes the grid for as small as ``units``.
     """
     live = bookings.where(~F.col("status").isin(*GONE))
     last = F.when(F.col("nights") > 0, F.date_sub("check_out_date", 1)).otherwise(F.col("check_in_date"))
@@ -55,7 +56,7 @@ def unit_nights(units: DataFrame, bookings: DataFrame, start: dt.date, end: dt.d
     grid = units.select("unit_key", "property_key").withColumn("stay_date", F.explode(F.sequence(F.lit(start), F.lit(end))))
     ooo = F.coalesce(out_of_order, F.lit(False)) if out_of_order is not None else F.lit(False)
     grid = grid.withColumn("is_out_of_order", ooo)
-    n = grid.join(placed, ["unit_key", "stay_date"], "left")
+    n = grid.hint("merge").join(placed, ["unit_key", "stay_date"], "left")
     free = ~F.col("is_out_of_order")
     keep = lambda c: F.when(free, F.col(f"b.{c}"))
     return n.select(

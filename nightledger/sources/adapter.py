@@ -50,7 +50,7 @@ class Model:
 
     def bookings(self) -> DataFrame:
         customer = self.raw("customer").select("c_custkey", "c_nationkey").join(F.broadcast(self.raw("nation").select("n_nationkey", "n_regionkey")), F.col("c_nationkey") == F.col("n_nationkey"))
-        o = self.raw("orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        o = self.raw("orders").hint("merge").join(customer, F.col("o_custkey") == F.col("c_custkey"))  # a query of many branches would hold orders on the driver once a branch
         u = _k(7919) % 1000
         lead = int_div(u * u * u, 16666667).cast("int")
         booked = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(secs=(_k(104729) % 86400).cast("decimal(18,6)"))

@@ -57,6 +57,14 @@ def test_first_booking_wins_a_unit_night_and_out_of_order_suppresses(spark):
     assert values(n.orderBy("stay_date"), "booking_key", "is_sellable", "revenue_paise") == [(None, True, 0), (None, False, 0), (1, True, 15000), (2, True, 15000), (None, True, 0)]
 
 
+def test_grid_is_never_broadcast(spark, model):
+    """Where only occupied nights are asked for, the outer join becomes an inner one, and few units make a large grid."""
+    occupied = grain.unit_nights(model.units(), model.bookings(), START, END).where("is_occupied").groupBy("channel_code").count()
+    occupied.collect()
+    plan = occupied._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [unit_key" in plan and "BroadcastHashJoin [unit_key" not in plan
+
+
 def test_on_the_books_is_bitemporal(spark):
     b = booking(spark, (1, D(2026, 1, 1), D(2026, 2, 1), D(2026, 2, 2), D(2026, 1, 10), "cancelled"), (2, D(2026, 1, 9), D(2026, 2, 1), D(2026, 2, 2), None, "checked_out"))
     n = grain.booking_nights(b)
