@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import int_div, rounded_div
+from ..functions.money import rounded_div
 
 
 def arrivals(survival: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -82,7 +82,8 @@ def apply_levers(positions: DataFrame, levers: DataFrame) -> DataFrame:
     sold = F.when(F.col("d_occ") == 0, held).otherwise(rounded_div(rooms * occ, 10000))
     adr = rounded_div(rounded_div(F.col("revenue_paise"), F.col("sold")) * (10000 + F.col("d_adr")), 10000)
     p = p.withColumn("new_available", rooms).withColumn("new_sold", sold).withColumn("new_adr_paise", adr).withColumn("new_revenue_paise", F.col("new_adr_paise") * F.col("new_sold"))
-    p = p.withColumn("new_commission_paise", int_div(F.col("new_revenue_paise") * F.col("commission_paise"), F.greatest("revenue_paise", F.lit(1))))
+    wide = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731  # the product of two sums of money is beyond a long
+    p = p.withColumn("new_commission_paise", F.call_function("div", wide("new_revenue_paise") * wide("commission_paise"), F.greatest("revenue_paise", F.lit(1)).cast("decimal(19,0)")))
     old_adr = rounded_div(F.col("revenue_paise"), F.col("sold"))
     twice_rate, twice_volume = (F.col("new_adr_paise") - old_adr) * (F.col("sold") + F.col("new_sold")), (F.col("new_sold") - F.col("sold")) * (old_adr + F.col("new_adr_paise"))
     return p.withColumn("twice_rate_effect", twice_rate).withColumn("twice_volume_effect", twice_volume).drop("d_occ", "d_adr", "d_cap")

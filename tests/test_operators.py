@@ -65,6 +65,12 @@ def test_grid_is_never_broadcast(spark, model):
     assert "SortMergeJoin [unit_key" in plan and "BroadcastHashJoin [unit_key" not in plan
 
 
+def test_levers_on_sums_whose_product_is_beyond_a_long(spark):
+    p = spark.createDataFrame([(100_000, 80_000, 20_000_000_000, 3_000_000_000)], "available long, sold long, revenue_paise long, commission_paise long")
+    rows = scenario.apply_levers(p, scenario.sensitivity_levers(spark)).collect()
+    assert len(rows) == 18 and all(r["new_commission_paise"] == r["new_revenue_paise"] * 3_000_000_000 // 20_000_000_000 for r in rows)
+
+
 def test_on_the_books_is_bitemporal(spark):
     b = booking(spark, (1, D(2026, 1, 1), D(2026, 2, 1), D(2026, 2, 2), D(2026, 1, 10), "cancelled"), (2, D(2026, 1, 9), D(2026, 2, 1), D(2026, 2, 2), None, "checked_out"))
     n = grain.booking_nights(b)
