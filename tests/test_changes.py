@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from nightledger.operators import logit
+from nightledger.plans import changes
+from nightledger.sources.adapter import Model
 from nightledger.sources.keyed import KeyedTable, RunHistory
 from nightledger.streaming import feeds, silence
 
@@ -82,6 +84,14 @@ def test_a_broken_batch_resumes_without_loss_or_doubles(spark, tmp_path):
     assert feeds.run_batches(stream(), f"{tmp_path}/out", f"{tmp_path}/offsets")[0].count() == 5
 
 
+def test_a_slice_is_one_batch_and_no_single_task(spark, sf_dir):
+    slices = spark.range(0, 1000, 1, 4).select("id", (F.col("id") % 2).cast("int").alias("slice"))
+    out, progress = changes.streamed(Model(spark, sf_dir), slices, lambda s: s.select("id", F.input_file_name().alias("file")))
+    assert sorted(r["id"] for r in out.collect()) == list(range(1000))
+    assert [p["numInputRows"] for p in progress if p["numInputRows"]] == [500, 500]
+    assert out.select("file").distinct().count() > 2
+
+
 def test_silence_is_told_by_timers(spark, tmp_path):
     """Channel a goes silent for good, b for five days; late rows of closed days count for nothing."""
     noon = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(d, 6 * 3600)
