@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import anomaly, calendar_fx, forecast, kpi, rootcause, views
 from ..operators.revenue import band_of
+from ..session import stored
 from .base import bp, rdiv, sql
 from ..sources.adapter import END
 from .layer import RATES, books_sql, context, daily, demand, unit_nights
@@ -25,11 +26,16 @@ def last_date(m) -> dt.date:
     return m.last_night
 
 
+def nightly(m):
+    """The daily KPI, a row a property and date: written once a model, as each feature of the backtest reads it."""
+    if not hasattr(m, "stored_daily"):
+        m.stored_daily = stored(daily(m))
+    return m.stored_daily
+
+
 def actuals(m):
-    """A row a property and date; one plan a model, as each feature of the backtest reads it."""
-    if not hasattr(m, "daily_actuals"):
-        m.daily_actuals = forecast.daily_actuals(unit_nights(m))
-    return m.daily_actuals
+    """Occupied and sellable unit-nights of the stored days."""
+    return nightly(m).select("property_key", "stay_date", F.col("sold").alias("occupied"), F.col("available").alias("sellable"))
 
 
 def otb(m, first=None, last=None):
@@ -37,14 +43,22 @@ def otb(m, first=None, last=None):
 
 
 def pairs(m, as_of=None):
-    return calendar_fx.paired_observations(views.daily_kpi_calendar(daily(m), context(m)), as_of)
+    return calendar_fx.paired_observations(views.daily_kpi_calendar(daily(m) if as_of is None else nightly(m), context(m)), as_of)
+
+
+def books(m, days: int):
+    """The on-the-books matrix of a backtest, written once a model: a row a property, date and horizon."""
+    if not hasattr(m, "stored_books"):
+        m.stored_books = {}
+    if days not in m.stored_books:
+        # the calendar has every date, so the last eight of a weekday lie within nine weeks of an origin
+        m.stored_books[days] = stored(otb(m, last_date(m) - dt.timedelta(days + 63), last_date(m) + dt.timedelta(30)))
+    return m.stored_books[days]
 
 
 def predictions(m, days: int = 120):
     last = last_date(m)
-    # the calendar has every date, so the last eight of a weekday lie within nine weeks of an origin
-    books = otb(m, last - dt.timedelta(days + 63), last + dt.timedelta(30))
-    return forecast.forecasts(actuals(m), books, forecast.origin_dates(m.spark, last, days), 30, calendar_fx.holiday_multiplier(pairs(m, last - dt.timedelta(days))), context(m))
+    return forecast.forecasts(actuals(m), books(m, days), forecast.origin_dates(m.spark, last, days), 30, calendar_fx.holiday_multiplier(pairs(m, last - dt.timedelta(days))), context(m))
 
 
 def rows(m, days: int = 120):

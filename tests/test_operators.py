@@ -247,3 +247,11 @@ def test_decision_inputs_do_not_see_the_future(spark, model):
     given = [(nights, units, kpi), (past, units.where(F.col("stay_date") <= day), kpi.where(F.col("stay_date") < day))]
     seen = [revenue.fingerprint(revenue.reconstruct(n, u, calendar(m), k, layer.context(m), revenue.as_of_table(spark, day))).first() for n, u, k in given]
     assert seen[0] == seen[1] and seen[0]["n"] > 50
+
+
+def test_backtest_reads_the_bookings_once(spark, sf_dir):
+    """Its features come from the stored days and books, so the plan that joins them has no scan of orders (it had one a feature)."""
+    from nightledger.plans.analytics import QUERIES
+
+    df = QUERIES["i5_forward_intervals"][0](Model(spark, sf_dir))
+    assert "o_orderkey" not in df._jdf.queryExecution().optimizedPlan().toString() and df.count() == 150
