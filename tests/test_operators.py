@@ -255,3 +255,14 @@ def test_backtest_reads_the_bookings_once(spark, sf_dir):
 
     df = QUERIES["i5_forward_intervals"][0](Model(spark, sf_dir))
     assert "o_orderkey" not in df._jdf.queryExecution().optimizedPlan().toString() and df.count() == 150
+
+
+def test_queries_on_occupied_nights_broadcast_no_grid(spark, sf_dir):
+    """The join of the grid with its bookings is the one on unit_key and stay_date."""
+    from nightledger.plans import registry
+
+    queries = registry.queries()
+    for name in ("k24_tax_exposure", "k3_channel_revenue", "k22_night_drift", "a4_channel_economics", "d11_enriched_nights", "m9_channel_mix", "r8_data_horizon", "v11_microstay_impact", "v12_grain_reconciliation", "z3_shift_mix", "q_rules"):
+        plan = queries[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join [unit_key" in line and "stay_date" in line]
+        assert joins and not [j for j in joins if "Broadcast" in j], name
