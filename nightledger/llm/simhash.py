@@ -37,8 +37,12 @@ def simhash(words: list[bytes], size: int) -> int:
         shingles = iter([b" ".join(words)])
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), "<u8", n)
-    ones = np.zeros(64, np.int64)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), "<u8", n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have, as a signed 64-bit integer."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 14):  # bounded whatever the text's length
         ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little", signed=True)
@@ -101,17 +105,20 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFr
 
     The checkpointed fingerprints are read several times, the texts once.
     """
-    prints = saved(fingerprints(docs, size))
+    return linked(saved(fingerprints(docs, size)), distance)
+
+
+def linked(prints: DataFrame, distance: int = 2) -> DataFrame:
+    """doc_id, fp and component_id of given fingerprints (doc_id, fp)."""
     classes = prints.select("fp").distinct()
-    linked = components(close_pairs(classes, distance))
+    found = components(close_pairs(classes, distance))
     counted = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    rooted = counted.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "least", F.coalesce("component", "fp").alias("root"))
+    rooted = counted.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "least", F.coalesce("component", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     roots = join_labels(rooted.withColumnRenamed("n", "rows"), least, "root", classes.count()).select("fp", F.col("rows").alias("n"), "component_id")
     return join_labels(prints, roots, "fp", prints.count()).select("doc_id", "fp", "component_id")
 
 
-
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     """The sorted distinct hashes of a word list's shingles; a list of at most ``size`` words is one shingle."""
     if len(words) <= size:
@@ -163,7 +170,7 @@ def sketch(hashes: np.ndarray) -> bytes:
 
 
 def _prefixes(docs: DataFrame, size: int, part: Fraction, frequent) -> DataFrame:
-    """(doc_id, class, size, sketch, prefix): a digest of the shingle set, its size, and its first hashes, rarest first.
+    """(doc_id, class, size, fp, sketch, prefix): a digest of the shingle set, its size, fingerprint, and its first hashes, rarest first.
 
     Two sets of a Jaccard similarity of at least ``part`` have a common hash in their prefixes.
     """
@@ -176,20 +183,21 @@ def _prefixes(docs: DataFrame, size: int, part: Fraction, frequent) -> DataFrame
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
-                digests, sizes, sketches, prefixes = [], [], [], []
+                digests, sizes, fps, sketches, prefixes = [], [], [], [], []
                 for text in raw_texts(batch):
                     hashes = shingle_hashes(text.lower().split(), size)
                     digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                     sizes.append(len(hashes))
+                    fps.append(majority(hashes))
                     sketches.append(sketch(hashes))
                     if len(known):
                         at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
                         hashes = hashes[np.argsort(np.where(known[at] == hashes, counts[at], 0), kind="stable")]
                     prefixes.append(hashes[: len(hashes) - -(-len(hashes) * part.numerator // part.denominator) + 1].view("<i8"))
-                arrays = [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "class", "size", "sketch", "prefix"])
+                arrays = [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "class", "size", "fp", "sketch", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, class binary, size int, sketch binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, class binary, size int, fp long, sketch binary, prefix array<long>")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, part: Fraction) -> DataFrame:
@@ -252,23 +260,31 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, share: Fraction) ->
 def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, most: int = 8, hubs: int = 2) -> DataFrame:
     """(doc_id, component_id) over all links of a Jaccard similarity of at least ``similarity``.
 
-    Texts are compared by the hashes of their distinct word shingles, exactly:
-    candidates come from a prefix filter and each is verified on the whole sets.
-    Copies are one class first. A hash in the prefixes of at most ``most``
-    classes joins all of them. Where more share one, they are compared with
-    ``hubs`` members first, which makes one component of a group of near copies;
-    then all pairs of a key that are in different components still are compared,
-    so no link that matters is left out and a group gives no square of pairs.
-    Shares of sizes and positions in the prefix rule pairs out beforehand.
+    Texts are compared by the hashes of their distinct word shingles, exactly,
+    and copies are one class first. SimHash fingerprints of the sets, joined by
+    pigeonhole blocks and verified by Hamming distance, group the nearest copies;
+    each is verified against the first of its group on the whole sets. Pairs near
+    the threshold differ in more bits than any blocks could bear, so the rest is
+    found exactly: candidates between the components so far come from a prefix
+    filter and each is verified likewise. A hash in the prefixes of at most
+    ``most`` classes joins all of them. Where more share one, they are compared
+    with ``hubs`` members first, which makes one component of a group of near
+    copies; then all pairs of a key that are in different components still are
+    compared, so no link that matters is left out and a group gives no square of
+    pairs. Shares of sizes and positions in the prefix rule pairs out beforehand.
     """
     part = Fraction(similarity).limit_denominator(1000)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = saved(_prefixes(docs, size, part, docs.sparkSession.sparkContext.broadcast(_frequent(docs, size))))
     everything = prints.count()
-    classes = prints.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")).where("rep is not null")
+    classes = prints.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")).where("rep is not null")
+    alike = linked(saved(classes.select(F.col("rep").alias("doc_id"), "fp"))).where("doc_id <> component_id")
+    first = saved(_verified(saved(alike.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))), docs, size, part))
+    grouped = first.select(F.col("b").alias("rep"), F.col("a").alias("group"))
+    grouped = F.broadcast(grouped) if first.count() <= FEW else grouped
     # one exchange of the keys; a window holds a key's rows spillably, and the crowded keys are joined by hot ones below
     keyed = classes.select("rep", "size", F.posexplode("prefix").alias("at", "key")).withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    keyed = saved(keyed.where("n > 1"))
+    keyed = saved(keyed.where("n > 1").join(grouped, "rep", "left").withColumn("group", F.coalesce("group", "rep")))
     small, large = keyed.where(F.col("n") <= most), keyed.where(F.col("n") > most)
 
     def sides(x, y):
@@ -281,17 +297,18 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, m
 
     ends = [F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")]
     left, right = sides(small, small)
-    pairs = left.join(right, "key").where((F.col("rep_a") < F.col("rep_b")) & may_be()).select(*ends)
+    pairs = left.join(right, "key").where((F.col("rep_a") < F.col("rep_b")) & (F.col("group_a") != F.col("group_b")) & may_be()).select(*ends)
     crowd = large.count()
-    hub = large.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(hubs)).alias("of")).agg(F.min(F.struct("rep", "size", "at")).alias("hub"), F.count("*").alias("n"))
+    hub = large.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(hubs)).alias("of")).agg(F.min(F.struct("rep", "size", "at", "group")).alias("hub"), F.count("*").alias("n"))
     chosen = hub.groupBy("key").agg(F.collect_list("hub").alias("hubs"), F.sum("n").alias("n"))  # at most ``hubs`` of them
-    starred = join_labels(large.select("key", F.col("rep").alias("rep_b"), F.col("size").alias("size_b"), F.col("at").alias("at_b")), chosen, "key", crowd)
-    starred = starred.select("*", F.explode("hubs").alias("h")).select(F.col("h.rep").alias("rep_a"), F.col("h.size").alias("size_a"), F.col("h.at").alias("at_a"), "rep_b", "size_b", "at_b")
-    starred = starred.where((F.col("rep_a") != F.col("rep_b")) & may_be()).select(*ends)
-    found = saved(components(_verified(saved(_likely(pairs.unionByName(starred).distinct(), classes, part)), docs, size, part)))
+    starred = join_labels(large.select("key", F.col("rep").alias("rep_b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"), F.col("group").alias("group_b")), chosen, "key", crowd)
+    starred = starred.select("*", F.explode("hubs").alias("h")).select(F.col("h.rep").alias("rep_a"), F.col("h.size").alias("size_a"), F.col("h.at").alias("at_a"), F.col("h.group").alias("group_a"), "rep_b", "size_b", "at_b", "group_b")
+    starred = starred.where((F.col("group_a") != F.col("group_b")) & may_be()).select(*ends)
+    verified = _verified(saved(_likely(pairs.unionByName(starred).distinct(), classes, part)), docs, size, part)
+    found = saved(components(verified.unionByName(first)))
 
     # what is left of the crowded keys: pairs across components, the larger keys dealt over several tasks
-    held = large.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    held = large.drop("group").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     apart = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n", "lo")
     held = saved(join_labels(held, apart, "key", crowd).drop("lo"))
     salts = F.ceil(F.col("n") / 512).cast("int")

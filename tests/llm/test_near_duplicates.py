@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from nightledger.llm import simhash
 
@@ -76,3 +77,20 @@ def test_crowded_keys_lose_no_link(spark, most):
 def test_small_table(spark, sf_dir):
     data = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert components(spark, data) == brute(data)
+
+
+def test_fingerprints_link_the_nearest_copies(spark, monkeypatch):
+    """Copies within two bits need no candidate of the prefix filter; what is grouped and unlike is not linked."""
+    rnd, data = random.Random(8), []
+    for i in range(20):
+        words = fresh(rnd, 2000)
+        data += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-1]))]
+    prints = [simhash.majority(simhash.shingle_hashes(t.encode().split(), 5)) for _, t in data]
+    close = {a: (prints[a] ^ prints[a + 1]) % 2**64 for a in range(0, 40, 2)}
+    close = {a for a, x in close.items() if x.bit_count() <= 2}
+    assert len(close) > 10
+    monkeypatch.setattr(simhash, "_likely", lambda pairs, *_: pairs.where("false"))
+    assert components(spark, data) == {d: d - d % 2 if d - d % 2 in close else d for d, _ in data}
+    # however they are grouped, only what is alike is linked
+    monkeypatch.setattr(simhash, "linked", lambda prints: prints.withColumn("component_id", F.lit(0).cast("long")))
+    assert components(spark, data[:4]) == {0: 0, 1: 0, 2: 2, 3: 3}
