@@ -15,15 +15,23 @@ from pyspark.sql import functions as F
 from nightledger.llm.common import crc_text, shared_folder, table
 from nightledger.session import ship
 
+#: An executor holds several Arrow batches at a time, outside its heap; texts differ much in length, so bytes bound them.
+BATCH_BYTES = 1 << 20
 #: Documents whose predicted language is less sure than this go, with those that have none.
 LEAST_SURE = 0.3
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ships the package, and bounds the session's Arrow batches (for good: a stage runs after its function has returned)."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a learned language, and sets lang to the prediction."""
     from nightledger.llm.language import fit, predict
 
-    ship(spark)
+    prepare(spark)
     model = fit(docs, crc_text(F.col("doc_id")) % 5 != 0)
     found = predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SURE))
     return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
@@ -33,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near copies (five-word shingles, similarity of 0.8)."""
     from nightledger.llm.simhash import one_of_each
 
-    ship(spark)
+    prepare(spark)
     return one_of_each(docs).select(*docs.columns)
 
 
@@ -41,6 +49,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Documents without a verified benchmark item."""
     from nightledger.llm.decontam import clean_documents
 
+    prepare(spark)
     return clean_documents(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
@@ -57,9 +66,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from nightledger.llm.packing import pack_documents
     from nightledger.llm.queries import vocabulary
 
-    ship(spark)
-    # fewer words than by default: workers still hold memory of the stages before
-    return pack_documents(docs, vocabulary(), keep=150_000)
+    prepare(spark)
+    # fewer words than by default, and for a task: workers hold memory of other stages, and other stages run in them later
+    return pack_documents(docs, vocabulary(), keep=150_000, forget=True)
 
 
 STAGES = [

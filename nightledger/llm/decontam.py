@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts, saved, without
+from .common import giving_back, raw_texts, saved, without
 
 _PLAIN = bytes(32 if i < 48 or 57 < i < 65 or 90 < i < 97 or 122 < i < 128 else i for i in range(256)).lower()
 GRAM = 5
@@ -214,12 +214,13 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap:
     half = passage // 2
 
     def searcher(index):
+        @giving_back
         def run(batches):
             import pyarrow as pa
 
             own, get = index.value, index.value.terms.get
             size = max(1, len(own.terms))
-            for batch in batches:
+            for batch in (whole.slice(lo, 256) for whole in batches for lo in range(0, whole.num_rows, 256)):
                 rows = []
                 for group in _groups(batch.column("doc_id").to_pylist(), raw_texts(batch)):
                     first = np.cumsum([0, *(len(w) // half + 2 for _, w in group)])  # an empty cell between documents

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts
+from .common import giving_back, raw_texts
 
 #: Families of closely related languages; any other language is a family of its own.
 FAMILIES = {
@@ -151,10 +151,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
+    @giving_back
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (whole.slice(lo, 256) for whole in batches for lo in range(0, whole.num_rows, 256)):
             out = [model.predict(features(t)) if model.languages and _has_letter(t) else ("und", 0.0) for t in raw_texts(batch)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=[*names, "lang_pred", "score"])
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts
+from .common import giving_back, raw_texts
 
 #: Byte-level vocabularies write a byte as a letter: printable Latin-1 as itself, all others from 256 on in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -208,12 +208,12 @@ class WordCoder:
 CODERS: dict[str, WordCoder] = {}
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2, buffer_tokens: int = 1 << 20, keep: int = 600_000) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2, buffer_tokens: int = 1 << 20, keep: int = 600_000, forget: bool = False) -> DataFrame:
     """Pieces of all documents, packed into sequences of at most ``capacity`` tokens (a power of two).
 
     ``docs`` has doc_id and text; ``vocabulary`` is the path of a `tokenizers`
     file on every worker. A task packs ``buffer_tokens`` tokens at a time; a worker
-    remembers the codes of about ``keep`` words. Every
+    remembers the codes of about ``keep`` words, with ``forget`` for one task only. Every
     sequence is full, but for those of 2^k tokens that end a task's input.
     Returns doc_id, start, length, ids (little-endian 32-bit), doc_tokens,
     sequence_id, offset. sequence_id is the task's number times 2^32 plus a
@@ -221,6 +221,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_i
     """
     end = int(end_id).to_bytes(4, "little")
 
+    @giving_back
     def run(batches):
         import pyarrow as pa
 
@@ -247,17 +248,21 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_i
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.ids(raw_texts(batch), end), strict=False):
-                number += 1
-                waiting[number] = (doc_id, ids, len(ids) // 4)
-                packer.add(number, len(ids) // 4)
-                if packer.tokens >= buffer_tokens:
-                    while packer.tokens >= capacity + buffer_tokens // 4:  # a good choice stays for the next windows
-                        packer.window()
-                if len(packer.out) >= 2000:
-                    yield flush()
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), coder.ids(raw_texts(part), end), strict=False):
+                    number += 1
+                    waiting[number] = (doc_id, ids, len(ids) // 4)
+                    packer.add(number, len(ids) // 4)
+                    if packer.tokens >= buffer_tokens:
+                        while packer.tokens >= capacity + buffer_tokens // 4:  # a good choice stays for the next windows
+                            packer.window()
+                    if len(packer.out) >= 500:
+                        yield flush()
         packer.finish()
         if packer.out:
             yield flush()
+        if forget:
+            CODERS.pop(vocabulary, None)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)

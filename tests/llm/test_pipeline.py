@@ -1,5 +1,7 @@
 """The pipeline stage by stage on the smallest table, against brute force."""
 
+import shutil
+
 import numpy as np
 import pytest
 
@@ -78,3 +80,35 @@ def test_every_token_is_packed_once(stages):
     assert set(by) == set(stages["secrets"])
     for d, ids in by.items():
         assert np.frombuffer(ids, "<u4").tolist() == [*coder.encode(stages["secrets"][d]["text"], add_special_tokens=False).ids, 2]
+
+
+def test_stages_bound_their_batches(spark, sf_dir):
+    """A stage's Arrow batches are bounded by bytes, whatever the texts' length."""
+    corpus_pipeline.pack(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    texts = spark.range(0, 400, 1, 1).selectExpr("repeat('some text ', 2000) text")
+    assert max(r["n"] for r in texts.mapInArrow(sizes, "n long").collect()) < 2 * corpus_pipeline.BATCH_BYTES
+
+
+def test_packing_forgets_its_vocabulary(spark, sf_dir, tmp_path):
+    """Workers keep no coder of a task that is to forget it, and its rows are those of one that does not."""
+    from nightledger.llm import packing
+
+    shutil.copy(queries.vocabulary(), path := str(tmp_path / "words.json"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(4)
+
+    def held(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([path in packing.CODERS] * batch.num_rows)], names=["held"])
+
+    got = packing.pack_documents(docs, path, forget=True).collect()
+    assert not docs.mapInArrow(held, "held boolean").where("held").count()
+    assert sorted(got) == sorted(packing.pack_documents(docs, path).collect())
