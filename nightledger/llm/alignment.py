@@ -25,6 +25,7 @@ not read.
 from __future__ import annotations
 
 import re
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -67,11 +68,17 @@ def link_pairs(ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b:
     return which, (ids_a[which].astype(np.int64) << 32) | ids_b[other]
 
 
-def group_strings(ids_a: np.ndarray, ids_b: np.ndarray, label_a: np.ndarray, label_b: np.ndarray) -> list[str]:
-    """'a1,a2|b1' of every group, in order; the labels are ascending."""
-    cut_a, cut_b = (np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1, [len(x)]]).tolist() for x in (label_a, label_b))
-    a, b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-    return [f"{','.join(a[i:j])}|{','.join(b[k:m])}" for i, j, k, m in zip(cut_a[:-1], cut_a[1:], cut_b[:-1], cut_b[1:], strict=True)]
+def group_strings(ids_a: np.ndarray, ids_b: np.ndarray, label_a: np.ndarray, label_b: np.ndarray, last: np.ndarray) -> list[str]:
+    """'a1,a2|b1;a3|b2' of every piece; the labels are ascending, ``last`` are the numbers of the pieces' last tokens of b."""
+    end_a, end_b = (np.append(np.diff(x) != 0, True) for x in (label_a, label_b))
+    group_a, group_b = np.cumsum(end_a) - end_a, np.cumsum(end_b) - end_b
+    cut_a, cut_b = np.append(0, np.flatnonzero(end_a) + 1), np.append(0, np.flatnonzero(end_b) + 1)
+    mark_b = np.where(end_b, ";", ",").astype(object)
+    mark_b[last] = "\n"
+    parts = np.empty(2 * (len(ids_a) + len(ids_b)), object)  # a group's ids of a stand before its ids of b, each with the mark after it
+    for ids, at, marks in ((ids_a, np.arange(len(ids_a)) + cut_b[group_a], np.where(end_a, "|", ",")), (ids_b, np.arange(len(ids_b)) + cut_a[group_b + 1], mark_b)):
+        parts[2 * at], parts[2 * at + 1] = list(map(str, ids.tolist())), marks
+    return "".join(parts.tolist()).split("\n")[:-1]
 
 
 class Aligner:
@@ -79,48 +86,68 @@ class Aligner:
 
     ``totals`` has n_a, n_b, groups and links of each piece, ``sound`` whether its
     bytes came back, ``loose`` whether it ends in white space; ``pairs`` from
-    ``begins[i]`` to ``begins[i + 1]`` are piece i's links.
+    ``begins[i]`` to ``begins[i + 1]`` are piece i's links. Piece 0 is the nothing
+    between two spaces, and loose. The groups are written if ``grouped``.
     """
 
-    def __init__(self, ranks: str, pieces: str, keep: int = 160 << 20):
-        self.a, self.b, self.keep = Ranks(ranks), Pieces(pieces), keep
+    def __init__(self, ranks: str, pieces: str, keep: int = 224 << 20, grouped: bool = True):
+        self.a, self.b, self.keep, self.grouped = Ranks(ranks), Pieces(pieces), keep, grouped
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: dict[str, int] = {"": 0}
         self.held, self._waiting = 0, []
-        self.loose = np.zeros(0, bool)
-        self.totals, self.sound, self.pairs, self.begins = np.zeros((0, 4), np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(1, np.int64)
-        self.groups: list[str] = []
+        self.loose = np.ones(1, bool)
+        self.totals, self.sound, self.pairs, self.begins = np.zeros((1, 4), np.int64), np.ones(1, bool), np.zeros(0, np.int64), np.zeros(2, np.int64)
+        self.sizes, self.met = np.zeros(1, np.int64), np.zeros(1, np.int64)  # about the bytes that each piece takes here; how often it was met
+        self.groups: list[str] = [""]
 
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
-        """The numbers of each text's pieces, after learning what is new in all of them.
+        """The numbers of each text's pieces, after learning what is new in all of them."""
+        found, bounds = self.flat(texts)
+        return [found[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts' pieces, end to end, and where each text begins; a text has at least one.
 
         A piece is known by its text without the leading space; one that begins
         with a line break or with more white space is known by all of it.
         """
-        words = [text.replace("\n", " \n").split(" ") for text in texts]
-        found = self._lookup(words, [i for i, w in enumerate(words) if "" not in w])
+        if not texts:
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
+        found = self._lookup(" ".join(texts).replace("\n", " \n").split(" "))
+        bounds = np.cumsum([0, *(t.count(" ") + t.count("\n") + 1 for t in texts)])
         # where white space meets white space, or ends the text
-        rest = [i for i, f in enumerate(found) if f is None or self.loose[f].any()]
-        for i in rest:
-            words[i] = [p[1:] if p[0] == " " and p[1:2] not in ("", " ", "\n") else p for p in _CUT.split(f" {texts[i]}")]
-        again = self._lookup(words, rest)
-        return [f if g is None else g for f, g in zip(found, again, strict=True)]
-
-    def _lookup(self, words: list[list[str]], which: list[int]) -> list[np.ndarray | None]:
-        out: list = [None] * len(words)
-        new: dict[str, None] = {}
-        for i in which:
-            out[i] = list(map(self.number.get, words[i]))
-            if None in out[i]:
-                new.update((w, None) for w, n in zip(words[i], out[i], strict=True) if n is None)
-                out[i] = None
+        rest = np.flatnonzero(np.logical_or.reduceat(self.loose[found], bounds[:-1]))
+        if len(rest):
+            cut = [[p[1:] if p[0] == " " and p[1:2] not in ("", " ", "\n") else p for p in _CUT.split(f" {texts[i]}")] for i in rest]
+            again, each = self._lookup(list(chain.from_iterable(cut))), [found[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+            for i, f in zip(rest, np.split(again, np.cumsum([len(c) for c in cut])[:-1]), strict=True):
+                each[i] = f
+            found, bounds = np.concatenate(each), np.cumsum([0, *map(len, each)])
+        self.met += np.bincount(found, minlength=len(self.met))
+        return found, bounds
+
+    def _lookup(self, words: list[str]) -> np.ndarray:
+        found = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(found < 0).tolist()
         if new:
-            self._learn(list(new))
-        for i in which:
-            out[i] = np.fromiter(map(self.number.__getitem__, words[i]) if out[i] is None else out[i], np.int64, len(words[i]))
-        return out
+            self._learn(list(dict.fromkeys(map(words.__getitem__, new))))
+            found[new] = list(map(self.number.__getitem__, map(words.__getitem__, new)))
+        return found
+
+    def forget(self) -> None:
+        """Leaves the pieces that were met most often, half of them at most; what was met before counts half from now on."""
+        stays = self.met > max(1, np.median(self.met))
+        stays[0] = True
+        number = np.cumsum(stays) - 1
+        self.number = {w: int(number[n]) for w, n in self.number.items() if stays[n]}
+        self.groups = [self.groups[i] for i in np.flatnonzero(stays).tolist()]
+        self.pairs = self.pairs[np.repeat(stays, self.totals[:, 3])]
+        self.loose, self.totals, self.sound, self.sizes, self.met = (x[stays] for x in (self.loose, self.totals, self.sound, self.sizes, self.met // 2))
+        self.begins, self.held = np.append(0, np.cumsum(self.totals[:, 3])), int(self.sizes.sum())
+        if self.held > self.keep * 3 // 4:
+            self.clear()
 
     def full(self) -> bool:
         return self.held > self.keep
@@ -132,10 +159,12 @@ class Aligner:
         rest = [i for i, t in enumerate(texts) if t[-1].isspace()]
         for some in [plain[i : i + 4000] for i in range(0, len(plain), 4000)] + [[i] for i in rest]:
             self._align([words[i] for i in some], [texts[i] for i in some])
-        loose, totals, sound, pairs, begins = zip(*self._waiting, strict=True)
+        loose, totals, sound, pairs, begins, sizes = zip(*self._waiting, strict=True)
         self.begins = np.concatenate([self.begins, np.cumsum(np.concatenate(begins)) + len(self.pairs)])
         self.loose, self.totals = np.concatenate([self.loose, *loose]), np.concatenate([self.totals, *totals])
         self.sound, self.pairs, self._waiting = np.concatenate([self.sound, *sound]), np.concatenate([self.pairs, *pairs]), []
+        self.sizes = np.concatenate([self.sizes, *sizes])
+        self.met = np.append(self.met, np.zeros(len(self.sizes) - len(self.met), np.int64))
 
     def _align(self, words: list[str], texts: list[str]) -> None:
         """Adds the pieces, laid end to end; where the bytes do not come back, one by one."""
@@ -147,26 +176,26 @@ class Aligner:
                 for w, t in zip(words, texts, strict=True):
                     self._align([w], [t])
             else:
-                self._add(words, np.zeros((1, 4), np.int64), np.zeros(1, bool), np.zeros(0, np.int64), [""], len(whole))
+                self._add(words, np.zeros((1, 4), np.int64), np.zeros(1, bool), np.zeros(0, np.int64), [""])
             return
         ends_a, ends_b, ends = np.cumsum(self.a.lengths[ids_a]), np.cumsum(self.b.lengths[ids_b]), np.cumsum([len(r) for r in raw])
         label = terminals(ends_a, ends_b)
         label_a, label_b = label[: len(ids_a)], label[len(ids_a) :]
         at_a, at_b = np.searchsorted(ends_a, ends, side="right"), np.searchsorted(ends_b, ends, side="right")
-        groups = group_strings(ids_a, ids_b, label_a, label_b)
         at_g = np.cumsum(np.concatenate([[1], np.diff(label_a) != 0]))[at_a - 1]
         which, pairs = link_pairs(ids_a, ids_b, ends_a, ends_b)
         at_l = np.searchsorted(which, at_a)
         totals = np.stack([np.diff(x, prepend=0) for x in (at_a, at_b, at_g, at_l)], axis=1)
-        bounds = [0, *at_g.tolist()]
-        self._add(words, totals, np.ones(len(words), bool), pairs, [";".join(groups[i:j]) for i, j in zip(bounds, bounds[1:], strict=False)], len(whole))
+        groups = group_strings(ids_a, ids_b, label_a, label_b, at_b - 1) if self.grouped else [""] * len(words)
+        self._add(words, totals, np.ones(len(words), bool), pairs, groups)
 
-    def _add(self, words, totals, sound, pairs, groups, size) -> None:
+    def _add(self, words, totals, sound, pairs, groups) -> None:
         first = len(self.groups)
         self.number.update(zip(words, range(first, first + len(words)), strict=True))
         self.groups += groups
-        self._waiting.append((np.array([w[-1].isspace() for w in words]), totals, sound, pairs, totals[:, 3]))
-        self.held += 250 * len(words) + 8 * size + 8 * len(pairs)
+        sizes = 170 + 2 * np.array(list(map(len, words))) + 8 * totals[:, 3] + (80 + 8 * totals[:, :2].sum(axis=1)) * self.grouped
+        self._waiting.append((np.array([w[-1].isspace() for w in words]), totals, sound, pairs, totals[:, 3], sizes))
+        self.held += int(sizes.sum())
 
     def pairs_of(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs of these pieces and how many links hold each; ``counts`` are the pieces' own."""
@@ -180,19 +209,32 @@ class Aligner:
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
-def _aligner(ranks: str, pieces: str) -> Aligner:
+def _aligner(ranks: str, pieces: str, grouped: bool) -> Aligner:
     if (ranks, pieces) not in _ALIGNERS:
         _ALIGNERS.clear()
         _ALIGNERS[ranks, pieces] = Aligner(ranks, pieces)
-    return _ALIGNERS[ranks, pieces]
+    aligner = _ALIGNERS[ranks, pieces]
+    if grouped and not aligner.grouped:
+        aligner.clear()
+    aligner.grouped = grouped
+    return aligner
+
 
+def _texts(batches, size: int = 2 << 20):
+    """(doc_ids, texts) of about ``size`` bytes or of one row."""
+    import pyarrow.compute as pc
 
-def _texts(batches, most: int = 256):
-    """(doc_ids, texts), a few rows at a time."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, most):
-            some = batch.slice(lo, most)
-            yield some.column("doc_id").to_pylist(), some.column("text").to_pylist()
+        before = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(before // size)) + 1):
+            if len(rows):
+                some = batch.slice(rows[0], len(rows))
+                yield some.column("doc_id").to_pylist(), some.column("text").to_pylist()
+
+
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The sums of each text's rows."""
+    return np.add.reduceat(values, bounds[:-1]) if len(bounds) > 1 else values[:0]
 
 
 def pair_counts(docs: DataFrame, ranks: str, pieces: str) -> DataFrame:
@@ -201,8 +243,8 @@ def pair_counts(docs: DataFrame, ranks: str, pieces: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        aligner = _aligner(ranks, pieces)
-        seen = np.zeros(len(aligner.groups), np.int64)
+        aligner = _aligner(ranks, pieces, False)
+        seen = np.zeros(len(aligner.totals), np.int64)
 
         def counted():
             used = np.flatnonzero(seen)
@@ -213,13 +255,13 @@ def pair_counts(docs: DataFrame, ranks: str, pieces: str) -> DataFrame:
         for _, texts in _texts(batches):
             if aligner.full():
                 yield from counted()
-                aligner.clear()
-                seen = np.zeros(0, np.int64)
-            found = [f for f in aligner.numbers([t for t in texts if t]) if aligner.sound[f].all()]
-            if found:
-                if len(seen) < len(aligner.groups):
-                    seen = np.concatenate([seen, np.zeros(max(1 << 18, len(aligner.groups) - len(seen)), np.int64)])
-                np.add.at(seen, np.concatenate(found), 1)
+                aligner.forget()
+                seen = np.zeros(len(aligner.totals), np.int64)
+            found, bounds = aligner.flat([t for t in texts if t])
+            sound = _sums(~aligner.sound[found], bounds) == 0
+            times = np.bincount(found[np.repeat(sound, np.diff(bounds))], minlength=len(aligner.totals))
+            times[: len(seen)] += seen
+            seen = times
         yield from counted()
 
     return docs.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
@@ -230,8 +272,9 @@ def _aligned(docs: DataFrame, ranks: str, pieces: str, counts=None) -> DataFrame
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        aligner = _aligner(ranks, pieces)
+        aligner = _aligner(ranks, pieces, True)
         if counts is not None:
             keys, n, best = (x if len(counts.value[0]) else np.zeros(1, np.int64) for x in counts.value)
         scores, paired = np.zeros((0, 2), np.int64), 0  # best links and count sums of the pieces scored so far
@@ -246,28 +289,37 @@ def _aligned(docs: DataFrame, ranks: str, pieces: str, counts=None) -> DataFrame
             ends = aligner.begins[begun:] - paired
             scores, paired = np.concatenate([scores, np.diff(sums[ends], axis=0)]), len(aligner.pairs)
 
+        def joined(found, bounds):
+            """The groups of each text; Python sees each different piece once."""
+            used, where = np.unique(found, return_inverse=True)
+            words = pa.array(list(map(aligner.groups.__getitem__, used.tolist())), pa.string()).take(pa.array(where))
+            return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), words), ";")
+
         for ids, texts in _texts(batches):
             if aligner.full():
-                aligner.clear()
+                aligner.forget()
                 scores, paired = np.zeros((0, 2), np.int64), 0
-            rows, all_found = [], iter(aligner.numbers([t for t in texts if t]))
-            for doc_id, text in zip(ids, texts, strict=True):
-                found = next(all_found) if text else None
-                if found is None or not aligner.sound[found].all():
-                    rows.append((doc_id, 0, 0, 0, 0, 0, 0, "", [], []))
-                    continue
-                own, pairs, times = (0, 0), [], []
-                if counts is None:
-                    pairs, times = aligner.pairs_of(*np.unique(found, return_counts=True))
-                else:
-                    if len(scores) < len(aligner.groups):
-                        score()
-                    own = scores[found].sum(axis=0).tolist()
-                rows.append((doc_id, *aligner.totals[found].sum(axis=0).tolist(), *own, ";".join(map(aligner.groups.__getitem__, found.tolist())), pairs, times))
-            kinds = [pa.int64()] * 7 + [pa.string()] + [pa.list_(pa.int64())] * 2
-            arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            full = np.array([bool(t) for t in texts])
+            found, bounds = aligner.flat([t for t in texts if t])
+            sound = _sums(~aligner.sound[found], bounds) == 0
+            full[full] = sound
+            # only sound texts have tokens
+            found, bounds = found[np.repeat(sound, np.diff(bounds))], np.cumsum([0, *np.diff(bounds)[sound]])
+            sums = np.zeros((len(texts), 6), np.int64)
+            sums[full, :4] = _sums(aligner.totals[found], bounds)
+            if counts is not None:
+                if len(scores) < len(aligner.totals):
+                    score()
+                sums[full, 4:] = _sums(scores[found], bounds)
+            at = np.where(full, np.cumsum(full) - 1, -1)
+            groups = pc.fill_null(joined(found, bounds).take(pa.array(at, mask=at < 0)), "")
+            arrays = [pa.array(ids, pa.int64()), *map(pa.array, sums.T.copy()), groups]
+            if counts is None:
+                own = [aligner.pairs_of(*np.unique(found[i:j], return_counts=True)) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+                none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                arrays += [pa.array(x, pa.list_(pa.int64())) for x in zip(*(own[i] if i >= 0 else none for i in at), strict=True)]
             names = [x.split()[0] for x in SCHEMA.split(", ")] + ["pairs", "times"]
-            yield pa.RecordBatch.from_arrays(arrays, names=names) if counts is None else pa.RecordBatch.from_arrays(arrays[:8], names=names[:8])
+            yield pa.RecordBatch.from_arrays(arrays, names=names[: len(arrays)])
 
     schema = SCHEMA if counts is not None else f"{SCHEMA}, pairs array<long>, times array<long>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

@@ -124,3 +124,33 @@ def test_repeats_nulls_and_nothing(spark):
     want = expected(dict(enumerate(["same words", "same words", "same", None])))
     assert got == sorted([(1, *want[0]), (1, *want[1]), (None, *want[2]), (2, *want[3])], key=str)
     assert alignment.align_documents(df.where("false"), *FILES).count() == 0
+
+
+def test_full_cache_keeps_what_is_met_often(corpus):
+    """Pieces of one text go, those of many stay with their numbers' figures, and texts after that come out the same."""
+    _, t = corpus
+    small, forgot = alignment.Aligner(*FILES, keep=12_000), 0
+    for text in [x for x in t.values() if x][:300]:
+        if small.full():
+            small.numbers(["often and often again"] * 50)
+            small.forget()
+            assert small.held <= small.keep and "often" in small.number and len(small.totals) == len(small.groups) == len(small.begins) - 1
+            forgot += 1
+        found = small.numbers([text])[0]
+        a, b, g, links = plain(text)
+        if small.sound[found].all():
+            assert small.totals[found].sum(axis=0).tolist() == [len(a), len(b), len(g), len(links)]
+            assert ";".join(small.groups[i] for i in found) == ";".join(f"{','.join(map(str, p))}|{','.join(map(str, q))}" for p, q in g)
+            pairs, n = small.pairs_of(*np.unique(found, return_counts=True))
+            assert dict(zip(pairs.tolist(), n.tolist(), strict=True)) == Counter((x << 32) | y for x, y in links)
+        else:
+            assert not a
+    assert forgot > 3
+
+
+def test_many_texts_at_once_are_cut_as_one_by_one(corpus):
+    some = [x for x in corpus[1].values() if x]
+    together, alone = alignment.Aligner(*FILES), alignment.Aligner(*FILES)
+    for f, text in zip(together.numbers(some), some, strict=True):
+        assert [together.groups[i] for i in f] == [alone.groups[i] for i in alone.numbers([text])[0]]
+    assert together.numbers([]) == []
