@@ -144,8 +144,11 @@ _ARRIVED = {
 
 
 def kept_submissions(m):
+    """The first of each key's submissions that are not late; a last row at the end of time closes all that is open, and stays open."""
+    rows = submissions(m)
+    over = m.spark.range(1).select(*(F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(rows.columns, (None, None, None, "9999-01-01", 9999), strict=True)))
     with feeds.rocksdb(m.spark):  # a slice's keys are the state
-        kept = streamed(m, submissions(m), feeds.drop_repeats)[0]
+        kept = streamed(m, rows.unionByName(over), feeds.first_of_repeats)[0]
     return kept.select(*KEYS, F.col("booked_at").cast("timestamp_ntz").alias("booked_at"))
 
 

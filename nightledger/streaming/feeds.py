@@ -26,11 +26,21 @@ def daily_volume(requests: DataFrame, late: str = "2 days", offset: str = "18 ho
 
 
 def drop_repeats(bookings: DataFrame, keys: tuple[str, ...] = ("guest_key", "unit_key", "check_in_date"), within: str = "10 minutes") -> DataFrame:
-    """Reservations without those submitted again for the same stay within the watermark."""
+    """Reservations without those submitted again for the same stay within the watermark; of repeats in one batch, any is kept."""
     b = bookings.withColumn("booked_at", F.col("booked_at").cast("timestamp")).withWatermark("booked_at", within)
     return b.dropDuplicatesWithinWatermark(list(keys))
 
 
+def first_of_repeats(bookings: DataFrame, keys: tuple[str, ...] = ("guest_key", "unit_key", "check_in_date"), within: str = "10 minutes") -> DataFrame:
+    """The earliest of reservations submitted again for the same stay, each no later than ``within`` after the one before, in whatever order they come.
+
+    Late rows are those that drop_repeats drops. A reservation is given out when
+    the watermark has passed the time in which a repeat of it can still come.
+    """
+    b = drop_repeats(bookings, (*keys, "booked_at"), within)  # late rows are dropped here: a session is late only once it has ended
+    return b.groupBy(*keys, F.session_window("booked_at", within)).agg(F.min("booked_at").alias("booked_at")).select(*keys, "booked_at")
+
+
 def caught_up(df: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Runs a streaming frame over what there is, appends it to ``out`` and reads that."""
     q = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
@@ -59,11 +69,13 @@ def run_batches(df: DataFrame, out: str, checkpoint: str, sink: Callable[[DataFr
 
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Streams that start inside keep their state in RocksDB."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    was = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Streams that start inside keep their state in RocksDB, and a batch writes the changes to it, not its files."""
+    provider, log = "spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+    was = {key: spark.conf.get(key, None) for key in (provider, log)}
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(log, True)
     try:
         yield
     finally:
-        spark.conf.set(key, was) if was else spark.conf.unset(key)
+        for key, value in was.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)

@@ -92,6 +92,20 @@ def test_a_slice_is_one_batch_and_no_single_task(spark, sf_dir):
     assert out.select("file").distinct().count() > 2
 
 
+def test_the_first_of_a_batchs_repeats_is_kept(spark, sf_dir, monkeypatch):
+    """In whatever order rows come; a repeat counts from the one before it, also over slices, and late rows count for nothing."""
+    at = lambda *x: dt.datetime(2024, 1, *x)
+    came = [
+        [(1, at(1, 0, 20)), (1, at(1, 0, 0, 30)), (1, at(1, 0, 10, 30)), (1, at(1, 0, 0)), (2, at(1, 0, 0, 30)), (2, at(1)), (2, at(1, 0, 10, 31)), (3, at(3))],
+        [(3, at(3, 0, 19)), (3, at(3, 0, 9)), (4, at(2)), (5, at(2, 23, 51)), (5, at(2, 23, 50))],
+    ]
+    rows = [(k, 1, dt.date(2024, 2, 1), t, 2024 + n) for n, s in enumerate(came) for k, t in s]
+    slices = spark.createDataFrame(rows, "guest_key long, unit_key int, check_in_date date, booked_at timestamp_ntz, slice int").coalesce(1)
+    monkeypatch.setattr(changes, "submissions", lambda m: slices)
+    kept = changes.kept_submissions(Model(spark, sf_dir))
+    assert sorted((r["guest_key"], r["booked_at"]) for r in kept.collect()) == [(1, at(1)), (2, at(1)), (2, at(1, 0, 10, 31)), (3, at(3)), (5, at(2, 23, 51))]
+
+
 def test_silence_is_told_by_timers(spark, tmp_path):
     """Channel a goes silent for good, b for five days; late rows of closed days count for nothing."""
     noon = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(d, 6 * 3600)
