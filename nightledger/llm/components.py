@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_labels, saved
+from .common import join_labels, shared_folder
+
+#: Edges that a task writes.
+EDGES = 1 << 16
 
 
 def _star(edges: DataFrame, small: bool, total: int) -> DataFrame:
@@ -27,16 +32,27 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is the least node it reaches.
 
     Nodes are longs; self links and repeats are ignored. Every round is a
-    partially aggregated minimum and a join, cut from its lineage by a
-    checkpoint; the driver sees a fingerprint of the edge set only.
+    partially aggregated minimum and a join, and its edges are written to the
+    shared folder by a task for every ``EDGES`` of them and read again, in the
+    place of the last round's: few edges cost few tasks and files, however many
+    parts an exchange has. The driver sees a fingerprint of the edge set only.
     """
+    spark = edges.sparkSession
+    folder = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
+
+    def kept(e, place):
+        e.write.mode("overwrite").parquet(f"{folder}/{place}")
+        return spark.read.schema("a long, b long").parquet(f"{folder}/{place}")
+
     def mark(e):
         row = e.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
         return row["n"], row["x"]
 
-    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "now")
     was, seen = None, mark(now)
     while seen[0] and was != seen:  # every round lowers a label, so this ends
-        now = saved(_star(saved(_star(now, False, 2 * seen[0])), True, seen[0]))
+        tasks = seen[0] // EDGES + 1
+        large = kept(_star(now, False, 2 * seen[0]).coalesce(tasks), "large")
+        now = kept(_star(large, True, seen[0]).coalesce(tasks), "now")
         was, seen = seen, mark(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -305,7 +305,7 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, m
     starred = starred.select("*", F.explode("hubs").alias("h")).select(F.col("h.rep").alias("rep_a"), F.col("h.size").alias("size_a"), F.col("h.at").alias("at_a"), F.col("h.group").alias("group_a"), "rep_b", "size_b", "at_b", "group_b")
     starred = starred.where((F.col("group_a") != F.col("group_b")) & may_be()).select(*ends)
     verified = _verified(saved(_likely(pairs.unionByName(starred).distinct(), classes, part)), docs, size, part)
-    found = saved(components(verified.unionByName(first)))
+    found = components(verified.unionByName(first))
 
     # what is left of the crowded keys: pairs across components, the larger keys dealt over several tasks
     held = large.drop("group").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -315,9 +315,10 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, m
     left, right = sides(held.withColumn("salt", F.pmod(F.hash("rep"), salts)), held.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))))
     across = left.join(right, ["key", "salt"]).where((F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & may_be()).select(*ends).distinct()
     across = saved(_likely(across, classes, part))
-    links = _verified(across, docs, size, part).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    if not across.isEmpty():
+        found = components(_verified(across, docs, size, part).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     reps = prints.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("rep is not null")
-    reps = reps.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("class", "n", F.coalesce("component", "rep").alias("component_id"))
+    reps = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("class", "n", F.coalesce("component", "rep").alias("component_id"))
     return join_labels(prints.select("doc_id", "class"), reps, "class", everything).select("doc_id", "component_id")
 
 

@@ -85,3 +85,27 @@ def test_signatures_match_plain_integers():
             text = " ".join(f"w{rnd.randrange(words)}" for _ in range(n))
             for k, depth in ((2, 2), (3, 4)):
                 assert fingerprint.order_minhash(text.encode().split(), k, depth, m).tolist() == brute_signature(text, k, depth, m.tolist())
+
+
+def test_few_edges_cost_few_tasks_in_many_parts(spark):
+    """Rounds over a small graph: only the exchanges have a task for every part, not what reads and writes its edges."""
+    from nightledger.llm.components import components
+
+    edges = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (50, 40)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    conf = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    sc, status = spark.sparkContext, spark.sparkContext.statusTracker()
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few edges", "components")
+        got = {r["node"]: r["component"] for r in components(frame).collect()}
+        stages = {s for j in status.getJobIdsForGroup("few edges") for s in status.getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for i in map(status.getStageInfo, stages) if i)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(1, 21)} | {100 + i: 100 for i in range(1, 30)} | {50: 40}
+    assert tasks < 4000, tasks
